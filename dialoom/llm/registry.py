@@ -1,10 +1,13 @@
 """Queries of the corpus operators over their whole tables, and SQL for those that SQL can express."""
 
-from dialoom.llm import mixing
+from dialoom.llm import bpe, mixing, urls
 
 QUERIES = {
     "op1_mixing_sources": mixing.op1_mixing_sources,
+    "op7_url_filters": urls.op7_url_filters,
+    "op10_bpe": bpe.op10_bpe,
 }
 ORACLE_SQL = {
     "op1_mixing_sources": mixing.ORACLE,
+    "op7_url_filters": urls.ORACLE,
 }
