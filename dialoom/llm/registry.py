@@ -1,9 +1,11 @@
 """Queries of the corpus operators over their whole tables, and SQL for those that SQL can express."""
 
-from dialoom.llm import bpe, mixing, urls
+from dialoom.llm import bpe, mixing, quality, secrets, urls
 
 QUERIES = {
     "op1_mixing_sources": mixing.op1_mixing_sources,
+    "op3_secret_scans": secrets.op3_secret_scans,
+    "op6_quality": quality.op6_quality,
     "op7_url_filters": urls.op7_url_filters,
     "op10_bpe": bpe.op10_bpe,
 }
