@@ -21,6 +21,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,10 +94,11 @@ def merge_symbols(symbols: list[int], merges: dict[tuple[int, int], tuple[int, i
 
 
 class WordCoder(dict):
-    """word -> ids; a memo that starts anew when it holds MEMO_WORDS words."""
+    """word -> its ids as bytes of int32; a memo of MEMO_WORDS words, behind which the last full one is kept."""
 
     def __init__(self, model: dict):
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.vocab, self.end = model["vocab"], model["end_of_word_suffix"] or ""
         self.symbols = byte_symbols()
         self.merges = {}
@@ -104,25 +106,34 @@ class WordCoder(dict):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merges[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= MEMO_WORDS:
+            self.older = dict(self)
             self.clear()
-        raw = [self.symbols[b] for b in word.encode("utf-8")]
-        raw[-1] += self.end
-        ids = merge_symbols([self.vocab[s] for s in raw], self.merges)
-        if len(ids) < 64:
+        if (ids := self.older.get(word)) is None:
+            raw = [self.symbols[b] for b in word.encode("utf-8")]
+            raw[-1] += self.end
+            ids = np.array(merge_symbols([self.vocab[s] for s in raw], self.merges), np.int32).tobytes()
+        if len(ids) <= 256:
             self[word] = ids
         return ids
 
 
+#: White space, letters and digits below U+0250 as the split pattern has them; texts of other characters take the pattern itself.
+SPACE, LETTER = "\\t-\\r \\x85\\xa0", "a-zA-Z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f"
+CLIP_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN_WORDS = re.compile(rf"[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^{SPACE}{LETTER}0-9]+").findall
+NOT_PLAIN = re.compile("[^\\x00-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u024f]").search
+
+
 class Tokenizer:
     def __init__(self, spec: dict):
         self.coder = WordCoder(spec["model"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(split["pattern"]["Regex"]).findall
-        self.spaces = regex.compile(r"\s+")
+        pattern = split["pattern"]["Regex"]
+        self.any_words, self.plain = regex.compile(pattern).findall, pattern == CLIP_PATTERN
         self.tokens = [""] * (1 + max([*self.coder.vocab.values(), *self.special.values()]))
         for token, i in chain(self.coder.vocab.items(), self.special.items()):
             self.tokens[i] = token
@@ -132,18 +143,23 @@ class Tokenizer:
         # white space is never part of a word, so only its presence matters; sigma is lowered without its final form
         return text.replace("Σ", "σ").lower()
 
-    def encode(self, text: str | None) -> list[int]:
+    def words(self, text: str) -> list[str]:
+        text = self.normalize(text)
+        return PLAIN_WORDS(text) if self.plain and not NOT_PLAIN(text) else self.any_words(text)
+
+    def encode(self, text: str | None) -> bytes:
+        """The ids as bytes of int32."""
         if not text:
-            return []
+            return b""
         if self.cut is None or "<" not in text or not self.cut.search(text):
-            return list(chain.from_iterable(map(self.coder.__getitem__, self.words(self.normalize(text)))))
-        ids: list[int] = []
+            return b"".join(map(self.coder.__getitem__, self.words(text)))
+        parts = []
         for part in self.cut.split(text):
-            if part in self.special:
-                ids.append(self.special[part])
-            else:
-                ids += chain.from_iterable(map(self.coder.__getitem__, self.words(self.normalize(part))))
-        return ids
+            parts.append(np.int32(self.special[part]).tobytes() if part in self.special else b"".join(map(self.coder.__getitem__, self.words(part))))
+        return b"".join(parts)
+
+    def encode_ids(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.encode(text), np.int32).tolist()
 
     def decode(self, ids) -> str:
         return " ".join(map(self.tokens.__getitem__, ids))
@@ -174,14 +190,16 @@ def code(docs: DataFrame, path: str | None = None, id_col="doc_id", text_col="te
 
     def run(batches):
         tokenizer = load(content.value)
+        tokens = pa.array(tokenizer.tokens, pa.string())
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
-                ids = [tokenizer.encode(t) for t in part.column(1).to_pylist()]
-                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(ends[-1]))
-                decoded = pa.array(map(tokenizer.decode, ids), pa.string(), size=len(ids))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, flat), decoded], ["doc_id", "ids", "decoded"])
+                coded = [tokenizer.encode(t) for t in part.column(1).to_pylist()]
+                ends = np.cumsum([0, *(len(c) // 4 for c in coded)], dtype=np.int32)
+                ids = pa.array(np.frombuffer(b"".join(coded), np.int32))
+                # decoded from the ids: their tokens, joined by a space
+                decoded = pc.binary_join(pa.ListArray.from_arrays(ends, tokens.take(ids)), " ")
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, ids), decoded], ["doc_id", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
