@@ -1,9 +1,10 @@
 """Queries of the corpus operators over their whole tables, and SQL for those that SQL can express."""
 
-from dialoom.llm import bpe, jaccard, mixing, quality, secrets, urls
+from dialoom.llm import bpe, embeddings, jaccard, mixing, quality, secrets, urls
 
 QUERIES = {
     "op1_mixing_sources": mixing.op1_mixing_sources,
+    "op2_embedding_near_dedup": embeddings.op2_embedding_near_dedup,
     "op3_secret_scans": secrets.op3_secret_scans,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_quality": quality.op6_quality,
