@@ -1,6 +1,6 @@
 """Queries of the corpus operators over their whole tables, and SQL for those that SQL can express."""
 
-from dialoom.llm import bpe, embeddings, jaccard, mixing, quality, secrets, urls
+from dialoom.llm import bpe, embeddings, jaccard, mixing, quality, secrets, topk, urls
 
 QUERIES = {
     "op1_mixing_sources": mixing.op1_mixing_sources,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_quality": quality.op6_quality,
     "op7_url_filters": urls.op7_url_filters,
+    "op8_exact_top_k": topk.op8_exact_top_k,
     "op10_bpe": bpe.op10_bpe,
 }
 ORACLE_SQL = {
