@@ -8,13 +8,14 @@ that a probe of it stands) one must be found as soon as the sum of v + 1 is abov
   and each set spends that surplus by cost: it skips the segments that meet in long buckets, and empty ones. A set that
   has too few segments with shingles (which practice never shows) is compared with all sets of fitting size instead.
 * Smaller bands have half as many segments with v = 1: a segment and its one-deletion neighbourhood meet.
-* A set also probes the band below, if partners may be there, with its H + 1 largest segments.
+* A set also probes the band below, if partners may be there, with its H + 1 largest segments, which cost least.
 
 Buckets of SHORT rows or fewer give all their pairs. Longer buckets are read as a stream: each row is paired with the
 bucket's first, and kept for later. Each document's best-supported pair is verified and linked first; then all pairs whose
 ends are still in different classes, among them the pairs of long buckets across classes, the largest class of a bucket
 never against itself. So a large group of copies costs a star, not its square, and no pair that may link is dropped.
-Verification is exact on the sets. Exact copies are joined beforehand through a key of the whole set.
+Parity sketches, which bound the difference from below, rule out most pairs that do not link; verification is exact on
+the sets. Exact copies are joined beforehand through a key of the whole set.
 
 Nothing but counts, one model-free filter of fixed size (BLOOM_WORDS numbers) and no document data reach the driver.
 
@@ -63,56 +64,87 @@ def segments_of(band: int) -> int:
     return most + most * 3 // 20 + 2 if TOPS[band] >= SMALL else (most + 1) // 2
 
 
-def _cut(shingles: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(segment of each shingle, its mark, both by segment; then non-empty segments, their sums of marks, their sizes)."""
-    m = segments_of(band)
-    where = (scramble(shingles + _U(band), 4) >> _U(20)) % _U(m)
-    order = np.argsort(where, kind="stable")
-    where, marks = where[order], scramble(shingles, 5)[order]
-    starts = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
-    return where, marks, where[starts], np.add.reduceat(marks, starts), np.diff(np.r_[starts, len(where)])
+def _segment_of(shingles: np.ndarray, band: int) -> np.ndarray:
+    return (((scramble(shingles + _U(band), 4) >> _U(32)) * _U(segments_of(band))) >> _U(32)).astype(np.int64)
+
+
+def _totals(where: np.ndarray, marks: np.ndarray, m: int) -> np.ndarray:
+    """Sums of 64-bit marks per segment, modulo 2**64, in two exact halves."""
+    low = np.bincount(where, (marks & _U(0xFFFFFFFF)).astype(np.float64), m).astype(np.uint64)
+    return low + (np.bincount(where, (marks >> _U(32)).astype(np.float64), m).astype(np.uint64) << _U(32))
 
 
 def _name(band: int, segment: np.ndarray, total: np.ndarray) -> np.ndarray:
     """The signature of a segment's content."""
-    return scramble(total + scramble(segment + _U(band << 32), 6), 7)
+    return scramble(total + scramble(segment.astype(np.uint64) + _U(band << 32), 6), 7)
 
 
 def _probe(shingles: np.ndarray, band: int, below: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signatures, roles) of all segments of a band."""
-    where, marks, segment, total, count = _cut(shingles, band)
+    """(signatures, roles) of all segments of a band that hold shingles, in small bands of all, with their variants."""
+    m, where, marks = segments_of(band), _segment_of(shingles, band), scramble(shingles, 5)
+    totals = _totals(where, marks, m)
     if TOPS[band] >= SMALL:
-        return _name(band, segment, total), np.full(len(segment), below)
-    m = segments_of(band)
-    totals = np.zeros(m, np.uint64)
-    totals[segment.astype(np.int64)] = total
-    whole = _name(band, np.arange(m, dtype=np.uint64), totals)
-    less = _name(band, where, totals[where.astype(np.int64)] - marks)
+        segment = np.flatnonzero(np.bincount(where, minlength=m))
+        return _name(band, segment, totals[segment]), np.full(len(segment), below)
+    whole, less = _name(band, np.arange(m), totals), _name(band, where, totals[where] - marks)
     return np.r_[whole, less], np.r_[np.full(m, below), np.full(len(less), below + DELETION)]
 
 
-def signatures(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """(signatures, roles, surplus) of a set; surplus: own segments that may be skipped, below 0 if the set needs all sizes."""
+def _below(n: int, band: int) -> tuple[int, int]:
+    """(size, need): the largest size in the band below that may be a partner, and segments to probe; 0 if there is none."""
+    low = TOPS[band - 1]
+    return (low, (n + low) // 9 + 1) if band > 1 and 5 * low >= 4 * n else (0, 0)
+
+
+def surplus(shingles: np.ndarray) -> int:
+    """Own segments that a set may skip; below 0 if it has too few, and must be held against all sets of fitting size."""
+    n = len(shingles)
+    if n < SMALL:
+        return 0
+    band = bisect_left(TOPS, n)
+    filled = int(np.count_nonzero(np.bincount(_segment_of(shingles, band))))
+    spare = filled - ((n + min(TOPS[band], n * 5 // 4)) // 9 + 1)
+    low, need = _below(n, band)
+    if low >= SMALL:
+        filled = int(np.count_nonzero(np.bincount(_segment_of(shingles, band - 1))))
+        spare = spare if filled >= need else min(spare, filled - need)
+    return spare
+
+
+def signatures(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, roles) of a set."""
     n = len(shingles)
     if n <= TOPS[0]:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     band = bisect_left(TOPS, n)
     sigs, roles = _probe(shingles, band, 0)
-    surplus = 0
-    if TOPS[band] >= SMALL:
-        surplus = len(sigs) - ((n + min(TOPS[band], n * 5 // 4)) // 9 + 1)
-    low = TOPS[band - 1]
-    if band > 1 and 5 * low >= 4 * n:  # the largest of the band below may be a partner
-        if low >= SMALL:
-            _, _, segment, total, count = _cut(shingles, band - 1)
-            need = (n + low) // 9 + 1
-            largest = np.argsort(-count, kind="stable")[:need]
-            surplus = min(surplus, len(segment) - need) if len(segment) < need else surplus
-            more, their = _name(band - 1, segment[largest], total[largest]), np.full(len(largest), BELOW)
-        else:
-            more, their = _probe(shingles, band - 1, BELOW)
+    low, need = _below(n, band)
+    if low >= SMALL:
+        m, where = segments_of(band - 1), _segment_of(shingles, band - 1)
+        largest = np.argsort(-np.bincount(where, minlength=m), kind="stable")[:need]
+        more = _name(band - 1, largest, _totals(where, scramble(shingles, 5), m)[largest])
+        sigs, roles = np.r_[sigs, more], np.r_[roles, np.full(len(more), BELOW)]
+    elif low:
+        more, their = _probe(shingles, band - 1, BELOW)
         sigs, roles = np.r_[sigs, more], np.r_[roles, their]
-    return sigs, roles, surplus
+    return sigs, roles
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """Parities of hashed shingles, about a bit for each: two sketches differ in no more bits than their sets in shingles."""
+    size = 1 << max(6, (len(shingles) - 1).bit_length())
+    at = (scramble(shingles, 8) & _U(size - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound of the number of shingles in which two sets differ; a longer sketch is folded onto a shorter one."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) > len(a):
+        b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def _arrow(names, *columns):
@@ -131,11 +163,11 @@ def _sizes(width):
     def run(batches):
         for ids, texts in _texts(batches):
             sets = [shingle_set(t, width) for t in texts]
-            spare = [signatures(s)[2] if len(s) >= SMALL else 0 for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [ids.cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()), pa.array(spare, pa.int32())],
-                ["doc", "n", "key", "surplus"],
-            )
+                [ids.cast(pa.int64()), *map(pa.array, ([len(s) for s in sets], [set_key(s) for s in sets])),
+                 pa.array([surplus(s) for s in sets], pa.int32()), pa.array([sketch(s) for s in sets], pa.binary())],
+                ["doc", "n", "key", "surplus", "sketch"],
+            )
 
     return run
 
@@ -150,7 +182,7 @@ def _signature_rows(width):
                 if len(shingles) <= TOPS[0] or doc is None or (key := set_key(shingles)) in seen:
                     continue
                 seen.add(key)
-                sigs, roles, _ = signatures(shingles)
+                sigs, roles = signatures(shingles)
                 out.append((sigs.view(np.int64), np.full(len(sigs), doc, np.int64), roles + 4 * len(shingles)))
             if out:
                 yield _arrow(["sig", "doc", "nr"], *(np.concatenate(c) for c in zip(*out)))
@@ -275,13 +307,23 @@ def _verify(batches):
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _links(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc"))
-    sets = _sets_of(docs, ids, width)
+def _likely(batches):
+    for batch in batches:
+        n, n1 = batch.column("n").to_numpy(), batch.column("n1").to_numpy()
+        bounds = [least_difference(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+        yield batch.select(["a", "b"]).filter(pa.array(9 * np.array(bounds, np.int64) <= n + n1))
+
+
+def _links(docs: DataFrame, sized: DataFrame, pairs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough: first by sketches, which drop no such pair, then by the sets."""
+    left = sized.select(F.col("doc").alias("a"), "n", F.col("sketch").alias("x"))
+    right = sized.select(F.col("doc").alias("b"), F.col("n").alias("n1"), F.col("sketch").alias("y"))
+    likely = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "n", "n1", "x", "y")
+    pairs = scratch.table(likely.mapInArrow(_likely, "a long, b long"), "likely")
+    sets = scratch.table(_sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc")), width), "sets")
     left = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
 
 
 def _class_of(pairs: DataFrame, classes: DataFrame, column: str, name: str) -> DataFrame:
@@ -314,8 +356,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, id_col="doc_id", text_c
     """doc_id, n_shingles, component_id for every row of docs."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    sized = scratch.table(docs.mapInArrow(_sizes(width), "doc long, n long, key long, surplus int"), "sizes")
+    sized = scratch.table(docs.mapInArrow(_sizes(width), "doc long, n long, key long, surplus int, sketch binary"), "sizes")
     full = sized.where("n > 0 AND doc IS NOT NULL")
+    single = full.dropDuplicates(["doc"])
     copies = full.join(full.groupBy("key", "n").agg(F.min("doc").alias("v")), ["key", "n"]).where("doc <> v").select(F.col("doc").alias("u"), "v")
 
     rows = docs.mapInArrow(_signature_rows(width), "sig long, doc long, nr long")
@@ -332,13 +375,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, id_col="doc_id", text_c
 
     best = pairs.groupBy(F.col("b").alias("of")).agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("with"))
     best = best.select(F.col("with").alias("a"), F.col("of").alias("b"))
-    links = scratch.table(_links(docs, best, width).unionAll(copies.select(F.col("v").alias("a"), F.col("u").alias("b"))), "first")
+    links = scratch.table(_links(docs, single, best, width, scratch).unionAll(copies.select(F.col("v").alias("a"), F.col("u").alias("b"))), "first")
     classes = connected_components(scratch, links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     rest = pairs.select("a", "b").unionAll(_long_bucket_pairs(met.where("kind = 1"), full, classes))
     rest = _class_of(_class_of(rest, classes, "a", "of_a"), classes, "b", "of_b").where("of_a <> of_b")
     rest = scratch.table(rest.select("a", "b").distinct().join(best, ["a", "b"], "left_anti"), "rest")
-    more = _links(docs, rest, width)
+    more = _links(docs, single, rest, width, scratch)
     known = classes.select(F.col("node").alias("u"), F.col("component").alias("v"))
     classes = connected_components(scratch, known.unionAll(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     out = _class_of(sized.select("doc", "n"), classes, "doc", "component_id")

@@ -6,7 +6,6 @@ import numpy as np
 import xxhash
 
 WIDTH = 5
-MEMO_WORDS = 500_000
 _U = np.uint64
 
 
@@ -25,23 +24,60 @@ def scramble(x: np.ndarray, turn: int = 0) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-class WordHashes(dict):
-    """word (bytes) -> 64-bit hash; starts anew when it holds MEMO_WORDS words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-_WORDS = WordHashes()
+#: Bytes hashed at once; longer texts are cut at white space, and only a longer word is taken whole.
+PIECE = 1 << 21
+#: A number per byte, 0 for white space; A-Z as a-z.
+_BYTES = np.array([xxhash.xxh3_64_intdigest(b"byte" + bytes([b])) for b in range(256)], np.uint64)
+_BYTES[ord("A") : ord("Z") + 1] = _BYTES[ord("a") : ord("z") + 1]
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTES[_SPACE] = 0
+_BASE = _U(0x9E3779B97F4A7C15 & ~7 | 5)  # 5 modulo 8: its powers repeat as late as any
+_BACK = _U(pow(int(_BASE), -1, 1 << 64))
+_powers = np.ones((2, 1), np.uint64)
+
+
+def _powers_to(n: int) -> np.ndarray:
+    """Powers 0 to n - 1 of the base and of its inverse."""
+    global _powers
+    if _powers.shape[1] < n:
+        n = max(n, 1 << 16)
+        steps = np.full((2, n), [[_BASE], [_BACK]], np.uint64)
+        steps[:, 0] = 1
+        _powers = np.multiply.accumulate(steps, axis=1)
+    return _powers
+
+
+def _hashes(raw: np.ndarray) -> np.ndarray:
+    """One number per word of a text's bytes: a polynomial over its bytes, from running sums."""
+    inside = ~_SPACE[raw]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    edges = np.r_[[0] if inside[0] else [], edges, [len(raw)] if inside[-1] else []].astype(np.int64)
+    starts, ends = edges[::2], edges[1::2]
+    powers = _powers_to(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTES[raw] * powers[0, : len(raw)], out=sums[1:])
+    return scramble((sums[ends] - sums[starts]) * powers[1, starts], 9)
 
 
 def word_hashes(text: str | None) -> np.ndarray:
     """One number per word: A-Z in lower case, cut at the six ASCII white space characters."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8) if text else np.zeros(0, np.uint8)
+    if len(raw) <= PIECE:
+        return _hashes(raw) if len(raw) else np.zeros(0, np.uint64)
+    found, at = [], 0
+    while at < len(raw):
+        end = min(len(raw), at + PIECE)
+        if end < len(raw):
+            gap = np.flatnonzero(_SPACE[raw[at:end]])
+            if not len(gap):  # a word longer than a piece
+                gap = np.flatnonzero(_SPACE[raw[end:]])
+                end = end + int(gap[0]) if len(gap) else len(raw)
+            else:
+                end = at + int(gap[-1]) + 1
+        found.append(_hashes(raw[at:end]))
+        at = end
+    return np.concatenate(found)
 
 
 def shingle_hashes(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
