@@ -1,6 +1,6 @@
 """Queries of the corpus operators over their whole tables, and SQL for those that SQL can express."""
 
-from dialoom.llm import bpe, embeddings, jaccard, mixing, quality, secrets, topk, urls
+from dialoom.llm import bpe, embeddings, jaccard, mixing, ngrams, quality, secrets, topk, urls
 
 QUERIES = {
     "op1_mixing_sources": mixing.op1_mixing_sources,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_quality": quality.op6_quality,
     "op7_url_filters": urls.op7_url_filters,
     "op8_exact_top_k": topk.op8_exact_top_k,
+    "op9_ngram_scores": ngrams.op9_ngram_scores,
     "op10_bpe": bpe.op10_bpe,
 }
 ORACLE_SQL = {
