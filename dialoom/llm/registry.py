@@ -1,11 +1,12 @@
 """Queries of the corpus operators over their whole tables, and SQL for those that SQL can express."""
 
-from dialoom.llm import bpe, embeddings, jaccard, mixing, ngrams, quality, secrets, topk, urls
+from dialoom.llm import bpe, embeddings, jaccard, mixing, ngrams, quality, quotes, secrets, topk, urls
 
 QUERIES = {
     "op1_mixing_sources": mixing.op1_mixing_sources,
     "op2_embedding_near_dedup": embeddings.op2_embedding_near_dedup,
     "op3_secret_scans": secrets.op3_secret_scans,
+    "op4_quotation_linking": quotes.op4_quotation_linking,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_quality": quality.op6_quality,
     "op7_url_filters": urls.op7_url_filters,
