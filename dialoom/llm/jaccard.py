@@ -5,15 +5,19 @@ similarity 0.8 or more differ in at most H = (|x| + |y|) / 9 shingles, so of seg
 that a probe of it stands) one must be found as soon as the sum of v + 1 is above H.
 
 * Bands from SMALL shingles on use v = 0: equal segments meet. There are about 15 % more segments than the least number,
-  and each set spends that surplus by cost: it skips the segments that meet in long buckets, and empty ones. A set that
-  has too few segments with shingles (which practice never shows) is compared with all sets of fitting size instead.
+  so two similar sets agree in several; each set spends that surplus by cost, on the segments that meet in the longest
+  buckets. A set that has too few segments with shingles (which practice never shows) is compared with all sets of fitting
+  size instead.
 * Smaller bands have half as many segments with v = 1: a segment and its one-deletion neighbourhood meet.
-* A set also probes the band below, if partners may be there, with its H + 1 largest segments, which cost least.
+* A set also probes the band below, if partners may be there.
 
 Buckets of SHORT rows or fewer give all their pairs. Longer buckets are read as a stream: each row is paired with the
-bucket's first, and kept for later. Each document's best-supported pair is verified and linked first; then all pairs whose
-ends are still in different classes, among them the pairs of long buckets across classes, the largest class of a bucket
-never against itself. So a large group of copies costs a star, not its square, and no pair that may link is dropped.
+bucket's first, and kept for later. Each document's best-supported pair is verified and linked first, then its pair with
+the best-linked document of its long buckets; then all pairs whose ends are still in different classes, among them the
+pairs of long buckets across classes, the largest class of a bucket never against itself. There, two sets that agree in no
+short bucket must agree in enough long ones: with buckets in one order, the shortest first, their first common bucket must
+leave either set as many further rows as it has segments beyond the differences allowed. So a large group of copies costs
+a star, and a passage in many documents next to nothing, and no pair that may link is dropped.
 Parity sketches, which bound the difference from below, rule out most pairs that do not link; verification is exact on
 the sets. Exact copies are joined beforehand through a key of the whole set.
 
@@ -96,19 +100,22 @@ def _below(n: int, band: int) -> tuple[int, int]:
     return (low, (n + low) // 9 + 1) if band > 1 and 5 * low >= 4 * n else (0, 0)
 
 
-def surplus(shingles: np.ndarray) -> int:
-    """Own segments that a set may skip; below 0 if it has too few, and must be held against all sets of fitting size."""
+def filled(shingles: np.ndarray) -> tuple[int, int, bool]:
+    """(own segments, segments in the band below, too few): of those that hold shingles and meet as a whole; else 0.
+
+    A set with too few for the differences it may have must be held against all sets of fitting size.
+    """
     n = len(shingles)
     if n < SMALL:
-        return 0
+        return 0, 0, False
     band = bisect_left(TOPS, n)
-    filled = int(np.count_nonzero(np.bincount(_segment_of(shingles, band))))
-    spare = filled - ((n + min(TOPS[band], n * 5 // 4)) // 9 + 1)
+    own = int(np.count_nonzero(np.bincount(_segment_of(shingles, band))))
+    few = own <= (n + min(TOPS[band], n * 5 // 4)) // 9
     low, need = _below(n, band)
-    if low >= SMALL:
-        filled = int(np.count_nonzero(np.bincount(_segment_of(shingles, band - 1))))
-        spare = spare if filled >= need else min(spare, filled - need)
-    return spare
+    if low < SMALL:
+        return own, 0, few
+    below = int(np.count_nonzero(np.bincount(_segment_of(shingles, band - 1))))
+    return own, below, few or below < need
 
 
 def signatures(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,13 +125,7 @@ def signatures(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     band = bisect_left(TOPS, n)
     sigs, roles = _probe(shingles, band, 0)
-    low, need = _below(n, band)
-    if low >= SMALL:
-        m, where = segments_of(band - 1), _segment_of(shingles, band - 1)
-        largest = np.argsort(-np.bincount(where, minlength=m), kind="stable")[:need]
-        more = _name(band - 1, largest, _totals(where, scramble(shingles, 5), m)[largest])
-        sigs, roles = np.r_[sigs, more], np.r_[roles, np.full(len(more), BELOW)]
-    elif low:
+    if _below(n, band)[0]:
         more, their = _probe(shingles, band - 1, BELOW)
         sigs, roles = np.r_[sigs, more], np.r_[roles, their]
     return sigs, roles
@@ -165,8 +166,8 @@ def _sizes(width):
             sets = [shingle_set(t, width) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [ids.cast(pa.int64()), *map(pa.array, ([len(s) for s in sets], [set_key(s) for s in sets])),
-                 pa.array([surplus(s) for s in sets], pa.int32()), pa.array([sketch(s) for s in sets], pa.binary())],
-                ["doc", "n", "key", "surplus", "sketch"],
+                 *(pa.array(x, kind) for x, kind in zip(zip(*map(filled, sets)), (pa.int32(), pa.int32(), pa.bool_()))), pa.array([sketch(s) for s in sets], pa.binary())],
+                ["doc", "n", "key", "own", "below", "few", "sketch"],
             )
 
     return run
@@ -332,22 +333,37 @@ def _class_of(pairs: DataFrame, classes: DataFrame, column: str, name: str) -> D
     return pairs.join(named, column, "left").withColumn(name, F.coalesce(name, column))
 
 
-def _long_bucket_pairs(rows: DataFrame, sized: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of documents in different classes that only long buckets bring together."""
+def _mixed_rows(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """sig, doc, n, role, of (class), main (the bucket's largest class), length: rows of long buckets that hold several classes."""
     rows = rows.select(F.col("a").alias("sig"), F.col("b").alias("doc"), F.shiftright("c", 2).alias("n"), F.col("c").bitwiseAND(3).alias("role"))
     rows = _class_of(rows, classes, "doc", "of")
     groups = rows.groupBy("sig", "of").agg(F.count("*").alias("size"))
-    mixed = groups.groupBy("sig").agg(F.max_by("of", F.struct("size", "of")).alias("main"), F.count("*").alias("classes")).where("classes > 1")
-    rows = rows.join(mixed.select("sig", "main"), "sig")
-    # what a set must still find in long buckets, after the surplus of its own band is spent on them
-    own = (F.col("role") == 0) & (F.col("n") >= SMALL)
-    spare = sized.select("doc", "surplus").dropDuplicates(["doc"])
-    order = Window.partitionBy("doc", own).orderBy("sig")
-    rows = rows.withColumn("turn", F.row_number().over(order)).join(spare, "doc")
-    rows = rows.withColumn("asks", ~own | (F.col("turn") > F.col("surplus")))
-    minor = rows.where("of <> main").select("sig", *(F.col(c).alias(f"{c}1") for c in ("doc", "of", "n", "role", "asks")))
+    mixed = groups.groupBy("sig").agg(F.max_by("of", F.struct("size", "of")).alias("main"), F.count("*").alias("classes"), F.sum("size").alias("length")).where("classes > 1")
+    return rows.join(mixed.select("sig", "main", "length"), "sig")
+
+
+def _hub_pairs(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """For each document the pair with the hub that it meets most often: the document of most links in a bucket of another class."""
+    degrees = links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("degree"))
+    known = rows.join(degrees, "doc", "left").withColumn("rank", F.struct(F.coalesce("degree", F.lit(0)), -F.col("doc")))
+    hubs = known.groupBy("sig").agg(F.max_by(F.struct("doc", "of", "n", "role"), "rank").alias("hub"))
+    met = rows.join(hubs, "sig").where("of <> hub.of AND (role & hub.role) = 0 AND 5 * least(n, hub.n) >= 4 * greatest(n, hub.n)")
+    times = met.groupBy("doc", F.col("hub.doc").alias("hub")).agg(F.count("*").alias("times"))
+    best = times.groupBy("doc").agg(F.max_by("hub", F.struct("times", -F.col("hub"))).alias("hub"))
+    return best.select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct()
+
+
+def _long_bucket_pairs(rows: DataFrame, sized: DataFrame) -> DataFrame:
+    """Pairs of documents in different classes that only long buckets bring together; rows from _mixed_rows()."""
+    segments = sized.groupBy("doc").agg(F.min("own").alias("own"), F.min("below").alias("below"))
+    shortest_first = Window.partitionBy("doc", "role").orderBy(F.desc("length"), F.desc("sig"))
+    rows = rows.withColumn("left", F.row_number().over(shortest_first)).join(segments, "doc")
+    # segments of the set in this bucket's band, if they meet as a whole: two sets agree in all but the differing ones
+    rows = rows.withColumn("whole", F.when(F.col("role") == 0, F.col("own")).when(F.col("role") == BELOW, F.col("below")).otherwise(0)).drop("own", "below", "length")
+    minor = rows.where("of <> main").select("sig", *(F.col(c).alias(f"{c}1") for c in ("doc", "of", "n", "role", "left", "whole")))
     met = minor.join(rows, "sig").where(
-        "of <> of1 AND doc <> doc1 AND (asks OR asks1) AND (role & role1) = 0 AND 5 * least(n, n1) >= 4 * greatest(n, n1)"
+        "of <> of1 AND doc <> doc1 AND (role & role1) = 0 AND 5 * least(n, n1) >= 4 * greatest(n, n1)"
+        " AND left >= whole - floor((n + n1) / 9) AND left1 >= whole1 - floor((n + n1) / 9)"
     )
     return met.select(F.least("doc", "doc1").alias("a"), F.greatest("doc", "doc1").alias("b")).distinct()
 
@@ -356,7 +372,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, id_col="doc_id", text_c
     """doc_id, n_shingles, component_id for every row of docs."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    sized = scratch.table(docs.mapInArrow(_sizes(width), "doc long, n long, key long, surplus int, sketch binary"), "sizes")
+    sized = scratch.table(docs.mapInArrow(_sizes(width), "doc long, n long, key long, own int, below int, few boolean, sketch binary"), "sizes")
     full = sized.where("n > 0 AND doc IS NOT NULL")
     single = full.dropDuplicates(["doc"])
     copies = full.join(full.groupBy("key", "n").agg(F.min("doc").alias("v")), ["key", "n"]).where("doc <> v").select(F.col("doc").alias("u"), "v")
@@ -366,7 +382,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, id_col="doc_id", text_c
     met = scratch.table(met, "met")
     pairs = met.where("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("times"))
     # sets with too few segments are held against all sets of fitting size
-    lost = full.where("surplus < 0").select(F.col("doc").alias("a0"), F.col("n").alias("n0"))
+    lost = full.where("few").select(F.col("doc").alias("a0"), F.col("n").alias("n0"))
     if lost.limit(1).count():
         wide = lost.join(full, F.expr("doc <> a0 AND 5 * least(n, n0) >= 4 * greatest(n, n0)"))
         wide = wide.select(F.least("a0", "doc").alias("a"), F.greatest("a0", "doc").alias("b"), F.lit(1).cast("long").alias("times"))
@@ -378,12 +394,19 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, id_col="doc_id", text_c
     links = scratch.table(_links(docs, single, best, width, scratch).unionAll(copies.select(F.col("v").alias("a"), F.col("u").alias("b"))), "first")
     classes = connected_components(scratch, links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    rest = pairs.select("a", "b").unionAll(_long_bucket_pairs(met.where("kind = 1"), full, classes))
+    def with_links(more: DataFrame) -> DataFrame:
+        known = classes.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        return connected_components(scratch, known.unionAll(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+
+    mixed = scratch.table(_mixed_rows(met.where("kind = 1"), classes), "mixed")
+    hubs = scratch.table(_hub_pairs(mixed, links).join(best, ["a", "b"], "left_anti"), "hubs")
+    classes = with_links(_links(docs, single, hubs, width, scratch))
+
+    mixed = scratch.table(_mixed_rows(met.where("kind = 1"), classes), "mixed")
+    rest = pairs.select("a", "b").unionAll(_long_bucket_pairs(mixed, full))
     rest = _class_of(_class_of(rest, classes, "a", "of_a"), classes, "b", "of_b").where("of_a <> of_b")
-    rest = scratch.table(rest.select("a", "b").distinct().join(best, ["a", "b"], "left_anti"), "rest")
-    more = _links(docs, single, rest, width, scratch)
-    known = classes.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    classes = connected_components(scratch, known.unionAll(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    rest = scratch.table(rest.select("a", "b").distinct().join(best.unionAll(hubs), ["a", "b"], "left_anti"), "rest")
+    classes = with_links(_links(docs, single, rest, width, scratch))
     out = _class_of(sized.select("doc", "n"), classes, "doc", "component_id")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
 
