@@ -16,8 +16,10 @@ bucket's first, and kept for later. Each document's best-supported pair is verif
 the best-linked document of its long buckets; then all pairs whose ends are still in different classes, among them the
 pairs of long buckets across classes, the largest class of a bucket never against itself. There, two sets that agree in no
 short bucket must agree in enough long ones: with buckets in one order, the shortest first, their first common bucket must
-leave either set as many further rows as it has segments beyond the differences allowed. So a large group of copies costs
-a star, and a passage in many documents next to nothing, and no pair that may link is dropped.
+leave either set as many further rows as it has segments beyond the differences allowed. Buckets in which one class has
+CROWD rows or more are taken together by that class: what meets it, and the class's rows, are held against each other by
+sketches in blocks of BLOCK rows, and only pairs that may link become rows. So a large group of copies costs a star, and a
+passage in many documents next to nothing, and no pair that may link is dropped.
 Parity sketches, which bound the difference from below, rule out most pairs that do not link; verification is exact on
 the sets. Exact copies are joined beforehand through a key of the whole set.
 
@@ -45,6 +47,7 @@ SMALL = 64
 SHORT = 8
 BLOOM_WORDS = 1 << 17
 ROWS_AT_ONCE = 128
+CROWD, BLOCK = 32, 1024
 #: Roles of a signature row, added up: a one-deletion variant; a probe of the band below.
 DELETION, BELOW = 1, 2
 _U = np.uint64
@@ -338,8 +341,8 @@ def _mixed_rows(rows: DataFrame, classes: DataFrame) -> DataFrame:
     rows = rows.select(F.col("a").alias("sig"), F.col("b").alias("doc"), F.shiftright("c", 2).alias("n"), F.col("c").bitwiseAND(3).alias("role"))
     rows = _class_of(rows, classes, "doc", "of")
     groups = rows.groupBy("sig", "of").agg(F.count("*").alias("size"))
-    mixed = groups.groupBy("sig").agg(F.max_by("of", F.struct("size", "of")).alias("main"), F.count("*").alias("classes"), F.sum("size").alias("length")).where("classes > 1")
-    return rows.join(mixed.select("sig", "main", "length"), "sig")
+    mixed = groups.groupBy("sig").agg(F.max_by("of", F.struct("size", "of")).alias("main"), F.max("size").alias("crowd"), F.count("*").alias("classes"), F.sum("size").alias("length")).where("classes > 1")
+    return rows.join(mixed.select("sig", "main", "crowd", "length"), "sig")
 
 
 def _hub_pairs(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -357,7 +360,7 @@ def _long_bucket_pairs(rows: DataFrame, sized: DataFrame) -> DataFrame:
     """Pairs of documents in different classes that only long buckets bring together; rows from _mixed_rows()."""
     segments = sized.groupBy("doc").agg(F.min("own").alias("own"), F.min("below").alias("below"))
     shortest_first = Window.partitionBy("doc", "role").orderBy(F.desc("length"), F.desc("sig"))
-    rows = rows.withColumn("left", F.row_number().over(shortest_first)).join(segments, "doc")
+    rows = rows.where(F.col("crowd") < CROWD).withColumn("left", F.row_number().over(shortest_first)).join(segments, "doc")
     # segments of the set in this bucket's band, if they meet as a whole: two sets agree in all but the differing ones
     rows = rows.withColumn("whole", F.when(F.col("role") == 0, F.col("own")).when(F.col("role") == BELOW, F.col("below")).otherwise(0)).drop("own", "below", "length")
     minor = rows.where("of <> main").select("sig", *(F.col(c).alias(f"{c}1") for c in ("doc", "of", "n", "role", "left", "whole")))
@@ -368,6 +371,57 @@ def _long_bucket_pairs(rows: DataFrame, sized: DataFrame) -> DataFrame:
     return met.select(F.least("doc", "doc1").alias("a"), F.greatest("doc", "doc1").alias("b")).distinct()
 
 
+def _block_pairs(batches):
+    """Rows (main, low, high, part, doc, of, minor, n, sketch), sorted by group -> the pairs (a, b) of a group that may link."""
+
+    def group(rows: pa.Table):
+        doc, of, n, part = (rows[c].to_numpy() for c in ("doc", "of", "n", "part"))
+        minor = rows["minor"].to_numpy(zero_copy_only=False)
+        crossing = rows["low"][0].as_py() != rows["high"][0].as_py()
+        sketches = [np.frombuffer(x, np.uint8) for x in rows["sketch"].to_pylist()]
+        size = np.array([len(x) for x in sketches])
+        found = []
+        for short in np.unique(size):
+            mine = np.flatnonzero(size == short)
+            mine_bits = np.stack([sketches[i] for i in mine])
+            for long in np.unique(size[size >= short]):
+                others = np.flatnonzero(size == long)
+                bits = np.stack([np.bitwise_xor.reduce(sketches[i].reshape(-1, short), axis=0) for i in others])
+                for i, x in zip(mine, mine_bits):
+                    ok = (minor[i] | minor[others]) & (of[i] != of[others]) & (5 * np.minimum(n[i], n[others]) >= 4 * np.maximum(n[i], n[others]))
+                    ok &= (part[others] != part[i]) if crossing else np.True_
+                    at = np.flatnonzero(ok)
+                    differ = np.bitwise_count(bits[at] ^ x).sum(axis=1, dtype=np.int64)
+                    at = others[at[9 * differ <= n[i] + n[others[at]]]]
+                    found.append(np.stack([np.minimum(doc[i], doc[at]), np.maximum(doc[i], doc[at])]))
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+        return _arrow(["a", "b"], pairs[0], pairs[1])
+
+    held = None
+    for batch in batches:
+        new = pa.Table.from_batches([batch])
+        held = new if held is None else pa.concat_tables([held, new])
+        keys = [held[c].to_numpy() for c in ("main", "low", "high")]
+        bounds = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1).tolist()]
+        for start, end in zip(bounds, bounds[1:]):
+            yield group(held.slice(start, end - start))
+        held = held.slice(bounds[-1])
+    if held is not None and held.num_rows:
+        yield group(held)
+
+
+def _crowd_pairs(rows: DataFrame, single: DataFrame) -> DataFrame:
+    """Pairs of documents that meet in buckets where one class has CROWD rows or more; rows from _mixed_rows()."""
+    rows = rows.where(F.col("crowd") >= CROWD).select("main", "doc", "of", (F.col("of") != F.col("main")).alias("minor")).distinct()
+    parts = rows.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    rows = rows.join(parts, "main").join(single.select("doc", "n", "sketch"), "doc")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    rows = rows.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+    rows = rows.select("main", "low", "high", "part", "doc", "of", "minor", "n", "sketch")
+    keys = ("main", "low", "high")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_block_pairs, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     scratch = Scratch(docs.sparkSession, "jaccard")
@@ -403,7 +457,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, id_col="doc_id", text_c
     classes = with_links(_links(docs, single, hubs, width, scratch))
 
     mixed = scratch.table(_mixed_rows(met.where("kind = 1"), classes), "mixed")
-    rest = pairs.select("a", "b").unionAll(_long_bucket_pairs(mixed, full))
+    rest = pairs.select("a", "b").unionAll(_long_bucket_pairs(mixed, full)).unionAll(_crowd_pairs(mixed, single))
     rest = _class_of(_class_of(rest, classes, "a", "of_a"), classes, "b", "of_b").where("of_a <> of_b")
     rest = scratch.table(rest.select("a", "b").distinct().join(best.unionAll(hubs), ["a", "b"], "left_anti"), "rest")
     classes = with_links(_links(docs, single, rest, width, scratch))
