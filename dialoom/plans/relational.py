@@ -85,6 +85,15 @@ def constraint_report(t):
     return catalogue.violations(t("part").where("p_partkey < 150"), "p_size", F.col("p_name"))
 
 
+@query("""
+WITH b AS (SELECT lower(trim(CAST(p_size AS VARCHAR))) AS id, p_name AS surface FROM part)
+SELECT 'duplicate_id' AS rule, id AS value, count(*) AS n FROM b WHERE id <> '' GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'ambiguous_surface', surface, count(DISTINCT id) FROM b WHERE surface <> '' GROUP BY surface HAVING count(DISTINCT id) > 1""")
+def constraint_report_all(t):
+    """constraint_report over the whole of part."""
+    return catalogue.violations(t("part"), "p_size", F.col("p_name"))
+
+
 @query("""
 WITH x AS (SELECT p_partkey, lpad(bin(CAST('0x' || substr(sha256('book::v3::' || p_partkey), 1, 10) AS BIGINT)), 40, '0') AS b FROM part)
 SELECT p_partkey, list_aggregate(list_transform(range(8), lambda k: substr('0123456789ABCDEFGHJKMNPQRSTVWXYZ', CAST(list_sum(list_transform(range(5), lambda j: CAST(substr(b, CAST(5 * k + j + 1 AS BIGINT), 1) AS INT) * CAST(pow(2, 4 - j) AS INT))) AS BIGINT) + 1, 1)), 'string_agg', '') AS guid FROM x""")
