@@ -2,7 +2,8 @@
 
 Counting. One pass counts words; their sorted hashes are the vocabulary, and a word's place there is its id. A second pass
 counts n-grams of the highest order, as ids. Each task sums what it has before the shuffle, and rows go to shards by the
-hash of the whole n-gram, so that frequent words and contexts spread evenly. A shard writes its n-grams as a file of sorted
+hash of the whole n-gram, so that frequent words and contexts spread evenly. What is dealt out is packed: sorted, the first
+column as differences, bytes of equal weight side by side, compressed; the ids and counts are whole. A shard writes its n-grams as a file of sorted
 64-bit hashes with their counts, and passes on two kinds of partial sums: per context, how often and how variously it goes
 on; per suffix, how many different words stand before it, which are the counts of the next lower order. Suffixes that start
 at the beginning of a text keep their plain counts. Nothing is pruned: the model grows with the corpus.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from dialoom.llm.shared import Scratch, table
 from dialoom.llm.shingles import _odd, scramble, word_hashes
 
-ORDER = 2
+ORDER = 3
 TOKENS_AT_ONCE = 1 << 20
 TOKENS_A_SHARD = 2_000_000
 ROWS_AT_ONCE = 256
@@ -42,8 +43,9 @@ FALLBACK = (0.5, 1.0, 1.5)
 _U = np.uint64
 _END = scramble(np.array([0x656E64], np.uint64), 11)[0]
 _ODD = _odd(16)
-#: Columns beside the keys, by kind of file.
-COLUMNS = {"word": ("u8", 1), "gram": ("f4", 1), "context": ("f4", 4)}
+#: Columns beside the keys, by kind of file. A column has a byte per number; numbers from LARGE on stand in a list after them.
+COLUMNS = {"word": 1, "gram": 1, "context": 4}
+LARGE = 255
 ROWS = "kind int, level int, shard int, keys binary, counts binary"
 
 
@@ -64,7 +66,7 @@ _MAPS: dict[str, dict] = {}
 
 
 class Arrays:
-    """Sorted hash arrays in a folder: for a kind, level and shard a file of n uint64 keys, then n numbers per column."""
+    """Sorted hash arrays in a folder: for a kind, level and shard a file of n uint64 keys, n bytes per column, places and values of large numbers."""
 
     def __init__(self, root: str, shards: dict, sizes: dict):
         self.root, self.shards, self.sizes = root, shards, sizes
@@ -81,10 +83,14 @@ class Arrays:
         name, part = f"{folder}/{kind}{level}-{shard}", f"{folder}/.{kind}{level}-{shard}-{uuid.uuid4().hex}"
         with fs.open_output_stream(part) as out:
             out.write(np.ascontiguousarray(keys, np.uint64).tobytes())
-            out.write(np.ascontiguousarray(columns, np.dtype(COLUMNS[kind][0])).tobytes())
+            flat = np.ascontiguousarray(columns, np.float64).ravel()
+            large = np.flatnonzero(flat >= LARGE)
+            out.write(np.minimum(flat, LARGE).astype(np.uint8).tobytes())
+            out.write(large.astype(np.uint64).tobytes())
+            out.write(flat[large].tobytes())
         fs.move(part, name)
 
-    def mapped(self, kind: str, level: int, shard: int) -> tuple[np.ndarray, np.ndarray] | None:
+    def mapped(self, kind: str, level: int, shard: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
         if not (n := self.sizes.get((kind, level, shard), 0)):
             return None
         if self.root not in _MAPS:  # the maps of one model at a time stay from task to task
@@ -97,26 +103,30 @@ class Arrays:
                 copies = maps.setdefault("copies", tempfile.TemporaryDirectory(prefix="dialoom-"))
                 pafs.copy_files(path, local := f"{copies.name}/{kind}{level}-{shard}", source_filesystem=fs, destination_filesystem=pafs.LocalFileSystem())
                 path = local
-            form, width = COLUMNS[kind]
-            whole = np.memmap(path, np.uint8, "r")
-            maps[at] = whole[: 8 * n].view(np.uint64), whole[8 * n :].view(form).reshape(width, n)
+            whole, end = np.memmap(path, np.uint8, "r"), (8 + COLUMNS[kind]) * n
+            large = whole[end:].tobytes()
+            places, values = np.frombuffer(large[: len(large) // 2], np.uint64), np.frombuffer(large[len(large) // 2 :], np.float64)
+            maps[at] = whole[: 8 * n].view(np.uint64), whole[8 * n : end].reshape(-1, n), places, values
         return maps[at]
 
     def find(self, kind: str, level: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(columns x keys numbers, 0 where absent; places within their shards, -1 where absent)."""
-        form, width = COLUMNS[kind]
+        width = COLUMNS[kind]
         asked, back = np.unique(keys, return_inverse=True)
-        found, places = np.zeros((width, len(asked)), form), np.full(len(asked), -1)
+        found, places = np.zeros((width, len(asked))), np.full(len(asked), -1)
         shards = self.shards[kind]
         bounds = np.searchsorted(shard_of(asked, shards), np.arange(shards + 1))
         for shard in np.flatnonzero(bounds[1:] > bounds[:-1]).tolist():
             if (file := self.mapped(kind, level, shard)) is None:
                 continue
-            there, numbers = file
+            there, numbers, large, values = file
             a, b = bounds[shard], bounds[shard + 1]
             at = np.minimum(np.searchsorted(there, asked[a:b]), len(there) - 1)
             hit = there[at] == asked[a:b]
-            found[:, a:b][:, hit] = numbers[:, at[hit]]
+            got = numbers[:, at[hit]].astype(np.float64)
+            row, k = np.nonzero(got == LARGE)
+            got[row, k] = values[np.searchsorted(large, (row * len(there) + at[hit][k]).astype(np.uint64))]
+            found[:, a:b][:, hit] = got
             places[a:b][hit] = at[hit]
         return found[:, back], places[back]
 
@@ -130,14 +140,33 @@ def _tokens(batches, column: int):
             yield part, np.concatenate(found), np.array([len(x) for x in found], np.int64)
 
 
+def _packed(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Rows of keys in sorted order, and their counts: what _unpacked() reads."""
+    order = np.lexsort(keys.T[::-1]) if keys.shape[1] > 1 else np.argsort(keys[:, 0])
+    keys, n = keys[order], len(keys)
+    keys[1:, 0] = np.diff(keys[:, 0])
+    planes = (np.ascontiguousarray(keys).view(np.uint8).reshape(n, -1), np.ascontiguousarray(counts[:, order].T, np.uint32).view(np.uint8).reshape(n, -1))
+    found = [pa.compress(np.ascontiguousarray(p.T).tobytes(), "zstd", asbytes=True) for p in planes]
+    return n.to_bytes(8, "little") + found[0], found[1]
+
+
+def _unpacked(keys: bytes, counts: bytes, width: int, columns: int, form) -> tuple[np.ndarray, np.ndarray]:
+    """((rows, width) keys, (columns, rows) counts)"""
+    n, size = int.from_bytes(keys[:8], "little"), np.dtype(form).itemsize * width
+    planes = (np.frombuffer(pa.decompress(x, n * w, "zstd", asbytes=True), np.uint8).reshape(w, n) for x, w in ((keys[8:], size), (counts, 4 * columns)))
+    keys, counts = (p.T.copy().view(f) for p, f in zip(planes, (form, np.uint32)))
+    keys[:, 0] = np.cumsum(keys[:, 0], dtype=form)
+    return keys, counts.T
+
+
 def _rows(kind: int, level: int, keys: np.ndarray, hashes: np.ndarray, counts: np.ndarray, shards: int):
-    """keys (one row each) and counts (one column each), which follow hashes in order, as one row of bytes per shard."""
+    """keys (one row each) and counts (one column each), which follow hashes in order, as one packed row per shard."""
     bounds = np.searchsorted(shard_of(hashes, shards), np.arange(shards + 1))
     there = np.flatnonzero(bounds[1:] > bounds[:-1])
-    cut = [(bounds[s], bounds[s + 1]) for s in there]
+    cut = [_packed(keys[a:b].reshape(b - a, -1), counts[:, a:b]) for a, b in ((bounds[s], bounds[s + 1]) for s in there)]
     return pa.RecordBatch.from_arrays(
         [pa.array(np.full(len(there), kind, np.int32)), pa.array(np.full(len(there), level, np.int32)), pa.array(there.astype(np.int32)),
-         pa.array([keys[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([np.ascontiguousarray(counts[:, a:b]).tobytes() for a, b in cut], pa.binary())],
+         pa.array([x for x, _ in cut], pa.binary()), pa.array([x for _, x in cut], pa.binary())],
         ["kind", "level", "shard", "keys", "counts"],
     )
 
@@ -156,8 +185,9 @@ def _gathered(batches, kind: int, width: int, columns: int, form) -> tuple[int,
         for row in batch.to_pylist():
             if row["kind"] == kind:
                 shard = row["shard"]
-                keys.append(np.frombuffer(row["keys"], form).reshape(-1, width))
-                counts.append(np.frombuffer(row["counts"], np.uint32).reshape(columns, -1))
+                k, c = _unpacked(row["keys"], row["counts"], width, columns, form)
+                keys.append(k)
+                counts.append(c)
     if not keys:
         return shard, np.zeros((0, width), form), np.zeros((columns, 0), np.uint64)
     return shard, np.concatenate(keys), np.concatenate(counts, axis=1).astype(np.uint64)

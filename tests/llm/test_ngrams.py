@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from dialoom.llm import ngrams
@@ -84,3 +85,23 @@ def test_long_text(spark):
     docs = spark.createDataFrame([(1, "ab " * 700_000 + "x" * 3_000_000)], "doc_id long, text string")
     row = ngrams.score(docs, ngrams.train(docs)).first()
     assert row.n_tokens == 700_002 == row.n_known and row.score > row.base_score
+
+
+def test_registered_query_is_a_trigram_model(spark, tmp_path):
+    rows = [(i, f"{t} again" if i % 2 else t) for i, (_, t) in enumerate(DOCS * 4) if t]
+    rows.append((10_001, "the cat " * 400))  # counts beyond a byte
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in ngrams.op9_ngram_scores(spark, str(tmp_path)).collect()}
+    p, _ = brute([t for i, t in rows if not found[i].held_out], 3)
+    assert len(found) == len(rows) and any(r.held_out for r in found.values())
+    for i, t in rows:
+        seq = ["<s>"] * 2 + tokens(t)
+        assert found[i].score == pytest.approx(sum(math.log10(p(tuple(seq[j : j + 3]))) for j in range(len(seq) - 2)), rel=1e-9)
+
+
+def test_packing_is_lossless():
+    keys = np.random.default_rng(1).integers(0, 1 << 32, (1000, 3), dtype=np.uint32)
+    keys[:500, 0] = 7
+    counts = np.arange(2000, dtype=np.uint32).reshape(2, 1000)
+    k, c = ngrams._unpacked(*ngrams._packed(keys, counts), 3, 2, np.uint32)
+    assert sorted(map(tuple, np.c_[keys, counts.T].tolist())) == sorted(map(tuple, np.c_[k, c.T].tolist()))
