@@ -123,3 +123,93 @@ def merged_lines(lines: DataFrame, group, order: str, text: str) -> DataFrame:
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: F.trim(x[text])), "\n")
     found = found.groupBy(*group, "_run").agg(F.min(order).alias(order), F.count("*").alias("merged"), joined.alias(text))
     return found.drop("_run").withColumn(text, F.regexp_replace(F.regexp_replace(text, "-\n", "-"), "\n", " "))
+
+
+def same_speaker_followup(row: Column, speaker: Column, is_narration: Column, group, order, window: int | None = None) -> Column:
+    """`row` of the first line of the same speaker among `window` lines from the second next on, null if none.
+
+    Without a window: of the next dialogue line from there on, null if another speaks it. Narration, unnamed lines and lines
+    without a speaker have no follow-up.
+    """
+    spoken = F.when(~is_narration, F.struct(speaker.alias("who"), row.alias("row")))
+    if window is None:
+        # in reverse order the frame only grows, so the work is one step a line
+        ahead = Window.partitionBy(*group).orderBy(*(F.desc(c) for c in order)).rowsBetween(Window.unboundedPreceding, -2)
+        found = F.last(F.when(speaker.isNotNull(), spoken), ignorenulls=True).over(ahead)
+    else:
+        ahead = F.collect_list(spoken).over(_within(group, order).rowsBetween(2, window + 1))
+        found = F.get(F.filter(ahead, lambda x: x["who"] == speaker), F.lit(0))
+    return F.when((speaker != "") & ~is_narration & (found["who"] == speaker), found["row"])
+
+
+#: Fixed value: the least confidence of a candidate.
+LEAST_SCORE = 1e-6
+
+
+def _named(text: Column) -> Column:
+    return F.lower(F.trim(F.coalesce(text, F.lit(""))))
+
+
+def _scored(speaker: Column, candidates: Column) -> Column:
+    """Candidates as (key, name, score), one per name without regard to case, the best and then the first; else the speaker at 0.5."""
+    score = lambda c: F.greatest(F.lit(LEAST_SCORE), F.least(F.lit(1.0), F.coalesce(c["confidence"].cast("double"), F.lit(0.0))))
+    made = lambda c: F.struct(_named(c["name"]).alias("key"), F.trim(c["name"]).alias("name"), score(c).alias("score"))
+    rows = F.filter(F.transform(F.coalesce(candidates, F.array().cast("array<struct<name:string,confidence:double>>")), made), lambda c: c["key"] != "")
+    best = lambda key: F.reduce(
+        F.filter(rows, lambda c: c["key"] == key), F.get(F.filter(rows, lambda c: c["key"] == key), F.lit(0)), lambda a, c: F.when(c["score"] > a["score"], c).otherwise(a)
+    )
+    own = F.filter(F.array(F.struct(_named(speaker).alias("key"), F.trim(speaker).alias("name"), F.lit(0.5).alias("score"))), lambda c: c["key"] != "")
+    return F.when(F.size(rows) > 0, F.transform(F.array_distinct(F.transform(rows, lambda c: c["key"])), best)).otherwise(own)
+
+
+def decoded_episodes(lines: DataFrame, group, order: str, stay: float = -0.28, change: float = 0.28) -> DataFrame:
+    """group, order, decoded, overridden for every row of lines (group, order, paragraph, speaker, candidates, hard, suggestion).
+
+    Rows are dialogue lines. An episode ends where the paragraph rises by more than 1. Only episodes of two hard lines at
+    least and two participants in all (speakers of hard lines, and all candidates) are decoded, and only suggestions that
+    are not hard change, to one of their own candidates.
+    """
+    paragraph, keys = F.when(F.col("paragraph") >= 0, F.col("paragraph")), [*group, "_episode"]
+    of = lines.select(
+        *group, order, "speaker", F.coalesce("hard", F.lit(False)).alias("hard"), F.coalesce("suggestion", F.lit(False)).alias("suggestion"),
+        episode_ids(paragraph, group, [order], 1).alias("_episode"), _scored(F.col("speaker"), F.col("candidates")).alias("all"),
+    )
+    key = _named(F.col("speaker"))
+    fixed = (F.col("hard") | ~F.col("suggestion")) & (key != "")
+    alone = F.array(F.struct(key.alias("key"), F.trim("speaker").alias("name"), F.lit(1.0).alias("score")))
+    of = of.withColumns({"own": key, "open": F.when(fixed, alone).otherwise(F.col("all"))})
+    line = F.struct(order, "speaker", "own", "hard", "suggestion", "all", "open")
+    seen = F.flatten(F.transform("ls", lambda x: F.concat(F.transform(x["all"], lambda c: c["key"]), F.filter(F.array(F.when(x["hard"], x["own"])), lambda k: k != ""))))
+    whole = of.groupBy(*keys).agg(F.array_sort(F.collect_list(line)).alias("ls"), F.count_if("hard").alias("anchors"))
+    whole = whole.withColumn("two", F.array_sort(F.array_distinct(seen)))
+    a, b = F.get("two", F.lit(0)), F.get("two", F.lit(1))
+    log = lambda x, k: F.coalesce(F.log(F.get(F.filter(x["open"], lambda c: c["key"] == k), F.lit(0))["score"]), F.lit(float("-inf")))
+    steps = F.transform("ls", lambda x: F.struct(log(x, a).alias("a"), log(x, b).alias("b"), (F.get(x["open"], F.lit(0))["key"] == a).alias("a_first")))
+    stuck = F.exists("steps", lambda x: (x["a"] == float("-inf")) & (x["b"] == float("-inf")))
+    whole = whole.withColumn("steps", steps).withColumn("path", F.when((F.col("anchors") >= 2) & (F.size("two") == 2) & ~stuck, _episode_path(F.col("steps"), stay, change)))
+    out = whole.select(*group, "two", F.explode(F.transform("ls", lambda x, i: F.struct(x.alias("l"), F.get("path", i).alias("at")))).alias("x"))
+    x = F.col("x.l")
+    chosen = F.get(F.filter(x["all"], lambda c: c["key"] == F.get("two", F.col("x.at"))), F.lit(0))
+    over = F.coalesce(x["suggestion"] & ~x["hard"] & (chosen["key"] != x["own"]), F.lit(False))
+    return out.select(*group, x[order].alias(order), F.when(over, chosen["name"]).otherwise(x["speaker"]).alias("decoded"), over.alias("overridden"))
+
+
+def _episode_path(steps: Column, stay: float, change: float) -> Column:
+    """two_speaker_path() for steps (a, b, a_first) with absent speakers at -inf; ties go to the line's first candidate."""
+    none = F.array().cast("array<int>")
+    start = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), none.alias("path_a"), none.alias("path_b"), F.lit(True).alias("a_first"))
+
+    def first(s: Column, a: Column, b: Column) -> Column:
+        return (a > b) | ((a == b) & s["a_first"])
+
+    def step(s: Column, x: Column) -> Column:
+        fresh = F.size(s["path_a"]) == 0
+        held, moved = F.when(fresh, 0.0).otherwise(stay), F.when(fresh, 0.0).otherwise(change)
+        aa, ba, ab, bb = s["a"] + x["a"] + held, s["b"] + x["a"] + moved, s["a"] + x["b"] + moved, s["b"] + x["b"] + held
+        return F.struct(
+            F.greatest(aa, ba).alias("a"), F.greatest(ab, bb).alias("b"),
+            F.concat(F.when(first(s, aa, ba), s["path_a"]).otherwise(s["path_b"]), F.array(F.lit(0))).alias("path_a"),
+            F.concat(F.when(first(s, ab, bb), s["path_a"]).otherwise(s["path_b"]), F.array(F.lit(1))).alias("path_b"), x["a_first"].alias("a_first"),
+        )
+
+    return F.aggregate(steps, start, step, lambda s: F.when(first(s, s["a"], s["b"]), s["path_a"]).otherwise(s["path_b"]))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dialoom.functions.scalars import joined, ratio
-from dialoom.operators import aggregate, sequence
+from dialoom.operators import aggregate, sequence, training
 from dialoom.plans.registry import query
 
 CHAPTER, LINE = ["conv_id"], ["turn"]
@@ -211,3 +211,65 @@ SELECT user_id, m AS male, f AS female, CASE WHEN m - f >= 2 THEN 'male' WHEN f
 def learned_gender(t):
     sums = t("events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("male"), F.count_if(F.col("event_type") == "view").alias("female"))
     return sums.withColumn("learned", aggregate.learned_gender(F.lit("unknown"), F.col("male"), F.col("female")))
+
+
+@query("""
+WITH r AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+n AS (SELECT a.conv_id, a.turn, a.role, min(b.i) AS next FROM r a LEFT JOIN r b ON b.conv_id = a.conv_id AND b.i >= a.i + 2 AND b.role <> 'system' GROUP BY ALL),
+w AS (SELECT a.conv_id, a.turn, min(b.turn) AS within FROM r a LEFT JOIN r b ON b.conv_id = a.conv_id AND b.i BETWEEN a.i + 2 AND a.i + 4 AND b.role = a.role AND a.role <> 'system' GROUP BY ALL)
+SELECT w.conv_id, w.turn, within, CASE WHEN r.role = n.role THEN r.turn END AS next_dialogue
+FROM w JOIN n ON n.conv_id = w.conv_id AND n.turn = w.turn LEFT JOIN r ON r.conv_id = n.conv_id AND r.i = n.next""")
+def same_speaker_followup(t):
+    def found(window):
+        return sequence.same_speaker_followup(F.col("turn"), F.col("role"), F.col("role") == "system", CHAPTER, LINE, window)
+
+    return t("conversations").select("conv_id", "turn", found(3).alias("within"), found(None).alias("next_dialogue"))
+
+
+@query("""
+WITH RECURSIVE d AS (SELECT conv_id, turn, role, length(text) > 150 AS hard, CAST(length(text) % 7 + 1 AS DOUBLE) / 10 AS u, CAST(length(text) % 5 + 1 AS DOUBLE) / 9.5 AS s,
+  turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS gap FROM conversations WHERE role <> 'system'),
+e AS (SELECT *, CAST(sum(CASE WHEN gap > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS episode FROM d),
+g AS (SELECT *, row_number() OVER (PARTITION BY conv_id, episode ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id, episode) AS n,
+  count(*) FILTER (hard) OVER (PARTITION BY conv_id, episode) AS anchors,
+  CASE WHEN NOT hard THEN ln(s) WHEN role = 'assistant' THEN 0.0 ELSE CAST('-inf' AS DOUBLE) END AS a, CASE WHEN NOT hard THEN ln(u) WHEN role = 'user' THEN 0.0 ELSE CAST('-inf' AS DOUBLE) END AS b FROM e),
+f AS (SELECT conv_id, episode, i, n, a, b, [0] AS pa, [1] AS pb FROM g WHERE i = 1 AND anchors >= 2
+  UNION ALL SELECT g.conv_id, g.episode, g.i, g.n, greatest(f.a + g.a - 0.28, f.b + g.a + 0.28), greatest(f.a + g.b + 0.28, f.b + g.b - 0.28),
+    (CASE WHEN f.a + g.a - 0.28 > f.b + g.a + 0.28 THEN f.pa ELSE f.pb END) || [0], (CASE WHEN f.a + g.b + 0.28 > f.b + g.b - 0.28 THEN f.pa ELSE f.pb END) || [1]
+  FROM f JOIN g ON g.conv_id = f.conv_id AND g.episode = f.episode AND g.i = f.i + 1),
+p AS (SELECT conv_id, episode, CASE WHEN a > b THEN pa ELSE pb END AS path FROM f WHERE i = n),
+c AS (SELECT g.conv_id, g.turn, g.role, g.hard, CASE WHEN path[g.i] = 0 THEN 'assistant' WHEN path[g.i] = 1 THEN 'user' END AS chosen FROM g LEFT JOIN p ON p.conv_id = g.conv_id AND p.episode = g.episode)
+SELECT conv_id, turn, CASE WHEN NOT hard AND chosen IS NOT NULL THEN chosen ELSE role END AS decoded, coalesce(NOT hard AND chosen <> role, false) AS overridden FROM c""")
+def decoded_episodes(t):
+    size = F.length("text")
+    option = lambda name, of, by: F.struct(F.lit(name).alias("name"), ((size % of + 1).cast("double") / by).alias("confidence"))
+    rows = t("conversations").where("role <> 'system'").select(
+        "conv_id", "turn", F.col("turn").alias("paragraph"), F.col("role").alias("speaker"), (size > 150).alias("hard"), (size <= 150).alias("suggestion"),
+        F.array(option("user", 7, 10.0), option("assistant", 5, 9.5)).alias("candidates"),
+    )
+    return sequence.decoded_episodes(rows, CHAPTER, "turn")
+
+
+@query("""
+WITH l AS (SELECT conv_id, turn, CASE role WHEN 'system' THEN 'narrator' ELSE role END AS who, text, length(text) AS n FROM conversations),
+s AS (SELECT *, CAST(coalesce(sum(n + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+  coalesce(list_aggregate(list_sort(list_distinct(list(nullif(who, 'narrator')) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING))), 'string_agg', ', '), 'None') AS roster,
+  coalesce(last_value(nullif(who, 'narrator') IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'None') AS before FROM l),
+c AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS raw FROM l GROUP BY conv_id),
+j AS (SELECT s.*, raw, length(raw) AS m, start + n + turn % 3 AS e, least(start + n + turn % 3, length(raw)) AS stop,
+  CASE WHEN who = 'narrator' AND CAST('0x' || substr(sha256(s.conv_id || ':' || turn), 1, 8) AS BIGINT) / 4294967296.0 > 0.5 THEN 'excluded' WHEN start >= length(raw) THEN 'invalid_span' ELSE 'kept' END AS outcome FROM s JOIN c ON c.conv_id = s.conv_id)
+SELECT conv_id, turn, outcome, outcome = 'kept' AND e > m AS clipped, outcome = 'kept' AND text <> substr(raw, start + 1, stop - start) AS mismatch,
+  CASE WHEN outcome = 'kept' THEN 'Scene Characters: ' || roster || chr(10) || 'Last Speaker: ' || before || chr(10) || chr(10) || 'Context:' || chr(10) || regexp_replace(
+    substr(raw, greatest(0, start - 600) + 1, start - greatest(0, start - 600)) || '<quote>' || substr(raw, start + 1, stop - start) || '</quote>' || substr(raw, stop + 1, least(m, stop + 600) - stop), '^\\s+|\\s+$', '', 'g') END AS asked,
+  CASE WHEN outcome = 'kept' THEN CASE who WHEN 'narrator' THEN 'None' ELSE who END END AS answer FROM j""")
+def training_rows(t):
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0))
+    lines = t("conversations").withColumn("start", start).select(
+        "conv_id", "turn", F.when(F.col("role") == "system", "narrator").otherwise(F.col("role")).alias("character"), "start",
+        (F.col("start") + F.length("text") + F.col("turn") % 3).alias("end"), "text",
+    )
+    raw = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n")
+    chapters = t("conversations").groupBy("conv_id").agg(raw.alias("raw"))
+    found = training.training_rows(lines, chapters, CHAPTER, "turn", "Who speaks?", 0.5)
+    return found.select("conv_id", "turn", "outcome", "clipped", "mismatch", F.col("messages")[1]["content"].alias("asked"), F.col("messages")[2]["content"].alias("answer"))
