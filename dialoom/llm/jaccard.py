@@ -26,7 +26,7 @@ the sets. Exact copies are joined beforehand through a key of the whole set.
 Nothing but counts, one model-free filter of fixed size (BLOOM_WORDS numbers) and no document data reach the driver.
 
 Defined results: null texts and texts without words have no shingles, link with nothing and are their own class; texts of
-fewer words than the width are one shingle; rows that repeat a doc_id give one row each and are one node; an empty table
+fewer words than the width are one shingle; rows that repeat a doc_id give one row each and are one node, which has the links of all its texts; an empty table
 gives no rows; other columns are not read by near_duplicates() and are kept untouched by keep_one().
 """
 
@@ -426,7 +426,42 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, id_col="doc_id", text_c
     """doc_id, n_shingles, component_id for every row of docs."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    sized = scratch.table(docs.mapInArrow(_sizes(width), "doc long, n long, key long, own int, below int, few boolean, sketch binary"), "sizes")
+    sized = _sized(docs, width, scratch)
+    several = sized.where("n > 0 AND doc IS NOT NULL").groupBy("doc").agg(F.count_distinct("key", "n").alias("sets")).where("sets > 1").select("doc")
+    if several.limit(1).count():
+        return _joined_apart(docs, scratch.table(several, "several"), width, scratch)
+    return _joined(docs, sized, width, scratch)
+
+
+def _sized(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    return scratch.table(docs.mapInArrow(_sizes(width), "doc long, n long, key long, own int, below int, few boolean, sketch binary"), "sizes")
+
+
+def _joined_apart(docs: DataFrame, several: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """near_duplicates() where ids in several have several texts: each text is a node, and an id's nodes are then one class.
+
+    A text beside an id's first gets a free number above all ids; they must leave room for as many.
+    """
+    sha = F.sha2(F.col("text"), 256)
+    texts = docs.where("text IS NOT NULL").join(several, "doc", "left_semi").select("doc", sha.alias("sha")).distinct()
+    first = texts.groupBy("doc").agg(F.min("sha").alias("first"))
+    more = scratch.table(texts.join(first, "doc").where("sha <> first").select("doc", "sha", F.monotonically_increasing_id().alias("k")), "more")
+    top, k = docs.agg(F.max("doc")).first()[0], more.agg(F.max("k")).first()[0]
+    if k is not None and top + 1 + k >= 1 << 63:
+        raise ValueError("repeated ids with different texts need free numbers above the largest id")
+    more = more.select("doc", "sha", (F.lit(top + 1).cast("long") + F.col("k")).alias("node"))
+    named = docs.withColumn("sha", sha).join(more, ["doc", "sha"], "left").select(F.coalesce("node", "doc").alias("doc"), "text")
+    named = scratch.table(named, "named")
+    found = scratch.table(_joined(named, _sized(named, width, scratch), width, scratch), "apart")
+    links = found.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")).distinct()
+    classes = connected_components(scratch, links.unionAll(more.select(F.col("node").alias("u"), F.col("doc").alias("v"))))
+    out = _class_of(found.select(F.col("doc_id").alias("doc"), "n_shingles"), classes, "doc", "component_id")
+    of = more.select(F.col("node").alias("doc"), F.col("doc").alias("of"))
+    return out.join(of, "doc", "left").select(F.coalesce("of", "doc").alias("doc_id"), "n_shingles", "component_id")
+
+
+def _joined(docs: DataFrame, sized: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """near_duplicates() for ids (doc) with one set each."""
     full = sized.where("n > 0 AND doc IS NOT NULL")
     single = full.dropDuplicates(["doc"])
     copies = full.join(full.groupBy("key", "n").agg(F.min("doc").alias("v")), ["key", "n"]).where("doc <> v").select(F.col("doc").alias("u"), "v")
