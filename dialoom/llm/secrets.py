@@ -124,8 +124,7 @@ def scan(text: str | None, min_guess_log10: float = MIN_GUESS_LOG10) -> list[tup
             if group == "b":  # a sentence's full stop or bracket is not the value's
                 end -= len(m[group]) - len(m[group].rstrip(".!?)]}:"))
             value = text[start:end]
-            loose = m["by"].lower() == "is"
-            if len(value) < 6 or loose and value.isalpha() or any(s <= start and end <= e for s, _, e in base):
+            if len(value) < 6 or any(s <= start and end <= e for s, _, e in base):
                 continue
             if words is None:
                 words = own_words(text[: contexts[0].start()] + " " + text[contexts[-1].end() :])
