@@ -69,6 +69,15 @@ def upsert_voices(t):
     return catalogue.upsert(a, t("supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.min("s_name").alias("v")), "k", ["v"])
 
 
+@query("""
+WITH a AS (SELECT c_custkey AS k, min(c_mktsegment) AS v FROM customer GROUP BY 1), b AS (SELECT s_suppkey * 40 AS k, min(s_name) AS v FROM supplier GROUP BY 1)
+SELECT coalesce(a.k, b.k) AS k, coalesce(a.v, b.v) AS v, CASE WHEN a.k IS NULL THEN 'new' WHEN a.v IS NULL AND b.v IS NOT NULL THEN 'filled' ELSE 'kept' END AS change FROM a FULL JOIN b ON a.k = b.k""")
+def upsert_voices_all(t):
+    """Whole customers against whole suppliers, whose keys are spread so that some are new."""
+    a = t("customer").groupBy(F.col("c_custkey").alias("k")).agg(F.min("c_mktsegment").alias("v"))
+    return catalogue.upsert(a, t("supplier").groupBy((F.col("s_suppkey") * 40).alias("k")).agg(F.min("s_name").alias("v")), "k", ["v"])
+
+
 @query("""
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_size DESC, p_partkey) AS r, count(*) OVER (PARTITION BY p_brand, p_type) AS copies FROM part)
 SELECT p_brand, p_type, p_partkey, copies FROM r WHERE r = 1""")
