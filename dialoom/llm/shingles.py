@@ -32,6 +32,9 @@ _BYTES[ord("A") : ord("Z") + 1] = _BYTES[ord("a") : ord("z") + 1]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTES[_SPACE] = 0
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+LONG_WORD = 32
 _BASE = _U(0x9E3779B97F4A7C15 & ~7 | 5)  # 5 modulo 8: its powers repeat as late as any
 _BACK = _U(pow(int(_BASE), -1, 1 << 64))
 _powers = np.ones((2, 1), np.uint64)
@@ -49,7 +52,7 @@ def _powers_to(n: int) -> np.ndarray:
 
 
 def _hashes(raw: np.ndarray) -> np.ndarray:
-    """One number per word of a text's bytes: a polynomial over its bytes, from running sums."""
+    """One number per word of a text's bytes: a polynomial over its bytes, from running sums; of long words, an XXH3 hash."""
     inside = ~_SPACE[raw]
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     edges = np.r_[[0] if inside[0] else [], edges, [len(raw)] if inside[-1] else []].astype(np.int64)
@@ -57,7 +60,10 @@ def _hashes(raw: np.ndarray) -> np.ndarray:
     powers = _powers_to(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTES[raw] * powers[0, : len(raw)], out=sums[1:])
-    return scramble((sums[ends] - sums[starts]) * powers[1, starts], 9)
+    found = (sums[ends] - sums[starts]) * powers[1, starts]
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():  # there, polynomials modulo 2**64 have known collisions
+        found[i] = xxhash.xxh3_64_intdigest(_LOWER[raw[starts[i] : ends[i]]].tobytes())
+    return scramble(found, 9)
 
 
 def word_hashes(text: str | None) -> np.ndarray:

@@ -47,11 +47,11 @@ def brute(texts, order):
     return p, vocabulary
 
 
-@pytest.mark.parametrize("order", [2, 3])
-def test_model_equals_brute_force(spark, order):
+@pytest.mark.parametrize("order, common", [(2, 1), (3, 1), (3, 4), (3, 10**9)])
+def test_model_equals_brute_force(spark, order, common):
     docs = spark.createDataFrame([(i, t, 0) for i, t in DOCS], "doc_id long, text string, keys int")
     held = docs.where("doc_id = 9")
-    model = ngrams.train(docs.where("doc_id IS NULL OR doc_id <> 9"), order, tokens_a_shard=5)
+    model = ngrams.train(docs.where("doc_id IS NULL OR doc_id <> 9"), order, tokens_a_shard=5, common=common)
     texts = [t for i, t in DOCS if i != 9]
     p, vocabulary = brute(texts, order)
     counts = Counter(w for t in texts for w in tokens(t))
@@ -100,8 +100,32 @@ def test_registered_query_is_a_trigram_model(spark, tmp_path):
 
 
 def test_packing_is_lossless():
-    keys = np.random.default_rng(1).integers(0, 1 << 32, (1000, 3), dtype=np.uint32)
-    keys[:500, 0] = 7
-    counts = np.arange(2000, dtype=np.uint32).reshape(2, 1000)
-    k, c = ngrams._unpacked(*ngrams._packed(keys, counts), 3, 2, np.uint32)
-    assert sorted(map(tuple, np.c_[keys, counts.T].tolist())) == sorted(map(tuple, np.c_[k, c.T].tolist()))
+    made = np.random.default_rng(1)
+    for form, most in ((np.uint32, 200), (np.uint32, 40_000), (np.uint64, 1 << 40)):
+        keys = made.integers(0, 1 << 32, (1000, 3), dtype=np.uint64).astype(form)
+        keys[:500, 0] = 7
+        counts = made.integers(0, most, (2, 1000))
+        found, sums = ngrams._row_sums(keys, counts)
+        k, c = ngrams._unpacked(*ngrams._packed(found, sums))
+        assert (k == found).all() and (c == sums).all()
+        assert sorted(map(tuple, np.c_[keys, counts.T].tolist())) == sorted(map(tuple, np.c_[k, c.T].tolist()))
+
+
+def test_hash_arrays(tmp_path):
+    made = np.random.default_rng(2)
+    for n in (1, 5, 3000):
+        keys, absent = made.integers(0, 1 << 63, (2, n)).astype(np.uint64)
+        numbers = made.integers(1, 300, (4, n))
+        arrays = ngrams.Arrays(f"file://{tmp_path}/{n}", {"x": b"\x01"})
+        arrays.write_hashed("x", 0, keys, numbers)
+        found, there = arrays.find("x", 4, np.r_[keys, absent], np.zeros(2 * n, np.int64))
+        assert there.tolist() == [True] * n + [False] * n and (found[:, :n] == numbers).all() and not found[:, n:].any()
+
+
+def test_long_words_do_not_collide():
+    from dialoom.llm.shingles import word_hashes
+
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    assert word_hashes(a)[0] != word_hashes(b)[0] and word_hashes(a)[0] == word_hashes(a.upper())[0]
