@@ -8,6 +8,8 @@ The vocabulary file is of fixed size, read once by the driver and broadcast. Tex
 mapped to byte symbols as that file says: NFC, white space runs to one space, lower case letter by letter; the file's
 split pattern; byte symbols with a word-end mark. Special tokens named in the file are cut out of the raw text first.
 
+Batches are coded in slices of bounded bytes, since a slice's decoded texts share one Arrow array.
+
 Defined results: null and empty texts have no tokens and decode to ""; texts are never cut; repeated rows are encoded each
 time; an empty table gives no rows; a column with a clashing name is not read unless asked for.
 """
@@ -26,9 +28,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm.shared import table
+from dialoom.llm.shared import slices, table
 
-ROWS_AT_ONCE = 256
 MEMO_WORDS = 400_000
 NO_PAIR = 1 << 62
 
@@ -131,6 +132,7 @@ class Tokenizer:
         self.coder = WordCoder(spec["model"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.marks = {t[0] for t in self.special}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         pattern = split["pattern"]["Regex"]
         self.any_words, self.plain = regex.compile(pattern).findall, pattern == CLIP_PATTERN
@@ -151,7 +153,7 @@ class Tokenizer:
         """The ids as bytes of int32."""
         if not text:
             return b""
-        if self.cut is None or "<" not in text or not self.cut.search(text):
+        if self.cut is None or not any(mark in text for mark in self.marks) or not self.cut.search(text):
             return b"".join(map(self.coder.__getitem__, self.words(text)))
         parts = []
         for part in self.cut.split(text):
@@ -192,8 +194,7 @@ def code(docs: DataFrame, path: str | None = None, id_col="doc_id", text_col="te
         tokenizer = load(content.value)
         tokens = pa.array(tokenizer.tokens, pa.string())
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(at, ROWS_AT_ONCE)
+            for part in slices(batch, 1):
                 coded = [tokenizer.encode(t) for t in part.column(1).to_pylist()]
                 ends = np.cumsum([0, *(len(c) // 4 for c in coded)], dtype=np.int32)
                 ids = pa.array(np.frombuffer(b"".join(coded), np.int32))

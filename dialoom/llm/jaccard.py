@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dialoom.llm.components import connected_components
-from dialoom.llm.shared import Scratch, table
+from dialoom.llm.shared import Scratch, slices, table
 from dialoom.llm.shingles import WIDTH, scramble, set_key, shingle_set
 
 SMALL = 64
@@ -158,8 +158,7 @@ def _arrow(names, *columns):
 def _texts(batches):
     """(doc_id array, texts) in slices; rows without an id are left out."""
     for batch in batches:
-        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-            part = batch.slice(at, ROWS_AT_ONCE)
+        for part in slices(batch, 1, ROWS_AT_ONCE):
             yield part.column(0), part.column(1).to_pylist()
 
 

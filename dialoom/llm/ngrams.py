@@ -40,7 +40,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm.shared import Scratch, shuffles_dropped, table
+from dialoom.llm.shared import Scratch, shuffles_dropped, slices, table
 from dialoom.llm.shingles import _odd, scramble, word_hashes
 
 ORDER = 3
@@ -205,18 +205,11 @@ def _bits(there: np.ndarray, n: int) -> bytes:
 
 
 def _tokens(batches, column: int):
-    """(rows of the batch, their tokens' hashes, tokens per row): words, then an end, in slices of about SCORED_AT_ONCE bytes."""
+    """(rows of the batch, their tokens' hashes, tokens per row): words, then an end, in slices of about 8 * SCORED_AT_ONCE bytes."""
     for batch in batches:
-        texts, start, size = batch.column(column), 0, 0
-        lengths = texts.is_valid().to_numpy(zero_copy_only=False) * 1
-        if batch.num_rows:
-            lengths = np.maximum(1, np.nan_to_num(pa.compute.binary_length(texts).cast(pa.float64()).to_numpy(zero_copy_only=False))).astype(np.int64)
-        for end, n in enumerate(lengths.tolist(), 1):
-            size += n
-            if size >= 8 * SCORED_AT_ONCE or end == batch.num_rows:
-                part, start, size = batch.slice(start, end - start), end, 0
-                found = [np.append(word_hashes(t), _END) for t in part.column(column).to_pylist()]
-                yield part, np.concatenate(found), np.array([len(x) for x in found], np.int64)
+        for part in slices(batch, column, 1 << 20, 8 * SCORED_AT_ONCE):
+            found = [np.append(word_hashes(t), _END) for t in part.column(column).to_pylist()]
+            yield part, np.concatenate(found), np.array([len(x) for x in found], np.int64)
 
 
 def _packed(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:

@@ -24,13 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm.shared import Scratch, table
+from dialoom.llm.shared import Scratch, slices, table
 
 FEATURES = (
     "log_words", "type_token", "top_word", "repeats", "word_length", "word_spread",
     "upper", "digits", "stops", "symbols", "line_rate", "line_copies",
 )
-ROWS_AT_ONCE = 512
 #: Words added to a text's own in shares of repetition, which in a few words mean little.
 CALM = 40
 TO_POOLED, TO_IDENTITY = 0.15, 0.03
@@ -76,12 +75,10 @@ def statistics(text: str | None) -> tuple[float, ...]:
     )
 
 
-def _batches(batches, make):
-    """make(texts) -> a column or columns beside the first, for slices of each batch."""
+def _batches(batches, make, text: int):
+    """make(rows) for slices of each batch; text: the place of the text column."""
     for batch in batches:
-        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-            part = batch.slice(at, ROWS_AT_ONCE)
-            yield make(part)
+        yield from map(make, slices(batch, text))
 
 
 def features(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
@@ -94,7 +91,7 @@ def features(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lambda batches: _batches(batches, one), f"doc_id {kind}, x array<double>")
+    return rows.mapInArrow(lambda batches: _batches(batches, one, 1), f"doc_id {kind}, x array<double>")
 
 
 def fit(featured: DataFrame, labels: DataFrame, to_pooled: float = TO_POOLED, to_identity: float = TO_IDENTITY) -> dict:
@@ -168,7 +165,7 @@ def keep_good(docs: DataFrame, model: dict, least: float = 0.5, text_col="text")
         x = np.array([statistics(t) for t in part.column(at).to_pylist()], np.float64).reshape(-1, len(FEATURES))
         return part.filter(pa.array(score(model, x) >= least))
 
-    return docs.mapInArrow(lambda batches: _batches(batches, one), docs.schema)
+    return docs.mapInArrow(lambda batches: _batches(batches, one, at), docs.schema)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,17 @@
 Three base patterns give spans of kinds assign, access and hex. The method adds kind guess: where a credential word is
 followed by a value (quoted or bare, also after "is" or "->", with any characters), the value's guess cost is the least
 sum over all ways to cut it into words, dates, repeats, keyboard walks and brute-force characters, as log10 of the number
-of guesses; values at or above `min_guess_log10` are spans, unless a base span covers them. The minimum is found by
-dynamic programming over (position, kind of the open piece): walks, repeats and brute force grow by one character at a
-fixed price, words and dates jump ahead by a bounded length, so a value of n characters takes time linear in n.
+of guesses; values of LEAST_VALUE characters or more at or above `min_guess_log10` are spans, unless a base span covers them.
+The minimum is found by dynamic programming over (position, kind of the open piece): walks, repeats and brute force grow by
+one character at a fixed price, words and dates jump ahead by a bounded length, so a value of n characters takes time linear
+in n. Words are of three to LONGEST_WORD letters; longer runs are made of several.
 
-Texts are scanned whole, in the tasks that read them; nothing is shuffled. Offsets are code points, ends exclusive.
+Words are ranked as guessers try them: COMMON first, then the corpus's own by falling count (word_ranks: counted by Spark over
+all whole texts, outside of credential values; the DICTIONARY most frequent ones are sent to all workers, which is how many
+words a guesser is thought to try), then words of the text itself, again outside of all credential values. So what a value costs
+does not depend on where in a text it stands, and a value never makes itself known.
+
+Texts are scanned whole, in the tasks that read them. Offsets are code points, ends exclusive.
 Defined results: null and empty texts have no spans; repeated rows are each scanned; an empty table gives no rows; other
 columns are kept by redact() and never read.
 """
@@ -16,16 +22,21 @@ from __future__ import annotations
 
 import math
 import re
+from collections import ChainMap, Counter
+from collections.abc import Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm.shared import table
+from dialoom.llm.shared import slices, table
 
 KINDS = ("assign", "access", "hex", "guess")
-ROWS_AT_ONCE = 512
 MIN_GUESS_LOG10 = 9.0
+LEAST_VALUE = 6
+DICTIONARY = 50_000
+#: Distinct words that a task counts before it hands them on.
+WORDS_AT_ONCE = 500_000
 MASK = "[SECRET]"
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -62,7 +73,7 @@ def _brute(c: str) -> float:
     return math.log10(33) if c.isascii() else 2.0
 
 
-def guess_cost(value: str, words: dict[str, int]) -> float:
+def guess_cost(value: str, words: Mapping[str, int]) -> float:
     """log10 of the guesses that the cheapest segmentation of value needs; words: lower-case word -> rank from 1."""
     n, low = len(value), value.lower()
     if len(low) != n:
@@ -94,42 +105,87 @@ def guess_cost(value: str, words: dict[str, int]) -> float:
     return best[n]
 
 
-def own_words(text: str) -> dict[str, int]:
-    """COMMON, then the text's own words of three to LONGEST_WORD letters, as guesses in the order in which they appear."""
+WORD = re.compile(r"(?<![^\s])[^\W\d_]{3,24}(?=[\s.,;:!?]|$)")
+
+
+def _needed(text: str) -> bool:
+    low = text.lower()
+    return any(w in low for w in WORDS_NEEDED)
+
+
+def credentials(text: str) -> list[tuple[int, int]]:
+    """(start, end) of values in credential contexts, without a sentence's full stop or bracket after bare ones."""
+    found = []
+    if _needed(text):
+        for m in CONTEXT.finditer(text):
+            start, end = m.span(group := next(g for g in "qstb" if m[g] is not None))
+            found.append((start, start + len(m[group].rstrip(".!?)]}:")) if group == "b" else end))
+    return found
+
+
+def plain_words(text: str, values: list[tuple[int, int]]) -> list[str]:
+    """The words of three to LONGEST_WORD letters, in lower case, that stand outside of credential values."""
+    parts, at = [], 0
+    for start, end in values:
+        parts.append(text[at:start])
+        at = end
+    return WORD.findall(" ".join([*parts, text[at:]]).lower())
+
+
+def word_ranks(docs: DataFrame, size: int = DICTIONARY, text_col="text") -> dict[str, int]:
+    """Word -> rank from 1: COMMON, then the `size` words of docs that occur most, ties by code point."""
+
+    def run(batches):
+        counts: Counter = Counter()
+
+        def out():
+            found = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+            counts.clear()
+            return found
+
+        for batch in batches:
+            for part in slices(batch, 0):
+                for text in part.column(0).to_pylist():
+                    if text:
+                        counts.update(plain_words(text, credentials(text)))
+                if len(counts) >= WORDS_AT_ONCE:
+                    yield out()
+        if counts:
+            yield out()
+
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     ranks = {w: i + 1 for i, w in enumerate(COMMON)}
-    for w in re.findall(r"(?<![^\s])[^\W\d_]{3,24}(?=[\s.,;:!?]|$)", text.lower()):
-        if w not in ranks:
-            ranks[w] = len(ranks) + 1
+    for r in counted.orderBy(F.desc("n"), "word").limit(size).collect():
+        ranks.setdefault(r.word, len(ranks) + 1)
     return ranks
 
 
-def scan(text: str | None, min_guess_log10: float = MIN_GUESS_LOG10) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of every secret, by start, then in the order of KINDS."""
+COMMON_RANKS = {w: i + 1 for i, w in enumerate(COMMON)}
+
+
+def scan(text: str | None, min_guess_log10: float = MIN_GUESS_LOG10, ranks: dict[str, int] | None = None) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of every secret, by start, then in the order of KINDS; ranks: as word_ranks() gives them, else COMMON."""
     if not text:
         return []
     found: list[tuple[int, int, int]] = []
-    low = text.lower()
-    if any(w in low for w in WORDS_NEEDED):
-        found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
-        contexts = list(CONTEXT.finditer(text))
-    else:
-        contexts = []
+    values = credentials(text)
+    if values or _needed(text):
+        found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= LEAST_VALUE]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    if contexts:
-        base, words = list(found), None
-        for m in contexts:
-            start, end = m.span(group := next(g for g in "qstb" if m[g] is not None))
-            if group == "b":  # a sentence's full stop or bracket is not the value's
-                end -= len(m[group]) - len(m[group].rstrip(".!?)]}:"))
-            value = text[start:end]
-            if len(value) < 6 or any(s <= start and end <= e for s, _, e in base):
-                continue
-            if words is None:
-                words = own_words(text[: contexts[0].start()] + " " + text[contexts[-1].end() :])
-            if guess_cost(value, words) >= min_guess_log10:
-                found.append((start, 3, end))
+    base, next_base, reached, words = sorted(found), 0, 0, None
+    for start, end in values:
+        while next_base < len(base) and base[next_base][0] <= start:  # values are in order, so base spans are passed once
+            reached = max(reached, base[next_base][2])
+            next_base += 1
+        if end - start < LEAST_VALUE or end <= reached:
+            continue
+        if words is None:
+            own, ranks = dict.fromkeys(plain_words(text, values)), COMMON_RANKS if ranks is None else ranks
+            words = ChainMap({w: len(ranks) + i + 1 for i, w in enumerate(own) if w not in ranks}, ranks)
+        if guess_cost(text[start:end], words) >= min_guess_log10:
+            found.append((start, 3, end))
     return [(KINDS[k], s, e) for s, k, e in sorted(found)]
 
 
@@ -137,13 +193,13 @@ SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32
 
 
 def find_secrets(docs: DataFrame, min_guess_log10: float = MIN_GUESS_LOG10, id_col="doc_id", text_col="text") -> DataFrame:
-    """doc_id, spans array<struct<kind, start, end>> for every row of docs."""
+    """doc_id, spans array<struct<kind, start, end>> for every row of docs, with words ranked over docs."""
+    ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs, text_col=text_col))
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(at, ROWS_AT_ONCE)
-                spans = [[{"kind": k, "start": s, "end": e} for k, s, e in scan(t, min_guess_log10)] for t in part.column(1).to_pylist()]
+            for part in slices(batch, 1):
+                spans = [[{"kind": k, "start": s, "end": e} for k, s, e in scan(t, min_guess_log10, ranks.value)] for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spans, pa.list_(SPAN))], ["doc_id", "spans"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -162,18 +218,18 @@ def masked(text: str, spans: list[tuple[str, int, int]], mask: str = MASK) -> st
 
 
 def redact(docs: DataFrame, min_guess_log10: float = MIN_GUESS_LOG10, text_col="text", length_col: str | None = None, mask: str = MASK) -> DataFrame:
-    """docs with every secret masked; length_col, if given, gets the new number of code points where it was not null."""
+    """docs with every secret masked, words ranked over docs; length_col, if given, gets the new number of code points where it was not null."""
+    ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs, text_col=text_col))
     names = docs.columns
     at_text = names.index(text_col)
     at_length = names.index(length_col) if length_col else -1
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(at, ROWS_AT_ONCE)
+            for part in slices(batch, at_text):
                 columns = list(part.columns)
                 texts = columns[at_text].to_pylist()
-                new = [masked(t, s, mask) if (s := scan(t, min_guess_log10)) else t for t in texts]
+                new = [masked(t, s, mask) if (s := scan(t, min_guess_log10, ranks.value)) else t for t in texts]
                 columns[at_text] = pa.array(new, columns[at_text].type)
                 if at_length >= 0:
                     was = columns[at_length]

@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Rows, and bytes of text, that a worker takes at once; a longer text is a slice of its own.
+SLICE_ROWS, SLICE_BYTES = 512, 1 << 22
+
+
+def slices(batch: pa.RecordBatch, column: int, rows: int = SLICE_ROWS, size: int = SLICE_BYTES):
+    """Parts of an Arrow batch, in order, of so many rows and bytes of a text column at most."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    start, held = 0, 0
+    for end, n in enumerate(lengths):
+        if end > start and (held + n > size or end - start >= rows):
+            yield batch.slice(start, end - start)
+            start, held = end, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 @contextmanager
 def shuffles_dropped(spark: SparkSession):
     """Within it, the shuffle files of an action are deleted when it ends, rather than when the driver next collects garbage."""
