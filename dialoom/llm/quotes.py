@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from dialoom.llm.components import connected_components
 from dialoom.llm.shared import Scratch, table
 
-MIN_WORDS = 5
+MIN_WORDS = 1
 MARKS = r"^[\x20\t]*(?:>[\x20\t]*)+"
 #: A line that introduces a quotation, in its own level.
-WROTE = r"(?i)^\s*(?:on\b.{0,300}\bwrote|am\b.{0,300}\bschrieb.{0,100}|le\b.{0,300}\ba écrit|el\b.{0,300}\bescribió|-+\s*original message\s*-+)\s*:?\s*$"
+WROTE = r"(?i)^\s*(?:on\b.*\bwrote|am\b.*\bschrieb\b.*|le\b.*\ba écrit|el\b.*\bescribió|-+\s*original message\s*-+)\s*:?\s*$"
 
 
 def lines_of(text: Column) -> Column:
@@ -50,19 +50,26 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
+#: Marks that set passages apart while a text is taken to pieces; no letters, so they never belong to a passage.
+_PASSAGE, _HEAD = "\x01", "\x02"
+
+
 def passages(messages: DataFrame) -> DataFrame:
-    """messages (node, conv, turn, text) -> node, conv, turn, at, level, passage: one row per passage that has letters or digits."""
-    lines = messages.select("node", "conv", "turn", F.posexplode(lines_of(F.col("text"))).alias("at", "of"))
-    lines = lines.select("node", "conv", "turn", "at", "of.*")
-    mine = Window.partitionBy("node").orderBy("at")
-    new = (F.col("level") != F.lag("level").over(mine)) | F.lag("gap").over(mine) | F.col("gap")
-    lines = lines.withColumn("gap", F.col("wrote") | (F.trim("line") == "")).withColumn("new", F.coalesce(new, F.lit(True)).cast("int"))
-    lines = lines.withColumn("run", F.sum("new").over(mine)).where(~F.col("gap"))
-    # a text is one row of its table already, so its lines fit in one as well
-    runs = lines.groupBy("node", "conv", "turn", "run", "level").agg(
-        F.min("at").alias("at"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("passage")
-    )
-    return runs.drop("run").withColumn("norm", normalised(F.col("passage"))).where("norm <> ''")
+    """messages (node, conv, turn, text) -> node, conv, turn, at, level, norm: one row per passage that has letters or digits."""
+    lines = lines_of(F.translate(F.coalesce(F.col("text"), F.lit("")), _PASSAGE + _HEAD, "  "))
+    rows = messages.select("node", "conv", "turn", F.transform(lines, lambda x: F.struct(x["level"].alias("level"), x["line"].alias("line"), (x["wrote"] | (F.trim(x["line"]) == "")).alias("gap"))).alias("lines"))
+
+    def marked(x: Column, i: Column) -> Column:
+        """A line with the head of a passage before it, if one begins here."""
+        before = F.get("lines", i - 1)
+        new = F.coalesce((before["level"] != x["level"]) | before["gap"], F.lit(True))
+        head = F.concat(F.lit(_PASSAGE), x["level"].cast("string"), F.lit(":"), i.cast("string"), F.lit(_HEAD))
+        return F.when(x["gap"], "").when(new, F.concat(head, x["line"])).otherwise(x["line"])
+
+    found = rows.select("node", "conv", "turn", F.explode(F.split(F.array_join(F.transform("lines", marked), "\n"), _PASSAGE)).alias("passage"))
+    found = found.withColumns({"head": F.split(F.substring_index("passage", _HEAD, 1), ":"), "norm": normalised(F.substring_index("passage", _HEAD, -1))})
+    found = found.where(F.col("passage").contains(_HEAD) & (F.col("norm") != ""))
+    return found.select("node", "conv", "turn", F.col("head")[1].cast("int").alias("at"), F.col("head")[0].cast("int").alias("level"), "norm")
 
 
 def body_of(text: Column) -> Column:
