@@ -3,7 +3,8 @@
 Words are counted per document and summed per source (partial sums come before the shuffle, so a hot source is one row
 per task). Each source's target is its weight's share of all words, stopped at `max_repeat` times what it has; the excess
 goes to the others by weight until none is above. That fixed point is found in closed form: sources ordered by the share
-at which they fill up, with running sums of caps and weights. A document is then emitted floor(target / size) times, plus
+at which they fill up, with running sums of caps and weights. Ranks and running sums over sources are taken in two steps, within
+ranges of sources and over the ranges' totals, so that sources may be very many. A document is then emitted floor(target / size) times, plus
 once more if a hash of the seed and its id falls below the fraction.
 
 Defined results: null text counts no words and is emitted as often as its source's rate says, taking 0 words; a null
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dialoom.llm.shared import WORD_PATTERN, table
+from dialoom.llm.shared import WORD_PATTERN, Scratch, table
 
 WEIGHTS = (5, 2, 1)
 
@@ -28,42 +29,51 @@ def unit_hash(key: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = 3) -> DataFrame:
+def _running(df: DataFrame, order: list[Column], sums: dict[str, Column], scratch: Scratch) -> DataFrame:
+    """df with running sums up to and with each row in the given order, which tells all rows apart."""
+    ranged = scratch.table(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy("_range").agg(*(F.sum(c).alias(f"_{k}") for k, c in sums.items()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = totals.select("_range", *(F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in sums))
+    mine = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.join(offsets, "_range").withColumns({k: F.sum(c).over(mine) + F.col(f"_{k}") for k, c in sums.items()}).drop("_range", *(f"_{k}" for k in sums))
+
+
+def source_targets(sizes: DataFrame, scratch: Scratch, weights=WEIGHTS, max_repeat: int = 3) -> DataFrame:
     """sizes: (source, size) -> (source, source_size, target), one row per source."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(order) - 1) % len(weights) + 1).cast("long"))
+    by_name = F.col("source").asc_nulls_last()
+    per = _running(per, [by_name], {"place": F.lit(1)}, scratch)
+    per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("place") - 1) % len(weights) + 1).cast("int")).cast("long")).drop("place")
     per = per.withColumn("cap", F.lit(max_repeat) * F.col("source_size"))
     # in the order in which sources fill up; within a tie any order gives the same targets
-    fills = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    whole = Window.partitionBy()
-    before, after = fills.rowsBetween(Window.unboundedPreceding, -1), fills.rowsBetween(0, Window.unboundedFollowing)
-    per = per.select(
-        "source", "source_size", "weight", "cap",
-        F.sum("source_size").over(whole).alias("total"),
-        F.coalesce(F.sum("cap").over(before), F.lit(0)).alias("caps_before"),
-        F.sum("weight").over(after).alias("weights_left"),
-    )
-    full = F.col("cap").cast("double") * F.col("weights_left") <= F.col("weight").cast("double") * (F.col("total") - F.col("caps_before"))
-    per = per.withColumn("full", full)
-    caps, left = F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).over(whole), F.sum(F.when(F.col("full"), 0).otherwise(F.col("weight"))).over(whole)
-    share = (F.col("weight") * (F.col("total") - caps)).cast("double") / F.nullif(left, F.lit(0)).cast("double")
+    per = _running(per.withColumn("fills_at", F.col("cap") / F.col("weight")), [F.col("fills_at").asc(), by_name], {"caps": F.col("cap"), "weights": F.col("weight")}, scratch)
+    per = scratch.table(per, "filling")
+    whole = per.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("all_weights"))
+    per = per.join(F.broadcast(whole))  # one row
+    weights_left, caps_before = F.col("all_weights") - F.col("weights") + F.col("weight"), F.col("caps") - F.col("cap")
+    per = per.withColumn("full", F.col("cap").cast("double") * weights_left <= F.col("weight").cast("double") * (F.col("total") - caps_before))
+    open_ = per.agg(F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).alias("full_caps"), F.sum(F.when(F.col("full"), 0).otherwise(F.col("weight"))).alias("open_weights"))
+    per = per.join(F.broadcast(open_))  # one row
+    share = (F.col("weight") * (F.col("total") - F.col("full_caps"))).cast("double") / F.nullif("open_weights", F.lit(0)).cast("double")
     return per.select("source", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
 def mixture(docs: DataFrame, weights=WEIGHTS, max_repeat: int = 3, seed: str = "mix", id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
-    """Per document: doc_id, size, source_size, target, rate, copies, taken."""
+    """Per document: doc_id, source, size, source_size, target, rate, copies, taken."""
+    scratch = Scratch(docs.sparkSession, "mixing")
     sized = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
     )
-    targets = source_targets(sized, weights, max_repeat).withColumnRenamed("source", "of_source")
+    sized = scratch.table(sized, "sizes")  # so that texts are read once
+    targets = source_targets(sized, scratch, weights, max_repeat).withColumnRenamed("source", "of_source")
     joined = sized.join(targets, F.col("source").eqNullSafe(F.col("of_source")))
     rate = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)).cast("double"), F.lit(0.0))
     joined = joined.withColumn("rate", rate)
     copies = F.floor("rate") + (unit_hash(F.col("doc_id"), seed) < F.col("rate") - F.floor("rate")).cast("long")
     return joined.withColumn("copies", copies).select(
-        "doc_id", "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken")
     )
 
 
@@ -73,7 +83,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = 3, seed: str = "mix"
     names = {name: F.col("row").getField(name) for name in (id_col, text_col, source_col)}
     targets = source_targets(
         row.select(names[source_col].alias("source"), F.coalesce(F.regexp_count(names[text_col], F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size")),
-        weights, max_repeat,
+        Scratch(docs.sparkSession, "mixing"), weights, max_repeat,
     )
     joined = row.join(targets, names[source_col].eqNullSafe(F.col("source")))
     rate = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)).cast("double"), F.lit(0.0))
@@ -110,7 +120,7 @@ targets AS (
 rated AS (
   SELECT doc_id, size, source_size, target, coalesce(target / CAST(nullif(source_size, 0) AS DOUBLE), 0.0) AS rate,
     CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
-  FROM sized JOIN targets USING (source))
+  FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source)
 SELECT doc_id, size, source_size, target,
   size * (CAST(floor(rate) AS BIGINT) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
 FROM rated

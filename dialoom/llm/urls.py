@@ -6,7 +6,9 @@ meta-refresh redirects (and a given redirect table) are edges, and the connected
 aliases. A class with a blocked node blocks its undecided pages, unless the class also has an explicitly allowed node:
 allow takes precedence. Everything else is allowed.
 
-A node is a url without scheme and fragment, with its host in lower case. Defined results: a null url, or one without
+A node is a url without scheme and fragment, with its host in lower case, its dot segments resolved, and a path of at least
+"/". A link's target is resolved against its page: absolute, without scheme, from the root, query or fragment only, or
+relative; ampersands written as entities are read as such. Defined results: a null url, or one without
 "://", has empty host and path, fits no rule, has no aliases and is allowed; null html has no links; repeated rows are
 each judged; an empty table gives no rows; other columns are not read.
 """
@@ -31,6 +33,8 @@ PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(\??[^#]*)"
 CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
 REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
 HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
+#: How an ampersand may be written in an attribute.
+AMPERSAND = "&amp;|&#38;|&#x26;"
 REFRESH_URL = r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
 
 
@@ -42,10 +46,20 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, PARTS, 2), F.lit(""))
 
 
+def without_dots(path: Column) -> Column:
+    """A path with its . and .. segments resolved; .. at the root stays there. The fold is per path, over its own segments."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    step = lambda kept, x: F.when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))).when(x == ".", kept).otherwise(F.concat(kept, F.array(x)))
+    folded = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), F.array(F.lit("")), step)
+    whole = F.concat(F.array_join(folded, "/"), F.when(last.isin(".", "..") | (F.size(folded) == 1), "/").otherwise(""))
+    return F.when(path == "", "/").when(path.contains("/."), whole).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
     """Null where there is no host."""
     host = host_of(url)
-    return F.when(host != "", F.concat(host, path_of(url), F.regexp_extract(url, PARTS, 3)))
+    return F.when(host != "", F.concat(host, without_dots(path_of(url)), F.regexp_extract(url, PARTS, 3)))
 
 
 def rule_fits(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -60,10 +74,13 @@ def rule_fits(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def _absolute(url: Column, target: Column) -> Column:
     scheme_host = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
     folder = F.regexp_replace(path_of(url), r"[^/]*$", "")
+    target = F.regexp_replace(target, AMPERSAND, "&")
     return (
         F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
         .when(target.startswith("//"), F.concat(F.lit("http:"), target))
         .when(target.startswith("/"), F.concat(scheme_host, target))
+        .when(target.startswith("#"), url)
+        .when(target.startswith("?"), F.concat(scheme_host, path_of(url), target))
         .otherwise(F.concat(scheme_host, F.when(folder == "", F.lit("/")).otherwise(folder), target))
     )
 
@@ -124,7 +141,14 @@ def _path(x: str) -> str:
 
 
 def _node(x: str) -> str:
-    return f"CASE WHEN {_host(x)} <> '' THEN {_host(x)} || {_path(x)} || regexp_extract({x}, '{_PARTS}', 3) END"
+    return f"CASE WHEN {_host(x)} <> '' THEN {_host(x)} || {_without_dots(_path(x))} || regexp_extract({x}, '{_PARTS}', 3) END"
+
+
+def _without_dots(path: str) -> str:
+    segments = f"list_prepend([''], list_transform(string_split({path}, '/')[2:], lambda s: [s]))"
+    folded = f"list_reduce({segments}, lambda kept, x: CASE WHEN x[1] = '..' THEN kept[1:greatest(len(kept) - 1, 1)] WHEN x[1] = '.' THEN kept ELSE list_concat(kept, x) END)"
+    ends = f"CASE WHEN string_split({path}, '/')[-1] IN ('.', '..') OR len({folded}) = 1 THEN '/' ELSE '' END"
+    return f"CASE WHEN {path} = '' THEN '/' WHEN contains({path}, '/.') THEN array_to_string({folded}, '/') || {ends} ELSE {path} END"
 
 
 def _sql(pattern: str) -> str:
@@ -137,12 +161,15 @@ WITH RECURSIVE found AS (
     list_transform(regexp_extract_all(html, '{_sql(CANONICAL)}'), lambda tag: regexp_extract(tag, '{_sql(HREF)}', 1)),
     list_transform(regexp_extract_all(html, '{_sql(REFRESH)}'), lambda tag: regexp_extract(tag, '{_sql(REFRESH_URL)}', 1)))) AS target
   FROM pages),
+decoded AS (SELECT url, regexp_replace(target, '{AMPERSAND}', '&', 'g') AS target FROM found WHERE target <> ''),
 resolved AS (
   SELECT url, CASE WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target
     WHEN starts_with(target, '//') THEN 'http:' || target
     WHEN starts_with(target, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || target
+    WHEN starts_with(target, '#') THEN url
+    WHEN starts_with(target, '?') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || {_path("url")} || target
     ELSE regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || coalesce(nullif(regexp_replace({_path("url")}, '[^/]*$', ''), ''), '/') || target END AS target
-  FROM found WHERE target <> ''),
+  FROM decoded),
 edges AS (SELECT {_node("url")} AS u, {_node("target")} AS v FROM resolved),
 links AS (SELECT u, v FROM edges WHERE u <> v UNION SELECT v, u FROM edges WHERE u <> v),
 reach(a, b) AS (SELECT u, u FROM links UNION SELECT r.a, l.v FROM reach r JOIN links l ON r.b = l.u),
