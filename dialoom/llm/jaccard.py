@@ -6,8 +6,8 @@ that a probe of it stands) one must be found as soon as the sum of v + 1 is abov
 
 * Bands from SMALL shingles on use v = 0: equal segments meet. There are about 15 % more segments than the least number,
   so two similar sets agree in several; each set spends that surplus by cost, on the segments that meet in the longest
-  buckets. A set that has too few segments with shingles (which practice never shows) is compared with all sets of fitting
-  size instead.
+  buckets. A set that has too few segments with shingles (which practice never shows) meets the others by its prefix: of
+  shingles in one order, two similar sets share one among the first n - ceil(0.8 n) + 1 of either.
 * Smaller bands have half as many segments with v = 1: a segment and its one-deletion neighbourhood meet.
 * A set also probes the band below, if partners may be there.
 
@@ -17,13 +17,15 @@ the best-linked document of its long buckets; then all pairs whose ends are stil
 pairs of long buckets across classes, the largest class of a bucket never against itself. There, two sets that agree in no
 short bucket must agree in enough long ones: with buckets in one order, the shortest first, their first common bucket must
 leave either set as many further rows as it has segments beyond the differences allowed. Buckets in which one class has
-CROWD rows or more are taken together by that class: what meets it, and the class's rows, are held against each other by
-sketches in blocks of BLOCK rows, and only pairs that may link become rows. So a large group of copies costs a star, and a
+CROWD rows or more are taken together by that class: what meets it is held against the class's rows and each other by
+sketches in blocks of BLOCK rows, and only pairs that may link become rows; the class's rows are dealt out once for every
+BLOCK rows that meet it. Other buckets of more than LONG rows are blocks by themselves. So a large group of copies costs a star, and a
 passage in many documents next to nothing, and no pair that may link is dropped.
 Parity sketches, which bound the difference from below, rule out most pairs that do not link; verification is exact on
 the sets. Exact copies are joined beforehand through a key of the whole set.
 
-Nothing but counts, one model-free filter of fixed size (BLOOM_WORDS numbers) and no document data reach the driver.
+Nothing but counts and a Bloom filter of ids, sized by their number up to BLOOM_MOST numbers, and no document data reach the
+driver; more ids than such a filter tells apart are joined instead.
 
 Defined results: null texts and texts without words have no shingles, link with nothing and are their own class; texts of
 fewer words than the width are one shingle; rows that repeat a doc_id give one row each and are one node, which has the links of all its texts; an empty table
@@ -45,9 +47,11 @@ from dialoom.llm.shingles import WIDTH, scramble, set_key, shingle_set
 
 SMALL = 64
 SHORT = 8
-BLOOM_WORDS = 1 << 17
+BLOOM_LEAST, BLOOM_MOST = 1 << 12, 1 << 22
 ROWS_AT_ONCE = 128
-CROWD, BLOCK = 32, 1024
+CROWD, BLOCK, LONG = 32, 1024, 256
+#: Parts into which the rows of sets with exact copies are dealt.
+SALTS = 32
 #: Roles of a signature row, added up: a one-deletion variant; a probe of the band below.
 DELETION, BELOW = 1, 2
 _U = np.uint64
@@ -266,22 +270,26 @@ def _bucket_pairs(batches):
     yield from flush()
 
 
-def _filter_bits(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size over the column doc: it may let others through, which costs time but changes nothing."""
+def _filter_bits(ids: DataFrame, words: int) -> np.ndarray:
+    """A Bloom filter over the column doc: it may let others through, which costs time but changes nothing."""
     bit = lambda seed: F.xxhash64("doc", F.lit(seed))
     rows = ids.select(F.explode(F.array(bit(1), bit(2))).alias("h")).select(
-        F.pmod("h", F.lit(BLOOM_WORDS)).alias("at"), F.shiftrightunsigned("h", 58).cast("int").alias("by")
+        F.pmod("h", F.lit(words)).alias("at"), F.shiftrightunsigned("h", 58).cast("int").alias("by")
     )
     rows = rows.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, by)")).alias("bits")).toPandas()
-    bits = np.zeros(BLOOM_WORDS, np.int64)
+    bits = np.zeros(words, np.int64)
     bits[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
     return bits
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(doc, shingles binary), once per doc, for the docs in ids, and perhaps for others."""
-    bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(ids).tobytes())
-    hit = lambda seed: F.xxhash64("doc", F.lit(seed))
+    asked = ids.count()
+    rows = docs.where("doc IS NOT NULL").select("doc", "text", F.xxhash64("doc", F.lit(1)).alias("h1"), F.xxhash64("doc", F.lit(2)).alias("h2"))
+    words = min(max(BLOOM_LEAST, 1 << max(0, asked // 4 - 1).bit_length()), BLOOM_MOST)  # 16 bits an id or more
+    if asked > 16 * BLOOM_MOST:
+        rows = rows.join(ids.distinct(), "doc", "left_semi")
+    bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(ids, words).tobytes())
 
     def run(batches):
         table = np.frombuffer(bits.value, np.int64).view(np.uint64)
@@ -289,15 +297,37 @@ def _sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             ok = np.ones(batch.num_rows, bool)
             for i in (2, 3):
                 h = batch.column(i).to_numpy(zero_copy_only=False)
-                ok &= (table[h % BLOOM_WORDS] >> (h.view(np.uint64) >> _U(58))) & _U(1) == 1
+                ok &= (table[h % words] >> (h.view(np.uint64) >> _U(58))) & _U(1) == 1
             rows = batch.filter(pa.array(ok))
             for ids, texts in _texts([rows]):
                 yield pa.RecordBatch.from_arrays([ids, pa.array([shingle_set(t, width).tobytes() for t in texts], pa.binary())], ["doc", "shingles"])
 
-    rows = docs.where("doc IS NOT NULL").select("doc", "text", hit(1).alias("h1"), hit(2).alias("h2"))
     return rows.mapInArrow(run, "doc long, shingles binary").dropDuplicates(["doc"])
 
 
+def _prefixes(width):
+    """(shingle, doc, n): of each set the shingles among which every similar set has one."""
+
+    def run(batches):
+        for ids, texts in _texts(batches):
+            for doc, text in zip(ids.to_pylist(), texts):
+                shingles = shingle_set(text, width)
+                n = len(shingles)
+                if n and doc is not None:
+                    first = shingles[: n - -(-4 * n // 5) + 1].view(np.int64)
+                    yield _arrow(["shingle", "doc", "n"], first, np.full(len(first), doc, np.int64), np.full(len(first), n, np.int64))
+
+    return run
+
+
+def _lost_pairs(docs: DataFrame, full: DataFrame, width: int) -> DataFrame:
+    """a, b: pairs of fitting size with a set that has too few segments, by prefixes."""
+    prefixes = docs.mapInArrow(_prefixes(width), "shingle long, doc long, n long")
+    lost = prefixes.join(full.where("few").select("doc").distinct(), "doc", "left_semi").select("shingle", F.col("doc").alias("a0"), F.col("n").alias("n0"))
+    met = lost.join(prefixes, "shingle").where("doc <> a0 AND 5 * least(n, n0) >= 4 * greatest(n, n0)")
+    return met.select(F.least("a0", "doc").alias("a"), F.greatest("a0", "doc").alias("b")).distinct()
+
+
 def _verify(batches):
     for batch in batches:
         keep = []
@@ -355,13 +385,22 @@ def _hub_pairs(rows: DataFrame, links: DataFrame) -> DataFrame:
     return best.select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct()
 
 
-def _long_bucket_pairs(rows: DataFrame, sized: DataFrame) -> DataFrame:
-    """Pairs of documents in different classes that only long buckets bring together; rows from _mixed_rows()."""
+def _reaching(rows: DataFrame, sized: DataFrame) -> DataFrame:
+    """Rows of _mixed_rows() with left and whole; without those that come too late in their set to be a pair's first common bucket.
+
+    left: the place in the set's buckets, longest first; whole: segments of the set in this bucket's band, if they meet as a whole.
+    """
     segments = sized.groupBy("doc").agg(F.min("own").alias("own"), F.min("below").alias("below"))
     shortest_first = Window.partitionBy("doc", "role").orderBy(F.desc("length"), F.desc("sig"))
-    rows = rows.where(F.col("crowd") < CROWD).withColumn("left", F.row_number().over(shortest_first)).join(segments, "doc")
-    # segments of the set in this bucket's band, if they meet as a whole: two sets agree in all but the differing ones
-    rows = rows.withColumn("whole", F.when(F.col("role") == 0, F.col("own")).when(F.col("role") == BELOW, F.col("below")).otherwise(0)).drop("own", "below", "length")
+    rows = rows.withColumn("left", F.row_number().over(shortest_first)).join(segments, "doc")
+    rows = rows.withColumn("whole", F.when(F.col("role") == 0, F.col("own")).when(F.col("role") == BELOW, F.col("below")).otherwise(0)).drop("own", "below")
+    return rows.where("left >= whole - floor((n + floor(5 * n / 4)) / 9)")
+
+
+def _long_bucket_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of documents in different classes that only buckets of LONG rows or fewer bring together; rows from _reaching()."""
+    # two sets agree in all segments but the differing ones
+    rows = rows.where((F.col("crowd") < CROWD) & (F.col("length") <= LONG)).drop("length")
     minor = rows.where("of <> main").select("sig", *(F.col(c).alias(f"{c}1") for c in ("doc", "of", "n", "role", "left", "whole")))
     met = minor.join(rows, "sig").where(
         "of <> of1 AND doc <> doc1 AND (role & role1) = 0 AND 5 * least(n, n1) >= 4 * greatest(n, n1)"
@@ -371,7 +410,10 @@ def _long_bucket_pairs(rows: DataFrame, sized: DataFrame) -> DataFrame:
 
 
 def _block_pairs(batches):
-    """Rows (main, low, high, part, doc, of, minor, n, sketch), sorted by group -> the pairs (a, b) of a group that may link."""
+    """Rows (main, low, high, part, doc, of, minor, n, sketch), sorted by group -> the pairs (a, b) of a group that may link.
+
+    Parts are numbered from 0 for minor rows and from -1 down for the main class's, of which no two meet.
+    """
 
     def group(rows: pa.Table):
         doc, of, n, part = (rows[c].to_numpy() for c in ("doc", "of", "n", "part"))
@@ -410,11 +452,18 @@ def _block_pairs(batches):
 
 
 def _crowd_pairs(rows: DataFrame, single: DataFrame) -> DataFrame:
-    """Pairs of documents that meet in buckets where one class has CROWD rows or more; rows from _mixed_rows()."""
-    rows = rows.where(F.col("crowd") >= CROWD).select("main", "doc", "of", (F.col("of") != F.col("main")).alias("minor")).distinct()
-    parts = rows.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    rows = rows.join(parts, "main").join(single.select("doc", "n", "sketch"), "doc")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    """Pairs of documents that meet in buckets where one class has CROWD rows or more, or in longer ones than LONG; rows from _reaching()."""
+    together = F.when(F.col("crowd") >= CROWD, F.struct(F.lit(0).alias("by"), F.col("main").alias("at"))).when(F.col("length") > LONG, F.struct(F.lit(1).alias("by"), F.col("sig").alias("at")))
+    rows = rows.withColumn("together", together).where("together IS NOT NULL")
+    rows = rows.select(F.xxhash64("together").alias("main"), "doc", "of", (F.col("of") != F.col("main")).alias("minor")).distinct()
+    sizes = rows.groupBy("main").agg(F.count_if("minor").alias("minors"), F.count_if(~F.col("minor")).alias("mains"))
+    rows = rows.join(sizes, "main").join(single.select("doc", "n", "sketch"), "doc")
+    parts = lambda count: F.greatest(F.lit(1), F.ceil(F.col(count) / BLOCK))
+    place, upto = lambda count: F.pmod(F.xxhash64("doc"), parts(count)), lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    rows = rows.withColumn("part", F.when(F.col("minor"), place("minors")).otherwise(-1 - place("mains")))
+    # minor rows meet all parts; rows of the main class the minor ones' parts only
+    others = F.when(F.col("minor"), F.concat(upto(parts("minors")), F.transform(upto(parts("mains")), lambda x: -1 - x))).otherwise(upto(parts("minors")))
+    rows = rows.withColumn("other", F.explode(others))
     rows = rows.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
     rows = rows.select("main", "low", "high", "part", "doc", "of", "minor", "n", "sketch")
     keys = ("main", "low", "high")
@@ -463,18 +512,18 @@ def _joined(docs: DataFrame, sized: DataFrame, width: int, scratch: Scratch) ->
     """near_duplicates() for ids (doc) with one set each."""
     full = sized.where("n > 0 AND doc IS NOT NULL")
     single = full.dropDuplicates(["doc"])
-    copies = full.join(full.groupBy("key", "n").agg(F.min("doc").alias("v")), ["key", "n"]).where("doc <> v").select(F.col("doc").alias("u"), "v")
+    # a set's copies may be very many: they are dealt by salt, and the few sets that have copies go to every salt
+    copied = full.groupBy("key", "n").agg(F.min("doc").alias("v"), F.max("doc").alias("last")).where("v < last")
+    copied = copied.select("key", "n", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    salted = full.select("doc", "key", "n", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("long").alias("salt"))
+    copies = salted.join(copied, ["key", "n", "salt"]).where("doc <> v").select(F.col("doc").alias("u"), "v")
 
     rows = docs.mapInArrow(_signature_rows(width), "sig long, doc long, nr long")
     met = rows.repartition("sig").sortWithinPartitions("sig", "doc").mapInArrow(_bucket_pairs, "kind byte, a long, b long, c long")
     met = scratch.table(met, "met")
     pairs = met.where("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("times"))
-    # sets with too few segments are held against all sets of fitting size
-    lost = full.where("few").select(F.col("doc").alias("a0"), F.col("n").alias("n0"))
-    if lost.limit(1).count():
-        wide = lost.join(full, F.expr("doc <> a0 AND 5 * least(n, n0) >= 4 * greatest(n, n0)"))
-        wide = wide.select(F.least("a0", "doc").alias("a"), F.greatest("a0", "doc").alias("b"), F.lit(1).cast("long").alias("times"))
-        pairs = pairs.unionAll(wide).groupBy("a", "b").agg(F.sum("times").alias("times"))
+    if full.where("few").limit(1).count():
+        pairs = pairs.unionAll(_lost_pairs(docs, full, width).withColumn("times", F.lit(1).cast("long"))).groupBy("a", "b").agg(F.sum("times").alias("times"))
     pairs = scratch.table(pairs, "pairs")
 
     best = pairs.groupBy(F.col("b").alias("of")).agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("with"))
@@ -491,7 +540,8 @@ def _joined(docs: DataFrame, sized: DataFrame, width: int, scratch: Scratch) ->
     classes = with_links(_links(docs, single, hubs, width, scratch))
 
     mixed = scratch.table(_mixed_rows(met.where("kind = 1"), classes), "mixed")
-    rest = pairs.select("a", "b").unionAll(_long_bucket_pairs(mixed, full)).unionAll(_crowd_pairs(mixed, single))
+    reaching = scratch.table(_reaching(mixed, full), "reaching")
+    rest = pairs.select("a", "b").unionAll(_long_bucket_pairs(reaching)).unionAll(_crowd_pairs(reaching, single))
     rest = _class_of(_class_of(rest, classes, "a", "of_a"), classes, "b", "of_b").where("of_a <> of_b")
     rest = scratch.table(rest.select("a", "b").distinct().join(best.unionAll(hubs), ["a", "b"], "left_anti"), "rest")
     classes = with_links(_links(docs, single, rest, width, scratch))

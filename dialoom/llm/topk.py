@@ -1,18 +1,22 @@
 """Exact top-k inner products: norm-sorted candidates, SVD-rotated partial sums, Cauchy-Schwarz bounds.
 
-Candidates are ordered by length, longest first, and packed into chunks; queries are packed into blocks. Each block first
+Candidates are ordered by length, longest first, and packed into chunks; queries likewise, into blocks. Each block first
 meets the chunks of the longest vectors, which gives every query a score that its answers cannot be below. Then blocks and
-chunks meet, each pair in a task slot of its own, unless the product of lengths already rules the pair out. There, the
-leading coordinates after a rotation by the singular vectors of all candidates give a partial sum, and the rest is bounded
-by the product of the residual lengths; only pairs whose bound reaches the query's score are computed, as whole numbers.
-Rounding of the bounds is covered by a margin, so results are exact, ties included.
+chunks meet, each pair in a task slot of its own, unless the product of lengths already rules the pair out; since both are
+sorted by length, a block's longest query speaks for the others. There, piece by piece, the leading coordinates after a
+rotation by the singular vectors of all candidates give a partial sum, and the rest is bounded by the product of the residual
+lengths; only pairs whose bound reaches the query's score are computed, as whole numbers. Rounding of the bounds is covered by
+a margin, so results are exact, ties included.
 
-The rotation needs the d x d second moments only, which is all that reaches the driver besides counts. No pair of single
-rows is ever a row of a table: a block and a chunk return k rows per query at most.
+Chunks and blocks are large and hold their numbers in as few bytes as fit, since what meets is shipped: candidates once per
+block of BLOCK queries, queries once per chunk of CHUNK candidates. The rotation needs the d x d second moments only, which is
+all that reaches the driver besides counts. No pair of single rows is ever a row of a table: a block and a chunk return k rows
+per query at most.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; shorter vectors count as zero
 beyond their end; a candidate with the query's id is left out; rows that repeat a vec_id are candidates each, and queries
-each, told apart by no column; with fewer than k candidates all are returned; an empty table gives no rows.
+each, told apart by no column; with fewer than k candidates all are returned; an empty table gives no rows; a score beyond 64
+bits raises OverflowError.
 """
 
 from __future__ import annotations
@@ -25,11 +29,12 @@ from pyspark.sql import functions as F
 from dialoom.llm.shared import Scratch, table
 
 K = 10
-CHUNK, QUERIES_AT_ONCE = 2048, 512
+CHUNK, BLOCK = 8192, 4096
+CHUNK_PIECE, BLOCK_PIECE = 2048, 512
 LEADING = 4  # one in so many coordinates makes the partial sum
 FIRST_CHUNKS = 2
 SCALE = 1024
-#: Places for queries in a block; blocks hold QUERIES_AT_ONCE rows or so.
+#: Places for queries in a block.
 PLACES = 1 << 20
 
 
@@ -71,42 +76,43 @@ def rotation(rows: DataFrame, d: int) -> np.ndarray:
     return np.ascontiguousarray(vectors[:, ::-1])
 
 
-def _bytes(rows: pa.Table, d: int) -> tuple[bytes, bytes, float]:
-    """ids, numbers and the greatest length of a piece."""
-    z = _matrix(rows["z"].combine_chunks(), d)
-    longest = float(np.linalg.norm(z.astype(np.float64), axis=1).max())
-    return rows["vec_id"].to_numpy().astype(np.int64).tobytes(), np.ascontiguousarray(z).tobytes(), longest
+def _narrow(z: np.ndarray) -> np.ndarray:
+    """z in the narrowest of 16, 32 and 64 bits that holds it."""
+    low, high = z.min(initial=0), z.max(initial=0)
+    return z.astype(next(f for f in (np.int16, np.int32, np.int64) if np.iinfo(f).min <= low and high <= np.iinfo(f).max))
 
 
-def _pack(d):
-    """Rows in order -> chunks (ids, z, longest) of CHUNK rows, never across tasks."""
+def _pack(d, size):
+    """Rows in order -> pieces (ids, z, width in bytes, longest) of so many rows, never across tasks."""
 
     def one(rows: pa.Table):
-        ids, z, longest = _bytes(rows, d)
-        return pa.RecordBatch.from_arrays([pa.array([ids], pa.binary()), pa.array([z], pa.binary()), pa.array([longest])], ["ids", "z", "longest"])
+        z = _narrow(_matrix(rows["z"].combine_chunks(), d))
+        longest = float(np.linalg.norm(z.astype(np.float64), axis=1).max())
+        ids = rows["vec_id"].to_numpy().astype(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([ids.tobytes()], pa.binary()), pa.array([np.ascontiguousarray(z).tobytes()], pa.binary()), pa.array([z.itemsize], pa.int32()), pa.array([longest])],
+            ["ids", "z", "width", "longest"],
+        )
 
     def run(batches):
         held = None
         for batch in batches:
             part = pa.Table.from_batches([batch])
             held = part if held is None else pa.concat_tables([held, part])
-            while held.num_rows >= CHUNK:
-                yield one(held.slice(0, CHUNK))
-                held = held.slice(CHUNK)
+            while held.num_rows >= size:
+                yield one(held.slice(0, size))
+                held = held.slice(size)
         if held is not None and held.num_rows:
             yield one(held)
 
     return run
 
 
-def _pack_block(d):
-    """The queries of one block -> (block, q_ids, q, q_longest)."""
+PACKED = "ids binary, z binary, width int, longest double"
 
-    def one(key, rows):
-        ids, z, longest = _bytes(rows, d)
-        return pa.table({"block": [key[0].as_py()], "q_ids": pa.array([ids], pa.binary()), "q": pa.array([z], pa.binary()), "q_longest": [longest]})
 
-    return one
+def _unpacked(ids: bytes, z: bytes, width: int, d: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(ids, np.int64), np.frombuffer(z, f"i{width}").reshape(-1, d)
 
 
 def _best(ids, scores, own, k):
@@ -118,41 +124,54 @@ def _best(ids, scores, own, k):
     return at[np.lexsort((ids[at], -scores[at]))[:k]]
 
 
+def _exact(c: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """c @ q in whole numbers, by floats where these are exact."""
+    most = float(np.abs(c.astype(np.float64)).max(initial=0)) * float(np.abs(q.astype(np.float64)).max(initial=0)) * c.shape[1]
+    if most < 2.0**53:
+        return (c.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
+    if most < 2.0**62:
+        return c.astype(np.int64) @ q.astype(np.int64)
+    found = c.astype(object) @ q.astype(object)
+    if any(abs(x) >= 1 << 63 for x in found):
+        raise OverflowError("an inner product does not fit in 64 bits")
+    return found.astype(np.int64)
+
+
 def _meet(d, k, turn):
     lead = max(1, d // LEADING)
 
-    def pair(q_ids, q_at, floor, q, c_ids, c):
-        small = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * d < 2.0**53
-        as_exact = (lambda x: x.astype(np.float64)) if small else (lambda x: x)
-        qx, cx = as_exact(q), as_exact(c)
-        qr, cr = q.astype(np.float64) @ turn, c.astype(np.float64) @ turn
-        q_left, c_left = np.linalg.norm(qr[:, lead:], axis=1), np.linalg.norm(cr[:, lead:], axis=1)
-        q_long, c_long = np.linalg.norm(qr, axis=1), np.linalg.norm(cr, axis=1)
-        bound = qr[:, :lead] @ cr[:, :lead].T + np.outer(q_left, c_left)
-        margin = 1e-9 * np.outer(q_long, c_long) + 1e-6
-        may = bound + margin >= floor[:, None]
+    def turned(z):
+        x = z.astype(np.float64) @ turn
+        return x[:, :lead], np.linalg.norm(x[:, lead:], axis=1), np.linalg.norm(x, axis=1)
+
+    def pair(q_ids, q_at, floor, q, q_turned, c_ids, c, c_turned):
+        (q_lead, q_left, q_long), (c_lead, c_left, c_long) = q_turned, c_turned
+        may = q_lead @ c_lead.T + np.outer(q_left, c_left) + 1e-9 * np.outer(q_long, c_long) + 1e-6 >= floor[:, None]
         out = []
-        for i in range(len(q_ids)):
+        for i in np.flatnonzero(may.any(axis=1)):
             at = np.flatnonzero(may[i])
-            if not len(at):
-                continue
-            scores = (cx[at] @ qx[i]).astype(np.int64)
+            scores = _exact(c[at], q[i])
             at, scores = at[ok := scores >= floor[i]], scores[ok]
             best = _best(c_ids[at], scores, q_ids[i], k)
             out.append((np.full(len(best), q_ids[i]), np.full(len(best), q_at[i]), c_ids[at[best]], scores[best]))
-        return [np.concatenate(x) for x in zip(*out)] if out else None
+        return out
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                q_ids, c_ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
-                q, c = np.frombuffer(row["q"], np.int64).reshape(-1, d), np.frombuffer(row["z"], np.int64).reshape(-1, d)
-                floor = np.full(len(q_ids), -np.inf)
+                q_ids, q = _unpacked(row["q_ids"], row["q"], row["q_width"], d)
+                c_ids, c = _unpacked(row["ids"], row["z"], row["width"], d)
+                floor, q_at = np.full(len(q_ids), -np.inf), row["block"] * PLACES + np.arange(len(q_ids))
                 for f in row["floors"] or []:
                     floor[f["query_at"] % PLACES] = f["floor"]
-                got = pair(q_ids, row["block"] * PLACES + np.arange(len(q_ids)), floor, q, c_ids, c)
-                if got:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], ["query_id", "query_at", "vec_id", "score"])
+                for a in range(0, len(c_ids), CHUNK_PIECE):
+                    there = slice(a, a + CHUNK_PIECE)
+                    c_turned, out = turned(c[there]), []
+                    for b in range(0, len(q_ids), BLOCK_PIECE):
+                        here = slice(b, b + BLOCK_PIECE)
+                        out += pair(q_ids[here], q_at[here], floor[here], q[here], turned(q[here]), c_ids[there], c[there], c_turned)
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["query_id", "query_at", "vec_id", "score"])
 
     return run
 
@@ -160,22 +179,30 @@ def _meet(d, k, turn):
 def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """rows and queries: (vec_id, z) -> query_id, rank, vec_id, score: the k best of rows for each of queries."""
     scratch = Scratch(rows.sparkSession, "topk")
-    rows = scratch.table(rows.withColumn("size", F.aggregate("z", F.lit(0.0), lambda a, v: a + v.cast("double") * v)), "rows")
+    squares = F.aggregate("z", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
+    rows = scratch.table(rows.withColumn("size", squares), "rows")
     d = max(1, rows.agg(F.max(F.size("z"))).first()[0] or 1)
     turn = rotation(rows, d)
-    ordered = rows.repartitionByRange(F.col("size").desc(), "vec_id").sortWithinPartitions(F.col("size").desc()).select("vec_id", "z")
-    chunks = ordered.mapInArrow(_pack(d), "ids binary, z binary, longest double")
-    chunks = scratch.table(chunks.withColumn("chunk", F.monotonically_increasing_id()), "chunks")
-    n_blocks = -(-queries.count() // QUERIES_AT_ONCE) or 1
-    # a row's own place decides its block, so that rows that repeat an id spread
-    placed = queries.select(F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n_blocks)).alias("block"), "vec_id", "z")
-    blocks = placed.groupBy("block").applyInArrow(_pack_block(d), "block long, q_ids binary, q binary, q_longest double")
-    blocks = scratch.table(blocks, "blocks")
+    def packed(of: DataFrame, size: int, name: str) -> DataFrame:
+        """Pieces of rows, longest first, numbered from 0."""
+        ordered = of.repartitionByRange(F.col("size").desc(), "vec_id").sortWithinPartitions(F.col("size").desc()).select("vec_id", "z")
+        pieces = scratch.table(ordered.mapInArrow(_pack(d, size), PACKED).withColumn("at", F.monotonically_increasing_id()), name)
+        numbered = pieces.select("at", (F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias(name))  # one short row per piece
+        return pieces.join(numbered, "at").drop("at")
+
+    chunks = packed(rows, CHUNK, "chunk")
+    blocks = packed(queries.withColumn("size", squares), BLOCK, "block").select(
+        "block", F.col("ids").alias("q_ids"), F.col("z").alias("q"), F.col("width").alias("q_width"), F.col("longest").alias("q_longest")
+    )
+    n_blocks = blocks.count()
+    if not n_blocks:
+        return queries.limit(0).select(*(F.lit(0).cast(t).alias(c) for c, t in (("query_id", "long"), ("rank", "int"), ("vec_id", "long"), ("score", "long"))))
     every_block = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block")
 
     def met(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
         both = pairs.join(blocks, "block").join(chunks.drop("longest"), "chunk")
-        return both.select("block", "q_ids", "q", "floors", "ids", "z").mapInArrow(_meet(d, k, turn), "query_id long, query_at long, vec_id long, score long")
+        both = both.select("block", "q_ids", "q", "q_width", "floors", "ids", "z", "width")
+        return both.mapInArrow(_meet(d, k, turn), "query_id long, query_at long, vec_id long, score long")
 
     # the longest candidates first: two chunks are two rows, however long the table
     first = chunks.select("chunk", "longest").orderBy(F.col("longest").desc(), "chunk").limit(FIRST_CHUNKS).select("chunk", every_block)
