@@ -9,7 +9,7 @@ one character at a fixed price, words and dates jump ahead by a bounded length,
 in n. Words are of three to LONGEST_WORD letters; longer runs are made of several.
 
 Words are ranked as guessers try them: COMMON first, then the corpus's own by falling count (word_ranks: counted by Spark over
-all whole texts, outside of credential values; the DICTIONARY most frequent ones are sent to all workers, which is how many
+all whole texts, outside of credential values; up to DICTIONARY of the most frequent ones are sent to all workers, which is how many
 words a guesser is thought to try), then words of the text itself, again outside of all credential values. So what a value costs
 does not depend on where in a text it stands, and a value never makes itself known.
 
@@ -26,10 +26,10 @@ from collections import ChainMap, Counter
 from collections.abc import Mapping
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dialoom.llm.shared import slices, table
+from dialoom.llm.shared import Scratch, slices, table
 
 KINDS = ("assign", "access", "hex", "guess")
 MIN_GUESS_LOG10 = 9.0
@@ -133,7 +133,7 @@ def plain_words(text: str, values: list[tuple[int, int]]) -> list[str]:
 
 
 def word_ranks(docs: DataFrame, size: int = DICTIONARY, text_col="text") -> dict[str, int]:
-    """Word -> rank from 1: COMMON, then the `size` words of docs that occur most, ties by code point."""
+    """Word -> rank from 1: COMMON, then the words of docs that occur most, ties by code point; of words of one count all or none, `size` at most."""
 
     def run(batches):
         counts: Counter = Counter()
@@ -153,10 +153,19 @@ def word_ranks(docs: DataFrame, size: int = DICTIONARY, text_col="text") -> dict
         if counts:
             yield out()
 
+    scratch = Scratch(docs.sparkSession, "words")
     counted = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = scratch.table(counted, "counted")
+    # the least count that no more than `size` words have or pass, from the number of words of each count
+    upto = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    least = counted.groupBy("n").agg(F.count("*").alias("words")).withColumn("upto", F.sum("words").over(upto)).where(F.col("upto") <= size)
+    least = least.agg(F.min("n")).first()[0]
     ranks = {w: i + 1 for i, w in enumerate(COMMON)}
-    for r in counted.orderBy(F.desc("n"), "word").limit(size).collect():
-        ranks.setdefault(r.word, len(ranks) + 1)
+    if least is not None:
+        frequent = counted.where(F.col("n") >= least).collect()  # `size` rows at most
+        for r in sorted(frequent, key=lambda r: (-r.n, r.word)):
+            ranks.setdefault(r.word, len(ranks) + 1)
+    scratch.drop(counted)
     return ranks
 
 

@@ -14,28 +14,24 @@ from dialoom.llm.shared import Scratch, table
 
 def keep_good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that score 0.5 or more by a classifier trained on the labelled documents among docs."""
-    labelled = docs.join(F.broadcast(table(spark, sf_dir, "labels").select("doc_id").distinct()), "doc_id", "left_semi") if _small(spark, sf_dir) else docs
+    labels = table(spark, sf_dir, "labels")
+    labelled = docs.select("doc_id", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")  # sent to all where Spark finds it small
     featured = Scratch(spark, "stage").table(quality.features(labelled), "features")
-    return quality.keep_good(docs, quality.train(featured, table(spark, sf_dir, "labels")))
-
-
-#: Rows of labels up to which their ids are sent to all executors, so that only labelled texts are read for training.
-SENT_IDS = 1_000_000
-
-
-def _small(spark: SparkSession, sf_dir: str) -> bool:
-    return table(spark, sf_dir, "labels").limit(SENT_IDS + 1).count() <= SENT_IDS
+    return quality.keep_good(docs, quality.train(featured, labels))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicate texts the rows of the least doc_id; rows without an id stay."""
     return jaccard.keep_one(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with secrets masked and n_chars counted anew where texts changed."""
     return secrets.redact(docs, length_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row as many times as its source's target says, from none to three times."""
     return mixing.mix(docs)
 
 
