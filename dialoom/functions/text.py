@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from dialoom.functions.scalars import prefix_sums
+
 # Curly quotes and their straight forms; Crockford's base-32 digits.
 CURLY, STRAIGHT = "’‘“”", "''\"\""
 CROCKFORD = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
@@ -56,15 +58,10 @@ def paragraphs(text: Column) -> Column:
     """Array of (idx, start, end, text): physical lines that are not blank, cut at CRLF, LF or CR."""
     pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\r\n]*(?:\r\n|\r|\n|$)"), F.lit(0))
 
-    def step(state: Column, piece: Column) -> Column:
-        line = F.regexp_replace(piece, r"[\r\n]+$", "")
-        blank = F.length(F.trim(F.regexp_replace(line, r"\s", " "))) == 0
-        found = F.struct(F.size(state["out"]).alias("idx"), state["at"].alias("start"), (state["at"] + F.length(line)).alias("end"), line.alias("text"))
-        out = F.when(blank, state["out"]).otherwise(F.concat(state["out"], F.array(found)))
-        return F.struct((state["at"] + F.length(piece)).alias("at"), out.alias("out"))
-
-    empty = F.array().cast("array<struct<idx:int,start:int,end:int,text:string>>")
-    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])
+    line = lambda piece: F.regexp_replace(piece, r"[\r\n]+$", "")
+    placed = F.zip_with(pieces, prefix_sums(F.transform(pieces, lambda p: F.length(p).cast("long"))), lambda p, at: F.struct(line(p).alias("text"), at.cast("int").alias("start")))
+    kept = F.filter(placed, lambda x: F.length(F.trim(F.regexp_replace(x["text"], r"\s", " "))) > 0)
+    return F.transform(kept, lambda x, i: F.struct(i.alias("idx"), x["start"].alias("start"), (x["start"] + F.length(x["text"])).alias("end"), x["text"].alias("text")))
 
 
 def quotes(text: Column) -> Column:
@@ -88,14 +85,77 @@ def segments_text(parts: Column) -> Column:
     return F.array_join(F.transform(parts, lambda s: s["value"]), " ")
 
 
-def descriptor(text: Column, vague=("same", "other", "only", "first", "last")) -> Column:
-    """An article-led phrase of two to six words and 80 characters at most, without vague words; else null."""
-    t = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
-    words = F.split(t, " ")
-    fits = t.rlike("^(?:the|a|an) ") & F.size(words).between(2, 6) & (F.length(t) <= 80) & ~F.arrays_overlap(words, F.array(*map(F.lit, vague)))
+# Articles that lead a descriptor, and words that make one vague.
+ARTICLES = ("a", "an", "the")
+VAGUE = ("all", "any", "each", "every", "few", "other", "same", "some")
+OUTER = "\"'“”‘’.,;:!? "
+
+
+def descriptor(text: Column, articles=ARTICLES, vague=VAGUE) -> Column:
+    """An article-led phrase of two to six words and 80 characters at most, without vague words before the last; else null. Case stays."""
+    t = F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"\s+", " ")
+    t = F.btrim(t, F.lit(OUTER))
+    words = F.regexp_extract_all(F.lower(t), F.lit("[a-z]+(?:'[a-z]+)?"), F.lit(0))
+    unclear = F.arrays_overlap(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.array(*map(F.lit, vague)))
+    fits = (F.length(t) <= 80) & F.size(words).between(2, 6) & F.get(words, F.lit(0)).isin(*articles) & ~unclear
     return F.when(fits, t)
 
 
+def dash_only(text: Column) -> Column:
+    """Only one to three hyphens, of any dash."""
+    return F.translate(F.trim(F.coalesce(text, F.lit(""))), "–—−", "---").isin("-", "--", "---")
+
+
+def id_candidates(text: Column) -> Column:
+    """Ids that a name may have had: its slug, with "the-", and both without a final s."""
+    slugged = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9\s-]", ""), r"[\s-]+", "-"), "^-+|-+$", "")
+    both = lambda s: F.array(s, F.concat(F.lit("the-"), s))
+    single = F.regexp_replace(slugged, "s$", "")
+    return F.when(slugged == "", F.array().cast("array<string>")).when(slugged.endswith("s") & (F.length(slugged) > 1), F.concat(both(slugged), both(single))).otherwise(both(slugged))
+
+
+def single_quoted(line: Column, endings: str = ".!?,-") -> Column:
+    """A line whose paired straight quotations that do not end like speech have single quotes instead; an unpaired tail stays."""
+    pieces = F.regexp_extract_all(line, F.lit('"[^"]*"|[^"]+|"[^"]*$'), F.lit(0))
+    last = lambda p: F.substring(F.rtrim(F.regexp_replace(F.substring(p, 2, F.length(p) - 2), r"\s+$", "")), -1, 1)
+    plain = lambda p: p.rlike('^"[^"]*"$') & (last(p) != "") & (F.instr(F.lit(endings), last(p)) == 0)
+    return F.array_join(F.transform(pieces, lambda p: F.when(plain(p), F.concat(F.lit("'"), F.substring(p, 2, F.length(p) - 2), F.lit("'"))).otherwise(p)), "")
+
+
+# English cardinals.
+ONES = (
+    "zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen",
+    "sixteen", "seventeen", "eighteen", "nineteen",
+)
+TENS = ("", "", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety")
+
+
+def cardinal(n: Column) -> Column:
+    """0 to 9999 in English words, null beyond."""
+    ones, tens = (F.array(*map(F.lit, words)) for words in (ONES, TENS))
+    at = lambda words, i: F.get(words, i.cast("int"))
+    below100 = lambda x: F.when(x < 20, at(ones, x)).when(x % 10 == 0, at(tens, x / 10)).otherwise(F.concat_ws(" ", at(tens, F.floor(x / 10)), at(ones, x % 10)))
+    hundreds = lambda x: F.concat(at(ones, F.floor(x / 100)), F.lit(" hundred"))
+    below1000 = lambda x: F.when(x < 100, below100(x)).when(x % 100 == 0, hundreds(x)).otherwise(F.concat(hundreds(x), F.lit(" and "), below100(x % 100)))
+    thousands = F.concat(at(ones, F.floor(n / 1000)), F.lit(" thousand"))
+    link = F.when(n % 1000 < 100, " and ").otherwise(" ")
+    return F.when((n < 0) | (n > 9999), None).when(n < 1000, below1000(n)).when(n % 1000 == 0, thousands).otherwise(F.concat(thousands, link, below1000(n % 1000)))
+
+
+def numbers_in_words(text: Column) -> Column:
+    """Numbers up to 9999 that stand by themselves in English words, their commas left out; others stay."""
+    cut = "\x01"
+    marked = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), cut, " "), r"(?U)(?<![\w.])\d[\d,]*(?![\w.])", f"{cut}$0{cut}")
+    value = lambda p: F.replace(p, F.lit(","), F.lit("")).try_cast("int")
+    # numbers are every second piece
+    return F.array_join(F.transform(F.split(marked, cut), lambda p, i: F.when(i % 2 == 1, F.coalesce(cardinal(value(p)), p)).otherwise(p)), "")
+
+
+def chapter_number(name: Column) -> Column:
+    """The number that a folder's name begins with, null if none."""
+    return F.nullif(F.regexp_extract(F.trim(name), r"^(\d+)", 1), F.lit("")).try_cast("int")
+
+
 def model_answer(raw: Column) -> Column:
     """A model's reply without code fences, labels and outer punctuation; first line only."""
     t = F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), "```[a-z]*", ""))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dialoom.functions.cues import blocked_speaker
 from dialoom.functions.scalars import ordered_distinct
 
 
@@ -77,9 +78,9 @@ def between_equals(speaker: Column, sure: Column, candidates: Column, group, ord
 
 
 def recency_stack(speakers: Column, size: int = 5) -> Column:
-    """The last `size` distinct speakers of an ordered array, latest first; a null empties the stack."""
+    """The latest speakers of an ordered array, latest first: each is put on top unless it is there; those who are nobody are passed over."""
     empty = F.array().cast("array<string>")
-    step = lambda stack, s: F.when(s.isNull(), empty).otherwise(F.slice(F.concat(F.array(s), F.filter(stack, lambda x: x != s)), 1, size))
+    step = lambda stack, s: F.when(blocked_speaker(s) | F.coalesce(F.get(stack, F.lit(0)) == s, F.lit(False)), stack).otherwise(F.slice(F.concat(F.array(s), stack), 1, size))
     return F.aggregate(speakers, empty, step)
 
 
@@ -116,9 +117,10 @@ def packed_chunks(lengths: Column, least: int, most: int) -> Column:
 
 
 def merged_lines(lines: DataFrame, group, order: str, text: str) -> DataFrame:
-    """Lines that begin with a lower-case letter join the line before them, without a blank after a hyphen."""
+    """Lines whose first letter is lower case, without a digit before it, join the line before them, if that is not blank, without a blank after a hyphen."""
     w = _within(group, [order])
-    starts = ~F.coalesce(F.col(text).rlike(r"^\s*\p{Ll}"), F.lit(False))
+    blank = F.coalesce(F.trim(F.lag(text).over(w)) == "", F.lit(True))
+    starts = blank | ~F.coalesce(F.col(text).rlike(r"^[^\p{L}\p{Nd}]*\p{Ll}"), F.lit(False))
     found = lines.withColumn("_run", F.sum(starts.cast("int")).over(w))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: F.trim(x[text])), "\n")
     found = found.groupBy(*group, "_run").agg(F.min(order).alias(order), F.count("*").alias("merged"), joined.alias(text))

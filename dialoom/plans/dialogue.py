@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from dialoom.functions import cues
 from dialoom.functions.scalars import joined, ratio
-from dialoom.operators import aggregate, sequence, training
+from dialoom.operators import aggregate, evaluation, passes, sequence, training
 from dialoom.plans.registry import query
 
 CHAPTER, LINE = ["conv_id"], ["turn"]
@@ -143,14 +144,18 @@ def paragraph_consistency(t):
 
 
 @query("""
-WITH RECURSIVE o AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
-f(conv_id, i, n, stack) AS (SELECT conv_id, i, n, [role] FROM o WHERE i = 1
-  UNION ALL SELECT o.conv_id, o.i, o.n, ([o.role] || list_filter(f.stack, lambda x: x <> o.role))[1:5] FROM f JOIN o ON o.conv_id = f.conv_id AND o.i = f.i + 1)
+WITH RECURSIVE o AS (SELECT conv_id, CASE length(text) % 7 WHEN 0 THEN 'Unknown' WHEN 1 THEN '[a|b]' WHEN 2 THEN NULL ELSE role || length(text) % 3 END AS who,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+f(conv_id, i, n, stack) AS (SELECT conv_id, CAST(0 AS BIGINT), max(n), CAST([] AS VARCHAR[]) FROM o GROUP BY conv_id
+  UNION ALL SELECT o.conv_id, o.i, o.n, CASE WHEN who IS NULL OR who = 'Unknown' OR starts_with(who, '[') OR stack[1] = who THEN stack ELSE ([who] || stack)[1:5] END
+  FROM f JOIN o ON o.conv_id = f.conv_id AND o.i = f.i + 1)
 SELECT conv_id, array_to_string(stack, ',') AS stack FROM f WHERE i = n""")
 def recency_stack(t):
     # a conversation's roles, not its texts, are gathered: the stack is a fold over them in order
-    rows = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("a"))
-    return rows.select("conv_id", joined(sequence.recency_stack(F.transform("a", lambda x: x["role"]))).alias("stack"))
+    size = F.length("text")
+    who = F.when(size % 7 == 0, "Unknown").when(size % 7 == 1, "[a|b]").when(size % 7 > 2, F.concat("role", (size % 3).cast("string")))
+    rows = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", who.alias("who")))).alias("a"))
+    return rows.select("conv_id", joined(sequence.recency_stack(F.transform("a", lambda x: x["who"]))).alias("stack"))
 
 
 @query("""
@@ -273,3 +278,68 @@ def training_rows(t):
     chapters = t("conversations").groupBy("conv_id").agg(raw.alias("raw"))
     found = training.training_rows(lines, chapters, CHAPTER, "turn", "Who speaks?", 0.5)
     return found.select("conv_id", "turn", "outcome", "clipped", "mismatch", F.col("messages")[1]["content"].alias("asked"), F.col("messages")[2]["content"].alias("answer"))
+
+
+@query("""
+WITH p AS (SELECT conv_id, turn, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS context, coalesce(text, '') AS quote FROM conversations)
+SELECT conv_id, turn, CASE WHEN context = '' OR quote = '' THEN 0.35 ELSE least(1.0, 0.35 + CASE WHEN regexp_matches(context, '["“”]') THEN 0.35 ELSE 0.0 END
+  + CASE WHEN ends_with(quote, '?') OR ends_with(quote, '!') OR ends_with(quote, '.') THEN 0.15 ELSE 0.0 END
+  + CASE WHEN len(list_filter(regexp_split_to_array(quote, '\\s+'), lambda w: w <> '')) >= 4 THEN 0.1 ELSE 0.0 END) END::DOUBLE AS quality FROM p""")
+def quote_boundary_quality(t):
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return t("conversations").select("conv_id", "turn", before.alias("c"), "text").select("conv_id", "turn", cues.boundary_quality(F.col("c"), F.col("text")).alias("quality"))
+
+
+@query("""
+WITH r AS (SELECT conv_id, turn, role, length(text) % 3 = 0 AS asks, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+a AS (SELECT r.conv_id, r.turn, r.i, b.role AS asked FROM r LEFT JOIN r b ON b.conv_id = r.conv_id AND b.i = r.i - 1 AND b.asks AND b.role <> '')
+SELECT a.conv_id, a.turn, arg_max(e.role, e.i) AS answers FROM a LEFT JOIN r e ON e.conv_id = a.conv_id AND e.i BETWEEN a.i - 4 AND a.i - 1 AND a.asked IS NOT NULL AND e.role <> a.asked AND e.role <> '' GROUP BY a.conv_id, a.turn""")
+def question_sandwich(t):
+    return t("conversations").select("conv_id", "turn", passes.sandwich_speaker(F.col("role"), F.length("text") % 3 == 0, CHAPTER, LINE).alias("answers"))
+
+
+@query("""
+WITH l AS (SELECT conv_id, turn, role <> 'system' AS said, length(text) % 4 = 0 AS unsure, length(text) % 3 AS n, role, text FROM conversations),
+w AS (SELECT *, lag(said) OVER o AS s1, lag(said, 2) OVER o AS s2, lead(said) OVER o AS s3, coalesce(lag(text) OVER o, '') AS before FROM l WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
+b AS (SELECT *, CASE WHEN unsure THEN 0.62 ELSE 0.98 END::DOUBLE - CASE WHEN n > 1 THEN 0.06 ELSE 0 END::DOUBLE - CASE WHEN n <= 0 THEN 0.04 ELSE 0 END::DOUBLE - CASE WHEN coalesce(s1, false) THEN 0.05 ELSE 0 END::DOUBLE
+  - CASE WHEN coalesce(s3, false) THEN 0.03 ELSE 0 END::DOUBLE AS c, coalesce(NOT s1, false) AS told FROM w),
+m AS (SELECT *, CASE WHEN told AND contains(lower(before), lower(trim(role))) AND contains(' ' || lower(trim(before)) || ' ', ' said ') THEN CASE WHEN coalesce(s2, false) THEN least(c, 0.95) ELSE greatest(c, 0.99) END ELSE c END::DOUBLE AS d FROM b)
+SELECT conv_id, turn, round(CASE WHEN NOT said THEN 1.0 ELSE greatest(0.0, least(1.0, d - CASE WHEN told AND contains(before, chr(10) || chr(10)) THEN 0.08 ELSE 0 END
+  - CASE WHEN told AND len(list_filter(regexp_split_to_array(before, '\\s+'), lambda x: x <> '')) >= 24 THEN 0.08 ELSE 0 END)) END::DOUBLE, 6) AS confidence FROM m""")
+def dialogue_confidence(t):
+    size = F.length("text")
+    said = F.concat(F.lit(" "), F.lower(F.trim("text")), F.lit(" ")).contains(" said ")
+    found = evaluation.dialogue_confidence(F.col("role") != "system", size % 4 == 0, F.array_repeat(F.lit("x"), (size % 3).cast("int")), F.col("role"), F.col("text"), said, CHAPTER, LINE)
+    return t("conversations").select("conv_id", "turn", F.round(found, 6).alias("confidence"))
+
+
+@query("""
+WITH r AS (SELECT user_id AS doc, event_id % 5 AS coref, CASE event_type WHEN 'purchase' THEN 'PROP' WHEN 'click' THEN 'NOM' ELSE 'PRON' END AS prop, event_id, 'n' || event_id % 7 AS text FROM events),
+s AS (SELECT doc, coref, text, sum(CASE prop WHEN 'PROP' THEN 10.0 WHEN 'NOM' THEN 1.0 ELSE 0.001 END) AS w, min(event_id) AS place FROM r GROUP BY ALL)
+SELECT doc, coref, arg_max(text, (round(w, 6), -place)) AS name FROM s GROUP BY doc, coref""")
+def cluster_names(t):
+    prop = F.when(F.col("event_type") == "purchase", "PROP").when(F.col("event_type") == "click", "NOM").otherwise("PRON")
+    rows = t("events").select(F.col("user_id").alias("doc"), (F.col("event_id") % 5).alias("coref"), prop.alias("prop"), F.lit("PER").alias("cat"), F.col("event_id").alias("at"), F.concat(F.lit("n"), F.col("event_id") % 7).alias("text"))
+    return evaluation.cluster_names(rows, "doc")
+
+
+@query("""
+WITH f AS (SELECT user_id, event_id % 5 AS coref, lower('The N' || event_id % 7) AS k, min(event_id) AS place FROM events WHERE event_type = 'click' GROUP BY ALL)
+SELECT user_id, CAST(coref AS VARCHAR) AS coref, string_agg('The N' || substr(k, 6), ',' ORDER BY place) AS mentions FROM f GROUP BY user_id, coref""")
+def nominal_mentions(t):
+    rows = t("events").select("user_id", (F.col("event_id") % 5).cast("string").alias("coref"), F.when(F.col("event_type") == "click", "NOM").otherwise("PRON").alias("prop"), F.lit("PER").alias("cat"), F.col("event_id").alias("at"), F.concat(F.lit("The N"), F.col("event_id") % 7).alias("text"))
+    return evaluation.nominal_mentions(rows, "user_id").withColumn("mentions", joined(F.col("mentions")))
+
+
+@query("""
+SELECT count(*) AS lines, count(*) FILTER (role = ['user', 'assistant'][length(text) % 2 + 1]) AS hits_1, count(*) FILTER (role IN ('user', 'assistant')) AS hits_2 FROM conversations""")
+def guess_hits(t):
+    a, b = F.lit("user"), F.lit("Assistant ")
+    offered = F.when(F.length("text") % 2 == 0, F.array(a, b)).otherwise(F.array(b, a))
+    return evaluation.guess_hits(t("conversations"), F.col("role"), offered, (1, 2))
+
+
+@query("""
+SELECT doc_id, CAST(coalesce(sum(length(text) + 2) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM documents""")
+def corpus_offsets(t):
+    return evaluation.corpus_offsets(t("documents").select("doc_id", "text"), "doc_id", "text").select("doc_id", "offset")

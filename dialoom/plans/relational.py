@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from dialoom.functions import text
+from dialoom.functions import cues, text
 from dialoom.functions.scalars import joined, top_distinct
-from dialoom.operators import catalogue, ranking, verify
+from dialoom.operators import catalogue, evaluation, ranking, verify
 from dialoom.plans.registry import query
 
 SURFACES = r"""s AS (SELECT DISTINCT p_partkey AS id, p_partkey AS ord, trim(regexp_replace(translate(lower(trim(x)), '_-', '  '), '[^a-z0-9]+', ' ', 'g')) AS surface
@@ -62,11 +62,12 @@ def carry_forward(t):
 
 
 @query("""
-WITH a AS (SELECT c_nationkey AS k, min(c_mktsegment) AS v FROM customer WHERE c_nationkey < 20 GROUP BY 1), b AS (SELECT s_nationkey AS k, min(s_name) AS v FROM supplier GROUP BY 1)
+WITH a AS (SELECT c_nationkey AS k, min(c_mktsegment) AS v FROM customer GROUP BY 1), b AS (SELECT s_nationkey + 5 AS k, min(s_name) AS v FROM supplier GROUP BY 1)
 SELECT coalesce(a.k, b.k) AS k, coalesce(a.v, b.v) AS v, CASE WHEN a.k IS NULL THEN 'new' WHEN a.v IS NULL AND b.v IS NOT NULL THEN 'filled' ELSE 'kept' END AS change FROM a FULL JOIN b ON a.k = b.k""")
 def upsert_voices(t):
-    a = t("customer").where("c_nationkey < 20").groupBy(F.col("c_nationkey").alias("k")).agg(F.min("c_mktsegment").alias("v"))
-    return catalogue.upsert(a, t("supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.min("s_name").alias("v")), "k", ["v"])
+    """Customers' nations against suppliers', moved on so that some are new."""
+    a = t("customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.min("c_mktsegment").alias("v"))
+    return catalogue.upsert(a, t("supplier").groupBy((F.col("s_nationkey") + 5).alias("k")).agg(F.min("s_name").alias("v")), "k", ["v"])
 
 
 @query("""
@@ -87,11 +88,11 @@ def voice_survivor(t):
 
 
 @query("""
-WITH b AS (SELECT lower(trim(CAST(p_size AS VARCHAR))) AS id, p_name AS surface FROM part WHERE p_partkey < 150)
+WITH b AS (SELECT lower(trim(CAST(p_size AS VARCHAR))) AS id, p_name AS surface FROM part)
 SELECT 'duplicate_id' AS rule, id AS value, count(*) AS n FROM b WHERE id <> '' GROUP BY id HAVING count(*) > 1
 UNION ALL SELECT 'ambiguous_surface', surface, count(DISTINCT id) FROM b WHERE surface <> '' GROUP BY surface HAVING count(DISTINCT id) > 1""")
 def constraint_report(t):
-    return catalogue.violations(t("part").where("p_partkey < 150"), "p_size", F.col("p_name"))
+    return catalogue.violations(t("part"), "p_size", F.col("p_name"))
 
 
 @query("""
@@ -152,18 +153,85 @@ def orders_as_of_shipping(t):
 
 
 @query("""
-SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderpriority LIKE '%LOW%' THEN 'carryover_rule' END, CASE WHEN o_orderstatus = 'P' THEN 'already_suggestion' END,
-  CASE WHEN o_totalprice / 500000 < 0.74 THEN 'low_confidence' END, CASE WHEN (o_custkey % 100) / 100 < 0.14 THEN 'tight_margin' END) AS reasons FROM orders
-WHERE o_orderpriority LIKE '%LOW%' OR o_orderstatus = 'P' OR o_totalprice / 500000 < 0.74 OR (o_custkey % 100) / 100 < 0.14""")
+WITH l AS (SELECT o_orderkey, o_orderstatus <> 'O' AS said, ['4b_tag_continuation', '4_contiguous_dialogue', '5_suggest_alternatives', '2_forward_explicit_tags'][o_custkey % 4 + 1] AS rule,
+  o_orderpriority LIKE '%LOW%' AS own, o_orderstatus = 'P' AS suggestion, o_totalprice / 500000 AS conf, (o_custkey % 100) / 100 AS margin, o_orderkey % 7 = 0 AS decoded FROM orders),
+r AS (SELECT o_orderkey, said AND rule LIKE '4%' AND NOT own AS carried, said, suggestion, conf, margin, decoded, rule FROM l)
+SELECT o_orderkey, concat_ws(',', CASE WHEN carried THEN 'carryover_rule' END, CASE WHEN said AND suggestion THEN 'already_suggestion' END, CASE WHEN said AND conf < 0.74 THEN 'low_confidence' END,
+  CASE WHEN said AND margin < 0.14 THEN 'tight_margin' END, CASE WHEN said AND decoded THEN 'episode_decoder' END, CASE WHEN said AND rule LIKE '5%' THEN 'suggestion_string' END) AS reasons,
+  CASE WHEN carried THEN 'carryover_rule' ELSE '' END AS carryover_only FROM r""")
 def verify_gate(t):
-    rule = F.when(F.col("o_orderpriority").contains("LOW"), "carry").otherwise("")
-    reasons = verify.gate_reasons(F.col("o_orderstatus") == "P", F.col("o_totalprice") / 500000, (F.col("o_custkey") % 100) / 100, rule, F.lit(""))
-    return t("orders").select("o_orderkey", reasons.alias("r")).where(F.size("r") > 0).select("o_orderkey", joined(F.col("r")).alias("reasons"))
+    rule = F.element_at(F.array(*map(F.lit, (*verify.CARRYOVER[:2], verify.SUGGESTED, "2_forward_explicit_tags"))), (F.col("o_custkey") % 4 + 1).cast("int"))
+    own = F.when(F.col("o_orderpriority").contains("LOW"), F.array(F.lit("coref_support"))).otherwise(F.array(F.lit("recent_named_mention")))
+
+    def why(gate):
+        return joined(verify.gate_reasons(gate, F.col("o_orderstatus") != "O", rule, own, F.col("o_orderstatus") == "P", F.col("o_totalprice") / 500000, (F.col("o_custkey") % 100) / 100, F.col("o_orderkey") % 7 == 0))
+
+    return t("orders").select("o_orderkey", why("full").alias("reasons"), why("carryover").alias("carryover_only"))
 
 
 @query("""
 WITH a AS (SELECT o_orderkey, nullif(o_orderstatus, 'P') AS choice, (o_custkey % 100) / 100 AS conf, o_orderstatus = 'F' AS same FROM orders)
-SELECT o_orderkey, CASE WHEN choice IS NULL THEN 'skip' WHEN conf < 0.5 THEN 'note' WHEN same THEN CASE WHEN conf >= 0.8 THEN 'confirm' ELSE 'note' END WHEN conf >= 0.8 THEN 'downgrade' ELSE 'note' END AS verdict FROM a""")
+SELECT o_orderkey, CASE WHEN choice IS NULL THEN 'skip' WHEN conf < 0.4 THEN 'note' WHEN same THEN CASE WHEN conf >= 0.7 THEN 'confirm' ELSE 'note' END WHEN conf >= 0.6 THEN 'downgrade' ELSE 'note' END AS verdict FROM a""")
 def verdicts(t):
     choice = F.nullif(F.col("o_orderstatus"), F.lit("P"))
     return t("orders").select("o_orderkey", verify.verdict(choice, (F.col("o_custkey") % 100) / 100, F.col("o_orderstatus") == "F").alias("verdict"))
+
+
+@query("""
+WITH c AS (SELECT l_suppkey, nullif(l_shipmode, '') AS v, count(*) AS n, max(l_suppkey % 50) AS t FROM (SELECT l_suppkey, CASE WHEN l_linenumber = 7 THEN '' ELSE l_returnflag END AS l_shipmode FROM lineitem) GROUP BY ALL)
+SELECT l_suppkey, CAST(sum(n) AS BIGINT) AS clips, string_agg(v || '=' || n, ',' ORDER BY v) AS voices, arg_min(v, (-n, v)) FILTER (v IS NOT NULL) AS "primary", max(t) AS total,
+  CASE WHEN max(t) > 0 THEN sum(n) / max(t) END AS coverage FROM c GROUP BY l_suppkey""")
+def voice_stats(t):
+    voice = F.when(F.col("l_linenumber") == 7, "").otherwise(F.col("l_returnflag"))
+    found = evaluation.voice_stats(t("lineitem"), ["l_suppkey"], voice, F.col("l_suppkey") % 50)
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("voices")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return found.withColumn("voices", shown)
+
+
+@query("SELECT count(*) AS rows, count(*) FILTER (o_orderstatus = 'F') AS \"F\", count(*) FILTER (o_orderstatus = 'P') AS \"P\" FROM orders")
+def outcome_counts(t):
+    return evaluation.outcome_counts(t("orders"), F.col("o_orderstatus"), ["F", "P"])
+
+
+@query("SELECT count(*) AS reports, count(*) FILTER (p_size > 45) AS flagged, md5(string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) FILTER (p_size > 45)) AS lines FROM part")
+def flagged_summary(t):
+    return evaluation.flagged_summary(t("part"), F.col("p_size") > 45, "p_partkey").withColumn("lines", F.md5(joined(F.col("lines"))))
+
+
+@query("""
+WITH s AS (SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(lower(p_name || 's'), '[^a-z0-9\\s-]', '', 'g'), '[\\s-]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM part)
+SELECT p_partkey, s || ',the-' || s || ',' || s[:-2] || ',the-' || s[:-2] AS candidates FROM s""")
+def id_candidates(t):
+    return t("part").select("p_partkey", joined(text.id_candidates(F.concat("p_name", F.lit("s")))).alias("candidates"))
+
+
+@query("""
+WITH w AS (SELECT p_partkey, p_partkey * 37 % 10000 AS n, ['one','two','three','four','five','six','seven','eight','nine','ten','eleven','twelve','thirteen','fourteen','fifteen','sixteen','seventeen','eighteen','nineteen'] AS o,
+  ['ten','twenty','thirty','forty','fifty','sixty','seventy','eighty','ninety'] AS t FROM part),
+h AS (SELECT *, CASE WHEN n % 100 < 20 THEN o[n % 100] WHEN n % 10 = 0 THEN t[n % 100 // 10] ELSE t[n % 100 // 10] || ' ' || o[n % 10] END AS low, o[n // 100 % 10] || ' hundred' AS mid, o[n // 1000] || ' thousand' AS high FROM w)
+SELECT p_partkey, 'no. ' || CASE WHEN n = 0 THEN 'zero' ELSE concat(CASE WHEN n >= 1000 THEN high END, CASE WHEN n >= 1000 AND n % 1000 > 0 THEN CASE WHEN n % 1000 < 100 THEN ' and ' ELSE ' ' END END,
+  CASE WHEN n % 1000 >= 100 THEN mid END, CASE WHEN n % 1000 >= 100 AND n % 100 > 0 THEN ' and ' END, CASE WHEN n % 100 > 0 THEN low END) END || '!' AS words FROM h""")
+def numbers_in_words(t):
+    return t("part").select("p_partkey", text.numbers_in_words(F.concat(F.lit("no. "), F.col("p_partkey") * 37 % 10000, F.lit("!"))).alias("words"))
+
+
+@query("""
+WITH d AS (SELECT p_partkey, trim(['The ', 'any ', 'a same ', 'An '][p_partkey % 4 + 1] || p_name, '"''“”‘’.,;:!? ') AS d FROM part), w AS (SELECT *, regexp_extract_all(lower(d), '[a-z]+(?:''[a-z]+)?') AS w FROM d)
+SELECT p_partkey, CASE WHEN length(d) <= 80 AND len(w) BETWEEN 2 AND 6 AND w[1] IN ('a', 'an', 'the') AND NOT list_has_any(w[:-2], ['all', 'any', 'each', 'every', 'few', 'other', 'same', 'some']) THEN d END AS descriptor FROM w""")
+def descriptors(t):
+    lead = F.element_at(F.array(*map(F.lit, ("The ", "any ", "a same ", "An "))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return t("part").select("p_partkey", text.descriptor(F.concat(lead, F.col("p_name"))).alias("descriptor"))
+
+
+@query("SELECT p_partkey, trim(p_name) IN ('-', '--', '---') OR p_partkey % 3 = 0 AS dashes FROM part")
+def dash_lines(t):
+    return t("part").select("p_partkey", text.dash_only(F.when(F.col("p_partkey") % 3 == 0, " –— ").otherwise(F.col("p_name"))).alias("dashes"))
+
+
+@query("""
+WITH a AS (SELECT p_partkey, trim(p_name) AS n, lower(trim(p_name)) AS l FROM part)
+SELECT p_partkey, l = '' OR l IN ('he', 'she', 'the man') OR starts_with(l, 'unknown') AS generic, n = '' OR n IN ('Unassigned', 'Unknown') OR starts_with(n, '[') AS blocked FROM a
+WHERE p_partkey % 5 > 0 UNION ALL SELECT p_partkey, true, true FROM a WHERE p_partkey % 5 = 0""")
+def label_checks(t):
+    name = F.when(F.col("p_partkey") % 5 == 0, "Unknown").otherwise(F.col("p_name"))
+    return t("part").select("p_partkey", cues.generic_label(name).alias("generic"), cues.blocked_speaker(name).alias("blocked"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dialoom.functions import text
-from dialoom.operators import aggregate, ranking, sequence, spans
+from dialoom.functions import cues, text
+from dialoom.operators import aggregate, passes, ranking, sequence, spans
 from dialoom.plans.registry import query
 
 LINES = r"""lines AS (
@@ -141,7 +141,8 @@ def exact_sample(t):
 
 @query(r"""
 WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
-k AS (SELECT *, sum(CASE WHEN coalesce(regexp_matches(line, '^\s*\p{Ll}'), false) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM lines),
+b AS (SELECT *, coalesce(trim(lag(line) OVER (PARTITION BY doc_id ORDER BY i)) = '', true) AS open FROM lines),
+k AS (SELECT *, sum(CASE WHEN NOT open AND coalesce(regexp_matches(line, '^[^\p{L}\p{Nd}]*\p{Ll}'), false) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM b),
 m AS (SELECT doc_id, CAST(min(i) - 1 AS INT) AS "at", count(*) AS merged, string_agg(trim(line), chr(10) ORDER BY i) AS t FROM k GROUP BY doc_id, run)
 SELECT doc_id, "at", merged, md5(replace(replace(t, '-' || chr(10), '-'), chr(10), ' ')) AS digest FROM m""")
 def line_wrap_merge(t):
@@ -152,3 +153,21 @@ def line_wrap_merge(t):
 @query("SELECT page_id, trim(regexp_replace(regexp_replace(lower(trim(url)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS slug FROM pages")
 def slugs(t):
     return t("pages").select("page_id", text.slug(F.col("url")).alias("slug"))
+
+
+@query(r"""
+WITH c AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '(["“”].*?["“”])', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS p FROM documents),
+e AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS k FROM c),
+o AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM e),
+f AS (SELECT * FROM o WHERE regexp_matches(piece, '\S'))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INT) AS i, CASE WHEN regexp_matches(piece, '^["“”]') THEN 'dialogue' ELSE 'narration' END AS type,
+  md5(trim(piece, '"“” ')) AS digest, CAST(start AS BIGINT) AS start, CAST(start + length(piece) AS BIGINT) AS "end" FROM f""")
+def quote_chunks(t):
+    return passes.chunks(t("documents"), "doc_id", "text").withColumn("text", F.md5("text")).withColumnRenamed("text", "digest")
+
+
+@query(r"""
+SELECT doc_id, regexp_matches(' ' || lower(trim(coalesce(text, ''))) || ' ',
+  ' (?:said|asked|replied|answered|muttered|shouted|whispered|snapped|yelled|growled|sighed|hissed|called|told|added|continued|remarked|noted|stated|declared|insisted) ') AS speech FROM documents""")
+def speech_verbs_nearby(t):
+    return t("documents").select("doc_id", cues.nearby_speech_verb(F.col("text")).alias("speech"))

@@ -5,16 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dialoom.functions.text import chapter_number
+
 
 def folder_of(path) -> F.Column:
     return F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
 
 
+#: The control characters that bytes 0x80 to 0x9F are in Latin-1, and what they are in Windows-1252; undefined ones are replaced.
+CONTROLS = "".join(map(chr, range(0x80, 0xA0)))
+WINDOWS = bytes(range(0x80, 0xA0)).decode("cp1252", "replace")
+
+
+def _files(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """(path, text): whole files by name, wherever they lie below root; bytes that are not UTF-8 as Windows-1252."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(root)
+    text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.translate(F.decode("content", "ISO-8859-1"), CONTROLS, WINDOWS))
+    return files.select("path", text.alias("text"))
+
+
 def read_chapters(spark: SparkSession, root: str) -> DataFrame:
-    """(chapter, path, text): every chapter.txt below root, whole and with its own line ends; bytes that are not UTF-8 as Latin-1."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "chapter.txt").load(root)
-    text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "ISO-8859-1"))
-    return files.select(folder_of(F.col("path")).alias("chapter"), "path", text.alias("text")).where(~F.col("chapter").startswith("."))
+    """(chapter, path, text): every chapter.txt below root, whole and with its own line ends."""
+    files = _files(spark, root, "chapter.txt")
+    return files.select(folder_of(F.col("path")).alias("chapter"), "path", "text").where(~F.col("chapter").startswith("."))
 
 
 LINES = "struct<formatVersion:string,reviewed:boolean,lines:array<struct<id:int,characterId:string,chosenSpeaker:string,text:string,span:struct<start:int,end:int>,isConflict:boolean>>>"
@@ -22,8 +35,8 @@ LINES = "struct<formatVersion:string,reviewed:boolean,lines:array<struct<id:int,
 
 def read_dialogue(spark: SparkSession, root: str, name: str = "dialogue.json") -> DataFrame:
     """(chapter, reviewed, at, line_id, character, text, start, end, is_conflict), v1 names where there is no id; unreadable files give one row without lines."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(root, wholetext=True)
-    rows = files.select(folder_of(F.col("_metadata.file_path")).alias("chapter"), F.from_json("value", LINES, {"mode": "PERMISSIVE"}).alias("d"))
+    files = _files(spark, root, name)
+    rows = files.select(folder_of(F.col("path")).alias("chapter"), F.from_json("text", LINES, {"mode": "PERMISSIVE"}).alias("d"))
     rows = rows.select("chapter", "d.reviewed", F.posexplode_outer("d.lines").alias("at", "l"))
     character = F.coalesce(F.nullif(F.trim("l.characterId"), F.lit("")), F.nullif(F.trim("l.chosenSpeaker"), F.lit("")))
     return rows.select("chapter", "reviewed", "at", F.col("l.id").alias("line_id"), character.alias("character"), F.coalesce("l.text", F.lit("")).alias("text"), "l.span.start", "l.span.end", F.coalesce("l.isConflict", F.lit(False)).alias("is_conflict"))
@@ -41,8 +54,8 @@ CHARACTER = "struct<guid:string,id:string,title:string,name:string,gender:string
 
 def read_characters(spark: SparkSession, root: str) -> DataFrame:
     """(guid, title, gender, aliases, descriptors, path): one JSON file each; files without a title or guid are left out."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(root, wholetext=True)
-    rows = files.select(F.from_json("value", CHARACTER).alias("c"), F.col("_metadata.file_path").alias("path"))
+    files = _files(spark, root, "*.json")
+    rows = files.select(F.from_json("text", CHARACTER).alias("c"), "path")
     rows = rows.select(F.coalesce("c.guid", "c.id").alias("guid"), F.coalesce("c.title", "c.name").alias("title"), "c.gender", F.coalesce("c.aliases", F.array().cast("array<string>")).alias("aliases"), F.coalesce("c.descriptors", F.array().cast("array<string>")).alias("descriptors"), "path")
     return rows.where("guid <> '' AND title <> ''")
 
@@ -71,3 +84,9 @@ def write_report(rows: DataFrame, path: str, sep: str = ",", digits: int = 6) ->
     """CSV or TSV with a header and fractions of fixed length."""
     shown = [F.format_string(f"%.{digits}f", F.col(c)).alias(c) if kind == "double" else F.col(c) for c, kind in rows.dtypes]
     rows.select(*shown).write.mode("overwrite").csv(path, header=True, sep=sep)
+
+
+def chapters_in_range(chapters: DataFrame, first: int, last: int | None = None) -> DataFrame:
+    """chapters whose folder begins with a number from first to last, with that number; sort by (number, lower(chapter))."""
+    numbered = chapters.withColumn("number", chapter_number(F.col("chapter"))).where(F.col("number") >= first)
+    return numbered if last is None else numbered.where(F.col("number") <= last)

@@ -9,18 +9,34 @@ from dialoom.operators.aggregate import character_stats, counts_matrix
 
 
 class StatsAccumulator:
-    """A table of (character, chapter, n), partitioned by chapter, at `path`; batches overwrite the chapters they hold."""
+    """Counts (character, chapter, n) at `path`, in files by the chapter's hash; a batch replaces what it knows of its chapters.
+
+    Every batch adds its chapters' counts under its own number, with a row without a character for each chapter, so that one that
+    has become empty loses its old counts. A chapter's latest batch is what counts; compact() leaves only that.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
     def apply(self, lines: DataFrame, batch_id: int = 0) -> None:
         """lines (character, chapter): whole chapters. The same batch again gives the same table."""
-        matrix = counts_matrix(lines, F.col("character"), F.col("chapter"))
-        matrix.repartition("chapter").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chapter").parquet(self.path)
+        seen = lines.select(F.lit(None).cast("string").alias("character"), F.col("chapter").cast("string").alias("chapter"), F.lit(0).cast("long").alias("n")).where("chapter IS NOT NULL").distinct()
+        matrix = counts_matrix(lines, F.col("character"), F.col("chapter").cast("string")).where("chapter IS NOT NULL")
+        rows = matrix.unionByName(seen).withColumn("batch", F.lit(batch_id).cast("long"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(self.path)
+
+    def _matrix(self) -> DataFrame:
+        rows = self.spark.read.schema("character string, chapter string, n long, batch long").parquet(self.path)
+        latest = rows.groupBy("chapter").agg(F.max("batch").alias("batch"))
+        return rows.join(latest, ["chapter", "batch"]).where("character IS NOT NULL").select("character", "chapter", "n")
 
     def stats(self) -> DataFrame:
-        return character_stats(self.spark.read.parquet(self.path))
+        return character_stats(self._matrix())
+
+    def compact(self, path: str) -> StatsAccumulator:
+        """A copy at another path with one row per character and chapter, as batch -1."""
+        self._matrix().withColumn("batch", F.lit(-1).cast("long")).write.mode("overwrite").partitionBy("batch").parquet(path)
+        return StatsAccumulator(self.spark, path)
 
     def follow(self, stream: DataFrame, checkpoint: str):
         """A query that applies all that the stream holds now and ends."""

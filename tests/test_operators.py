@@ -24,7 +24,8 @@ def test_text(spark):
     assert one(spark, text.character_name(F.lit("Cat_and-Mouse!"))) == "cat and mouse"
     assert [tuple(p) for p in one(spark, text.paragraphs(F.lit("a\r\n\r\n  \nbc\rd")))] == [(0, 0, 1, "a"), (1, 8, 10, "bc"), (2, 11, 12, "d")]
     assert [tuple(s) for s in one(spark, text.segments(F.lit("Wait [pause short] here")))] == [("text", "Wait"), ("pause", "[pause short]"), ("text", "here")]
-    assert one(spark, text.descriptor(F.lit("The  old Sailor"))) == "the old sailor" and one(spark, text.descriptor(F.lit("the same man"))) is None
+    assert one(spark, text.descriptor(F.lit(" “The  old Sailor,” "))) == "The old Sailor" and one(spark, text.descriptor(F.lit("the same man"))) is None
+    assert one(spark, text.descriptor(F.lit("the man other"))) == "the man other" and one(spark, text.descriptor(F.lit("same old sailor"))) is None
     assert one(spark, text.model_answer(F.lit("```\nAnswer: \"Alex\"."))) in ("", "Alex")
     assert one(spark, text.inside_quote(F.lit('a "b c'), F.lit(4))) and not one(spark, text.inside_quote(F.lit('a "b" c'), F.lit(6)))
     assert one(spark, text.natural_key(F.lit("ch10"))) > one(spark, text.natural_key(F.lit("ch9")))
@@ -100,16 +101,17 @@ def test_catalogue(spark):
 
 
 def test_sources(spark, tmp_path):
-    for name, body in (("01", b"One \xe9\r\nline"), ("02", "Zwei “x”".encode())):
+    for name, body in (("01 One é+", b"One \xe9 \x93x\x94 \x81\r\nline"), ("02", "Zwei “x”".encode())):
         (tmp_path / "book" / name).mkdir(parents=True)
         (tmp_path / "book" / name / "chapter.txt").write_bytes(body)
     lines = [{"id": 1, "characterId": "ann", "text": "Hi", "span": {"start": 0, "end": 2}}, {"id": 2, "chosenSpeaker": "Bo"}]
-    (tmp_path / "book" / "01" / "dialogue.json").write_text(json.dumps({"reviewed": True, "lines": lines}, indent=1))
+    (tmp_path / "book" / "01 One é+" / "dialogue.json").write_text(json.dumps({"reviewed": True, "lines": lines}, indent=1))
     chapters = files.read_chapters(spark, str(tmp_path / "book"))
-    assert {r.chapter: r.text for r in chapters.collect()} == {"01": "One é\r\nline", "02": "Zwei “x”"}
+    assert {r.chapter: r.text for r in chapters.collect()} == {"01 One é+": "One é “x” \ufffd\r\nline", "02": "Zwei “x”"}
     dialogue = files.read_dialogue(spark, str(tmp_path / "book"))
     assert sorted((r.line_id, r.character, r.text, r.end) for r in dialogue.collect()) == [(1, "ann", "Hi", 2), (2, "Bo", "", None)]
-    assert {r.chapter: (r.parsed, r.reviewed) for r in files.chapter_list(chapters, dialogue).collect()} == {"01": (True, True), "02": (False, False)}
+    assert {r.chapter: (r.parsed, r.reviewed) for r in files.chapter_list(chapters, dialogue).collect()} == {"01 One é+": (True, True), "02": (False, False)}
+    assert [(r.chapter, r.number) for r in files.chapters_in_range(chapters, 2, 9).collect()] == [("02", 2)]
     (tmp_path / "t.tsv").write_text("﻿a\tb\n1\t" + "x" * 200_000 + "\n")
     assert len(files.read_tsv(spark, str(tmp_path / "t.tsv")).first().b) == 200_000
     tokens = spark.createDataFrame([("d", 10, 0, 1), ("d", 11, 1, 3), ("d", 12, 3, 4)], "doc string, token_id int, onset int, offset int")
@@ -120,16 +122,17 @@ def test_sources(spark, tmp_path):
 
 
 def test_stats_by_stream_equal_batch(spark, tmp_path):
+    """Each batch replaces its chapters, also one that has become empty; the last batch of a chapter counts."""
     schema = "character string, chapter string"
-    batches = [[("ann", "1"), ("bo", "1"), ("ann", "2")], [("ann", "1"), ("ann", "1"), (" ", "1")]]
-    acc = StatsAccumulator(spark, str(tmp_path / "stats"))
-    for i, rows in enumerate(batches):
+    batches = [[("ann", "1"), ("bo", "1"), ("ann", "2")], [("ann", "1"), ("ann", "1"), (" ", "1")], [(None, "2")], [("ann", "1"), ("cy", "3"), ("cy", None)]]
+    acc, states = StatsAccumulator(spark, str(tmp_path / "stats")), []
+    for rows in batches:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
         acc.follow(spark.readStream.schema(schema).json(str(tmp_path / "in")), str(tmp_path / "mark")).awaitTermination()
-        if i == 0:
-            before = spark.createDataFrame(acc.stats().collect(), acc.stats().schema)
-    assert sorted(map(tuple, acc.stats().collect())) == [("ann", 3, 2)]
-    assert [r.character for r in changed_stats(before, acc.stats()).collect()] == ["ann"]
+        states.append(spark.createDataFrame(acc.stats().collect(), acc.stats().schema))
+    assert [sorted(map(tuple, s.collect())) for s in states] == [[("ann", 2, 2), ("bo", 1, 1)], [("ann", 3, 2)], [("ann", 2, 1)], [("ann", 1, 1), ("cy", 1, 1)]]
+    assert sorted(r.character for r in changed_stats(states[0], states[1]).collect()) == ["ann"]
+    assert sorted(map(tuple, acc.compact(str(tmp_path / "small")).stats().collect())) == [("ann", 1, 1), ("cy", 1, 1)]
 
 
 def test_votes(spark):
