@@ -126,9 +126,9 @@ def nominal_mentions(entities: DataFrame, doc: str = "doc_id") -> DataFrame:
 def cluster_names(entities: DataFrame, doc: str = "doc_id") -> DataFrame:
     """entities (doc, coref, prop, cat, at, text) -> doc, coref, name: the text of most weight among persons, then the first seen.
 
-    Proper names weigh 10, nominal mentions 1, others 0.001.
+    Proper names weigh 10, nominal mentions 1, others 0.001; sums are of whole thousandths, so that ties are exact.
     """
-    weight = F.when(F.col("prop") == "PROP", 10.0).when(F.col("prop") == "NOM", 1.0).otherwise(0.001)
+    weight = F.when(F.col("prop") == "PROP", 10_000).when(F.col("prop") == "NOM", 1_000).otherwise(1)
     rows = entities.where((F.col("cat") == "PER") & (F.trim("text") != "")).withColumns({"text": F.trim("text"), "_w": weight})
     sums = rows.groupBy(doc, "coref", "text").agg(F.sum("_w").alias("_w"), F.min("at").alias("_at"))
     return sums.groupBy(doc, "coref").agg(F.max_by("text", F.struct("_w", -F.col("_at"))).alias("name"))

@@ -315,8 +315,8 @@ def dialogue_confidence(t):
 
 @query("""
 WITH r AS (SELECT user_id AS doc, event_id % 5 AS coref, CASE event_type WHEN 'purchase' THEN 'PROP' WHEN 'click' THEN 'NOM' ELSE 'PRON' END AS prop, event_id, 'n' || event_id % 7 AS text FROM events),
-s AS (SELECT doc, coref, text, sum(CASE prop WHEN 'PROP' THEN 10.0 WHEN 'NOM' THEN 1.0 ELSE 0.001 END) AS w, min(event_id) AS place FROM r GROUP BY ALL)
-SELECT doc, coref, arg_max(text, (round(w, 6), -place)) AS name FROM s GROUP BY doc, coref""")
+s AS (SELECT doc, coref, text, sum(CASE prop WHEN 'PROP' THEN 10000 WHEN 'NOM' THEN 1000 ELSE 1 END) AS w, min(event_id) AS place FROM r GROUP BY ALL)
+SELECT doc, coref, arg_max(text, (w, -place)) AS name FROM s GROUP BY doc, coref""")
 def cluster_names(t):
     prop = F.when(F.col("event_type") == "purchase", "PROP").when(F.col("event_type") == "click", "NOM").otherwise("PRON")
     rows = t("events").select(F.col("user_id").alias("doc"), (F.col("event_id") % 5).alias("coref"), prop.alias("prop"), F.lit("PER").alias("cat"), F.col("event_id").alias("at"), F.concat(F.lit("n"), F.col("event_id") % 7).alias("text"))
