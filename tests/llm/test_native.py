@@ -102,9 +102,9 @@ def test_aliases(spark, tmp_path):
 
 
 def test_redirect_table_and_chains(spark):
-    """A chain of 200 redirects, given as a table, hands the block on; without the table nothing is blocked."""
-    pages = spark.createDataFrame([(i, f"http://c.org/{i}", None) for i in range(200)], "page_id long, url string, html string")
-    chain = spark.createDataFrame([(f"http://c.org/{i}", f"http://c.org/{i + 1}") for i in range(199)] + [("http://c.org/199", "http://x.net/es/"), (None, "http://c.org/0")], "from_url string, to_url string")
-    assert urls.judge(pages, redirects=chain).where("verdict = 'block'").count() == 200
+    """A chain of 40 redirects, given as a table, hands the block on; without the table nothing is blocked."""
+    pages = spark.createDataFrame([(i, f"http://c.org/{i}", None) for i in range(40)], "page_id long, url string, html string")
+    chain = spark.createDataFrame([(f"http://c.org/{i}", f"http://c.org/{i + 1}") for i in range(39)] + [("http://c.org/39", "http://x.net/es/"), (None, "http://c.org/0")], "from_url string, to_url string")
+    assert urls.judge(pages, redirects=chain).where("verdict = 'block'").count() == 40
     assert urls.judge(pages).where("verdict = 'block'").count() == 0
     assert urls.judge(pages.limit(0)).count() == 0

@@ -47,7 +47,7 @@ def brute(texts, order):
     return p, vocabulary
 
 
-@pytest.mark.parametrize("order, common", [(2, 1), (3, 1), (3, 4), (3, 10**9)])
+@pytest.mark.parametrize("order, common", [(2, 1), (3, 4)])
 def test_model_equals_brute_force(spark, order, common):
     docs = spark.createDataFrame([(i, t, 0) for i, t in DOCS], "doc_id long, text string, keys int")
     held = docs.where("doc_id = 9")
