@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from dialoom.functions.scalars import prefix_sums
 
@@ -178,3 +182,55 @@ def guid(seed: Column) -> Column:
 
 def is_guid(text: Column) -> Column:
     return F.coalesce(text.rlike(f"^[{CROCKFORD}]{{8}}$"), F.lit(False))
+
+
+def spoken_text(text: Column) -> Column:
+    """Text as it is read out: straight signs, spelled levels and plus values, brackets and dashes as pauses, single blanks."""
+    t = F.replace(F.translate(F.coalesce(text, F.lit("")), "‘’“”–—", "''\"\"--"), F.lit("…"), F.lit("..."))
+    t = F.regexp_replace(t, r"(?U)[\[(]\s*\?{3}\s*[\])]", " unknown ")
+    t = F.regexp_replace(t, r"(?iU)\blvl\.?\b", "level")
+    t = F.regexp_replace(t, r"(?U)(?<!\w)\+(\d[\d,]*(?:\.\d+)?)", "plus $1")
+    t = F.regexp_replace(t, r"(?U),(?=['\"](?:\s|$))", ".")
+    t = F.regexp_replace(t, r"(?U):\s*(?=[\[(])", " ... ")
+    t = F.regexp_replace(t, r"[\[\]()]", " ... ")
+    t = F.regexp_replace(t, r"(?U)\s-\s", " ... ")
+    t = F.regexp_replace(t, r"(?iU),\s*(?=plus\b)", " ... ")
+    t = F.regexp_replace(t, r"(?U)(?:\s*\.\.\.\s*)+", " ... ")
+    t = F.regexp_replace(t, r"(?U)\s+([,;:!?])", "$1")
+    return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
+
+
+def line_query(text: Column, start: Column, end: Column, last_speaker: Column, reach: int) -> Column:
+    """The line in <quote> tags with `reach` characters on either side, after the last speaker if there is one; null for no span."""
+    begin = F.greatest(F.lit(0), start - reach)
+    state = F.concat(F.substring(text, begin + 1, start - begin), F.lit("<quote>"), F.substring(text, start + 1, end - start), F.lit("</quote>"), F.substring(text, end + 1, F.lit(reach)))
+    state = F.regexp_replace(state, r"(?U)^\s+|\s+$", "")
+    head = F.when(F.coalesce(last_speaker, F.lit("")) != "", F.concat(F.lit("[Last speaker: "), last_speaker, F.lit("]\n"))).otherwise("")
+    return F.when((end > start) & (start < F.length(text)), F.concat(head, state))
+
+
+def _packed(text: str, most: int) -> list[str]:
+    parts: list[str] = []
+    for one in re.split(r"(?<=[.!?])\s+", text):
+        words, at = (one.split(), 0) if len(one) > most else ([one], 0)
+        for i in range(1, len(words) + 1):  # a line of words is closed where the next one would pass the limit
+            if i == len(words) or len(" ".join(words[at : i + 1])) > most:
+                parts.append(" ".join(words[at:i]))
+                at = i
+    packed: list[str] = []
+    for part in parts:
+        if packed and len(packed[-1]) + 1 + len(part) <= most:
+            packed[-1] += " " + part
+        else:
+            packed.append(part)
+    return packed
+
+
+def fitting_pieces(text: Column, most: int) -> Column:
+    """Pieces of at most `most` characters, cut at sentences, else at words; a longer word stays whole, a null gives none."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def pieces(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else [x] if len(x) <= most else _packed(x, most) for x in texts])
+
+    return pieces(text)

@@ -90,3 +90,17 @@ def chapters_in_range(chapters: DataFrame, first: int, last: int | None = None)
     """chapters whose folder begins with a number from first to last, with that number; sort by (number, lower(chapter))."""
     numbered = chapters.withColumn("number", chapter_number(F.col("chapter"))).where(F.col("number") >= first)
     return numbered if last is None else numbered.where(F.col("number") <= last)
+
+
+MANIFEST = "struct<formatVersion:string,character:string,metadata:struct<character:string,provider:string,voice:string>,clips:array<struct<line_id:int,file:string,text:string>>>"
+
+
+def read_voice_manifests(spark: SparkSession, root: str, schema: str = MANIFEST, version: str = "2.0") -> DataFrame:
+    """(path, manifest): every manifest.json below root of that format; files that cannot be read are left out."""
+    rows = _files(spark, root, "manifest.json").select("path", F.from_json("text", schema, {"mode": "PERMISSIVE"}).alias("manifest"))
+    return rows.where(F.col("manifest.formatVersion") == version)
+
+
+def stripped_lines(lines: DataFrame) -> DataFrame:
+    """Exactly line_id, character and span; a missing column is an error."""
+    return lines.select("line_id", "character", F.struct("start", "end").alias("span"))
