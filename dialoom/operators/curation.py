@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialoom.functions import text
+from dialoom.functions.scalars import ratio
 
 NARRATOR = "Narrator"
 NOISY = ("their", "those grooves", "the voice")  # fixed values: surfaces that are no names
@@ -26,6 +27,13 @@ def curation_report(lines: DataFrame) -> DataFrame:
     )
 
 
+def stage_summary(evaluations: DataFrame) -> DataFrame:
+    """evaluations (chapter, stage, total, correct) -> per stage and chapter, and per stage where `whole`: total, correct, accuracy."""
+    keys = [F.col("stage"), F.col("chapter")]
+    sums = evaluations.groupingSets([keys, keys[:1]], *keys).agg((F.grouping("chapter") == 1).alias("whole"), F.sum("total").alias("total"), F.sum("correct").alias("correct"))
+    return sums.withColumn("accuracy", ratio(F.col("correct"), F.col("total")))
+
+
 def speaker_frequency(lines: DataFrame) -> DataFrame:
     return lines.where(_spoken(F.col("speaker"))).groupBy("speaker").agg(F.count("*").alias("n"))
 

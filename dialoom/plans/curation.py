@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dialoom.functions import text
-from dialoom.operators import clips, curation
+from dialoom.operators import clips, curation, placing
 from dialoom.plans.registry import query
+from dialoom.plans.texts import LINES, paragraphs
 
 
 def _curated(t):
@@ -169,3 +170,36 @@ SELECT doc_id, CASE WHEN n_chars > 40 AND length(text) > 40 THEN md5(trim(CASE W
 def line_questions(t):
     last = F.when(F.col("doc_id") % 2 == 0, F.col("source"))
     return t("documents").select("doc_id", F.md5(text.line_query(F.col("text"), F.lit(40), F.least(F.lit(60), F.col("n_chars")), last, 30)).alias("digest"))
+
+
+@query("""
+SELECT l_returnflag AS stage, l_suppkey AS chapter, grouping(l_suppkey) = 1 AS whole, CAST(sum(l_linenumber) AS BIGINT) AS total, CAST(sum(CASE WHEN l_tax > 0.03 THEN l_linenumber ELSE 0 END) AS BIGINT) AS correct,
+  sum(CASE WHEN l_tax > 0.03 THEN l_linenumber ELSE 0 END)::DOUBLE / sum(l_linenumber) AS accuracy FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_suppkey), (l_returnflag))""")
+def stage_totals(t):
+    correct = F.when(F.col("l_tax") > 0.03, F.col("l_linenumber")).otherwise(0)
+    return curation.stage_summary(t("lineitem").select(F.col("l_returnflag").alias("stage"), F.col("l_suppkey").alias("chapter"), F.col("l_linenumber").alias("total"), correct.alias("correct")))
+
+
+def _key(of: str) -> str:
+    return f"""trim(regexp_replace(regexp_replace(replace(replace(lower(trim({of})), 'â€™', chr(39)), '’', chr(39)), '["â€œ“”]', '', 'g'), '[^a-z0-9'']+', ' ', 'g'))"""
+
+
+@query(rf"""
+WITH {LINES}, p AS (SELECT doc_id, idx, start, "end" AS stop, line, {_key("line")} AS body, list_transform(regexp_extract_all(line, '["â€œ“](.+?)["â€”]', 1), lambda x: {_key("x")}) AS units FROM paragraphs),
+l AS (SELECT doc_id, idx AS l, CASE WHEN idx % 4 > 0 THEN start + 60 END AS a, CASE WHEN idx % 4 > 0 THEN start + 80 END AS b, CASE WHEN len(units) > 0 AND idx % 3 = 0 THEN units[1] ELSE {_key("line[1:12 + idx % 5 * 4]")} END AS key FROM p),
+s AS (SELECT l.doc_id, l.l, p.idx FROM l JOIN p ON p.doc_id = l.doc_id AND a IS NOT NULL QUALIFY row_number() OVER (PARTITION BY l.doc_id, l.l
+  ORDER BY NOT (a < stop AND b > start), CASE WHEN a < stop AND b > start THEN 0 WHEN (a + b) / 2 BETWEEN start AND stop THEN 0 ELSE least(abs((a + b) / 2 - start), abs((a + b) / 2 - stop)) END, p.idx) = 1),
+r AS (SELECT l.*, s.idx AS spot FROM l LEFT JOIN s ON s.doc_id = l.doc_id AND s.l = l.l),
+f AS (SELECT r.*, p.idx, NOT coalesce(list_contains(units, key), false) AS plain, CASE WHEN a IS NULL OR (a + b) / 2 BETWEEN start AND stop THEN 0 ELSE least(abs((a + b) / 2 - start), abs((a + b) / 2 - stop)) END AS d
+  FROM r JOIN p ON p.doc_id = r.doc_id AND key <> '' AND (list_contains(units, key) OR contains(' ' || body || ' ', ' ' || key || ' '))
+  QUALIFY row_number() OVER (PARTITION BY r.doc_id, r.l ORDER BY plain, d, CASE WHEN spot > 0 THEN abs(p.idx - spot) ELSE 0 END, p.idx) = 1)
+SELECT r.doc_id, CAST(r.l AS BIGINT) AS l, CAST(coalesce(f.idx, r.spot) AS BIGINT) AS paragraph, CASE WHEN f.idx IS NULL THEN CASE WHEN r.spot IS NULL THEN 'unresolved' ELSE 'span_fallback' END ELSE CASE WHEN plain THEN 'quote_text' ELSE 'quote_unit' END || CASE WHEN f.idx <> r.spot THEN '_span_corrected' ELSE '' END END AS method,
+  CASE WHEN f.idx IS NULL THEN CASE WHEN r.spot IS NULL THEN 0.0 ELSE 0.45 END WHEN NOT plain OR length(r.key) >= 6 THEN 1.0 ELSE 0.92 END::DOUBLE AS confidence, CAST(r.spot AS BIGINT) AS span_paragraph, CASE WHEN f.idx IS NULL AND r.spot IS NULL THEN NULL ELSE coalesce(d, 0) END::DOUBLE AS distance
+FROM r LEFT JOIN f ON f.doc_id = r.doc_id AND f.l = r.l""")
+def line_paragraphs(t):
+    rows = paragraphs(t)
+    units = F.regexp_extract_all("text", F.lit('["â€œ“](.+?)["â€”]'), F.lit(1))
+    said = F.when((F.size(units) > 0) & (F.col("idx") % 3 == 0), F.get(units, F.lit(0))).otherwise(F.substring("text", F.lit(1), 12 + F.col("idx") % 5 * 4))
+    at = lambda n: F.when(F.col("idx") % 4 > 0, F.col("start") + n)
+    lines = rows.select("doc_id", F.col("idx").cast("long").alias("l"), at(60).alias("start"), at(80).alias("end"), said.alias("text"))
+    return placing.resolved_lines(lines, rows)

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from dialoom.functions import text
-from dialoom.operators import clips, curation
+from dialoom.operators import clips, curation, placing
 from dialoom.sources import files
 
 
@@ -105,3 +105,21 @@ def test_voice_manifests(spark, tmp_path):
         (tmp_path / name).mkdir()
         (tmp_path / name / "manifest.json").write_text(body)
     assert [r.manifest.clips[0].file for r in files.read_voice_manifests(spark, str(tmp_path)).collect()] == ["x.wav"]
+
+
+def test_lines_go_to_paragraphs_that_quote_them(spark):
+    body = [(1, 0, 0, 20, "He said “no way” now"), (1, 1, 21, 40, "no way, she thought"), (1, 2, 41, 60, '"No way!" again ok'), (2, 0, 0, 5, "other")]
+    places = spark.createDataFrame(body, "d int, idx int, start int, end int, text string")
+    cells = [(1, 0, 41, 50, "No way."), (1, 1, 22, 30, "No way"), (1, 2, None, None, "she"), (1, 3, 45, 46, "absent"), (1, 4, None, None, None), (1, 5, 0, 4, "thought"), (3, 0, 0, 4, "no way")]
+    lines = spark.createDataFrame(cells, "d int, l int, start int, end int, text string")
+    assert rows(placing.resolved_lines(lines, places, "d"), "d", "l", "paragraph", "method", "confidence", "distance") == [
+        (1, 0, 2, "quote_unit", 1.0, 0.0), (1, 1, 0, "quote_unit_span_corrected", 1.0, 6.0), (1, 2, 1, "quote_text", 0.92, 0.0), (1, 3, 2, "span_fallback", 0.45, 0.0),
+        (1, 4, None, "unresolved", 0.0, None), (1, 5, 1, "quote_text_span_corrected", 1.0, 19.0), (3, 0, None, "unresolved", 0.0, None),
+    ]
+    assert placing.resolved_lines(lines.limit(0), places, "d").count() == 0
+
+
+def test_heard_places(spark):
+    words = spark.createDataFrame([(["a", "b", "c", "d"], ["a", "x", "d"]), (["a", "b"], ["b"]), ([], ["a"]), (None, None)], "w array<string>, s array<string>")
+    found = [tuple(r[0]) for r in words.select(placing.heard_places("w", "s")).collect()]
+    assert found == [([0, 1, 1, 2], 0.5714), ([None, 0], 0.6667), ([], 0.0), ([], 1.0)]
