@@ -15,6 +15,7 @@ from dialoom.functions.scalars import prefix_sums
 
 SHORT_NARRATION, STACK = 60, 5
 VERBS = "|".join(dict.fromkeys(ATTRIBUTION))
+PRONOUN = "(?:he|she|they)"
 
 
 _CUT = "\x01"
@@ -22,16 +23,16 @@ OUTER = '"“” '
 
 
 def chunks(chapters: DataFrame, group: str, text: str) -> DataFrame:
-    """(group, i, type, text, start, end): a chapter cut at quotations that end on their own line, blank pieces left out.
+    """(group, i, type, text, start, end, at): a chapter cut at quotations that end on their own line, blank pieces left out.
 
-    Offsets are code points of the whole piece; text is without quotation marks and blanks around it.
+    Offsets are code points of the whole piece; text is without quotation marks and blanks around it, and begins at `at`.
     """
     body = F.translate(F.coalesce(F.col(text), F.lit("")), _CUT, " ")
     parts = F.split(F.regexp_replace(body, '(["“”].*?["“”])', f"{_CUT}$1{_CUT}"), _CUT)
     placed = F.zip_with(parts, prefix_sums(F.transform(parts, lambda p: F.length(p).cast("long"))), lambda p, at: F.struct(p.alias("piece"), at.alias("start")))
     rows = chapters.select(group, F.posexplode(F.filter(placed, lambda x: x["piece"].rlike(r"\S"))).alias("i", "x"))
     kind = F.when(F.col("x.piece").rlike('^["“”]'), "dialogue").otherwise("narration")
-    return rows.select(group, "i", kind.alias("type"), F.btrim("x.piece", F.lit(OUTER)).alias("text"), F.col("x.start"), (F.col("x.start") + F.length("x.piece")).alias("end"))
+    return rows.select(group, "i", kind.alias("type"), F.btrim("x.piece", F.lit(OUTER)).alias("text"), F.col("x.start"), (F.col("x.start") + F.length("x.piece")).alias("end"), (F.col("x.start") + F.length("x.piece") - F.length(F.ltrim("x.piece", F.lit(OUTER)))).alias("at"))
 
 
 def tag_subjects(text: Column, names: Column) -> Column:
@@ -46,23 +47,32 @@ def alternatives(names: Column) -> Column:
     return F.coalesce(F.nullif(F.array_join(F.transform(longer, lambda n: F.concat(F.lit("\\Q"), n, F.lit("\\E"))), "|"), F.lit("")), F.lit("(?!x)x"))
 
 
-def attributed(chunk_rows: DataFrame, group: str, aliases: DataFrame, narrator: str = "Narrator") -> DataFrame:
+def attributed(chunk_rows: DataFrame, group: str, aliases: DataFrame, narrator: str = "Narrator", protagonist: str | None = None, persona: str | None = None, coref: DataFrame | None = None) -> DataFrame:
     """chunks (group, i, type, text, paragraph) and aliases (group, alias, name) -> group, i, speaker, rule of dialogue chunks.
 
-    In order: the tag after a quotation in its paragraph, the tag before it, a tag between two quotations that names the earlier
+    In order: a tag that says "I" (protagonist, if its tag names nobody else), a tag after it that says "I" or "we" (persona),
+    a pronoun that opens the tag after or closes the one before, if coref (group, at, name) knows who stands there; these where
+    they are given, and coref needs the chunks' `at`. Then the tag after a quotation in its paragraph, the tag before it, a tag between two quotations that names the earlier
     speaker, the quotation right before, a short narration between two that names nobody else, and suggestions from the
     latest speakers. Narration has the narrator. A name stands for whom aliases say.
     """
     whole = aliases.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct(F.lower("alias").alias("alias"), "name"))).alias("map"), alternatives(F.collect_list("alias")).alias("names"))
     rows = chunk_rows.join(whole, group, "left").withColumns({"map": F.coalesce("map", F.create_map().cast("map<string,string>")), "names": F.coalesce("names", F.lit("(?!x)x"))})
-    said = F.col("text")
+    said, told = F.col("text"), F.col("type") == "narration"
     found = lambda body, pattern: F.call_function("regexp_extract", body, pattern, F.lit(1))
     forward = found(F.regexp_replace(said, r"^[, ]+", ""), F.concat(F.lit("(?i)^\\s*("), F.col("names"), F.lit(f")\\s*(?:{VERBS})")))
     backward = found(F.trim(said), F.concat(F.lit("(?i)("), F.col("names"), F.lit(f")\\s+(?:{VERBS})\\s*\\.?\\s*$")))
     who = lambda name: F.try_element_at("map", F.nullif(F.lower(name), F.lit("")))
-    told = F.col("type") == "narration"
+    if coref is None:
+        rows = rows.withColumns({"refers": F.lit(None).cast("string"), "referred": F.lit(None).cast("string")})
+    else:
+        known = coref.groupBy(group, "at").agg(F.min("name").alias("name"))
+        lead, before = rf"(?i)^([, ]*){PRONOUN}\s+(?:{VERBS})\b", rf"(?is)^(.*)\b{PRONOUN}\b\s*(?:{VERBS})\b"
+        for name, pattern in (("refers", lead), ("referred", before)):
+            place = F.when(told & said.rlike(pattern), F.col("at") + F.length(F.regexp_extract(said, pattern, 1)))
+            rows = rows.withColumn("_at", place).join(known.select(group, F.col("at").alias("_at"), F.col("name").alias(name)), [group, "_at"], "left").drop("_at")
     rows = rows.select(
-        group, "i", "type", "paragraph", F.when(told, who(forward)).alias("opens"), F.when(told, who(backward)).alias("closes"),
+        group, "i", "type", "paragraph", "refers", "referred", said.rlike(rf"(?i)^\s*I\s+(?:{VERBS})\b").alias("mine"), said.rlike(rf"(?i)^[, ]*(?:I|we)\s+(?:{VERBS})\b").alias("ours"), F.when(told, who(forward)).alias("opens"), F.when(told, who(backward)).alias("closes"),
         F.when(told, F.transform(tag_subjects(said, F.col("names")), lambda n: F.col("map")[n])).alias("subjects"), (F.length("text") <= SHORT_NARRATION).alias("short"),
     )
 
@@ -72,7 +82,7 @@ def attributed(chunk_rows: DataFrame, group: str, aliases: DataFrame, narrator:
             if c["type"] != "dialogue":
                 c["speaker"] = narrator
                 continue
-            speaker, rule = _speaker(k, of, stack, narrator)
+            speaker, rule = _speaker(k, of, stack, narrator, protagonist, persona)
             c["speaker"] = speaker
             if speaker and speaker not in UNASSIGNED and not speaker.startswith("[") and (not stack or stack[0] != speaker):
                 stack[:] = [speaker, *stack][:STACK]
@@ -83,9 +93,21 @@ def attributed(chunk_rows: DataFrame, group: str, aliases: DataFrame, narrator:
     return rows.groupBy(group).applyInPandas(walk, f"{group} {kind}, i int, speaker string, rule string")
 
 
-def _speaker(k: int, of: list[dict], stack: list[str], narrator: str) -> tuple[str, str]:
+def _speaker(k: int, of: list[dict], stack: list[str], narrator: str, protagonist: str | None, persona: str | None) -> tuple[str, str]:
     before, after = (of[j] if 0 <= j < len(of) else None for j in (k - 1, k + 1))
     same = lambda c: c is not None and c["paragraph"] == of[k]["paragraph"] >= 0
+    ahead, behind = (c if same(c) and c["type"] == "narration" else None for c in (after, before))
+    tag = ahead or behind
+    if protagonist and tag and tag["mine"]:
+        other = next(iter(tag["subjects"]), None)
+        if not other or other.lower() == protagonist.lower():
+            return protagonist, "0p_protagonist_first_person"
+    if persona and ahead and ahead["ours"]:
+        return persona, "0a_narrator_identity"
+    if ahead and ahead["refers"]:
+        return ahead["refers"], "1_coreference"
+    if behind and behind["referred"]:
+        return behind["referred"], "1b_backward_coreference"
     if same(after) and after["opens"]:
         return after["opens"], "2_forward_explicit_tags"
     if same(before) and before["closes"]:

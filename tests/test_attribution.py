@@ -160,3 +160,16 @@ def test_similarity_is_of_longest_blocks(spark):
     rows = spark.createDataFrame([(a, b, a.split(), b.split()) for a, b in pairs], "a string, b string, x array<string>, y array<string>")
     got = rows.select(spans.similarity("a", "b").alias("s"), spans.token_similarity("x", "y").alias("t")).collect()
     assert [(r.s, r.t) for r in got] == [(difflib.SequenceMatcher(None, a, b).ratio(), difflib.SequenceMatcher(None, a.split(), b.split()).ratio()) for a, b in pairs]
+
+
+def test_passes_of_pronouns(spark):
+    body = 'Then she said, "Three." \n"One," I said. \n"Two," I said, and Bo said no. \n"Four," he said. \n"Five," we said.'
+    rows = passes.chunks(spark.createDataFrame([("c", body)], "chapter string, text string"), "chapter", "text")
+    assert all(body[r.at :].startswith(r.text) for r in rows.collect())
+    lines = F.length(F.regexp_replace(F.substring(F.lit(body), F.lit(1), F.col("at").cast("int")), r"[^\n]", "")).cast("int")
+    rows = rows.withColumn("paragraph", lines)
+    aliases = spark.createDataFrame([("c", "Bo", "Bo")], "chapter string, alias string, name string")
+    coref = spark.createDataFrame([("c", body.index("she"), "Ann"), ("c", body.index("he said. "), "Cid"), ("d", 0, "Dan"), ("c", None, "Eve")], "chapter string, at int, name string")
+    got = [(r.speaker, r.rule[:2]) for r in passes.attributed(rows, "chapter", aliases, protagonist="Zed", persona="Me", coref=coref).orderBy("i").collect()]
+    assert got == [("Ann", "1b"), ("Zed", "0p"), ("Me", "0a"), ("Cid", "1_"), ("Me", "0a")]
+    assert passes.attributed(rows.limit(0), "chapter", aliases, coref=coref).count() == 0
