@@ -186,6 +186,7 @@ def is_guid(text: Column) -> Column:
 
 def spoken_text(text: Column) -> Column:
     """Text as it is read out: straight signs, spelled levels and plus values, brackets and dashes as pauses, single blanks."""
+    # The patterns, what stands for them, and their order.
     t = F.replace(F.translate(F.coalesce(text, F.lit("")), "‘’“”–—", "''\"\"--"), F.lit("…"), F.lit("..."))
     t = F.regexp_replace(t, r"(?U)[\[(]\s*\?{3}\s*[\])]", " unknown ")
     t = F.regexp_replace(t, r"(?iU)\blvl\.?\b", "level")

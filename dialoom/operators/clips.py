@@ -28,6 +28,7 @@ def clip_score(character: Column, output: Column, given: list[Column], folder: C
     wanted = F.when(output.contains("/"), F.trim(F.substring_index(output, "/", 1))).otherwise("")
     name, clip = F.substring_index(output, "/", -1), F.substring_index(path, "/", -1)
     points = lambda test, n: F.when(test, n).otherwise(0)
+    # The points of each agreement.
     score = points(source.endswith("/chapter.txt"), 10) + points(F.lower(clip).rlike(r"[^.].*\.wav$"), 5) + points((name != "") & (clip == name), 250)
     score += points((wanted != "") & (folder == wanted), 200) + points((output != "") & path.endswith(output), 300)
     for v in given:
@@ -104,6 +105,7 @@ def token_fit(want: pd.Series, said: pd.Series) -> pd.DataFrame:
 
 def fit_score(expected: Column, ratio: Column, missing: Column, before: Column, after: Column, leading: Column, tail: Column, trailing: Column, head: Column, empty: Column) -> Column:
     """Similarity, a bonus for matched words, less pressure from both neighbours, missing words, words of theirs, and silence."""
+    # Weights and their bounds.
     less = lambda test, x: F.when(test, F.least(F.lit(0.08), x * 0.04)).otherwise(0.0)
     score = expected + F.least(F.lit(0.05), ratio * 0.05) - before - after - F.least(F.lit(0.12), missing * 0.015)
     return F.round(score - less(leading > 0, tail) - less(trailing > 0, head) - F.when(empty, 0.25).otherwise(0.0), 4)
