@@ -1,6 +1,6 @@
 """Queries of the corpus operators over their whole tables, and SQL for those that SQL can express."""
 
-from dialoom.llm import bpe, embeddings, factors, jaccard, mixing, ngrams, quality, quotes, secrets, topk, urls
+from dialoom.llm import bpe, embeddings, factors, jaccard, lloyd, mixing, ngrams, quality, quotes, secrets, topk, urls
 
 QUERIES = {
     "op1_mixing_sources": mixing.op1_mixing_sources,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_exact_top_k": topk.op8_exact_top_k,
     "op9_ngram_scores": ngrams.op9_ngram_scores,
     "op10_bpe": bpe.op10_bpe,
+    "op11_centroid_clusters": lloyd.op11_centroid_clusters,
     "op13_substring_dedup": factors.op13_substring_dedup,
 }
 ORACLE_SQL = {
     "op1_mixing_sources": mixing.ORACLE,
     "op7_url_filters": urls.ORACLE,
+    "op11_centroid_clusters": lloyd.ORACLE,
     "op13_substring_dedup": factors.ORACLE,
 }
