@@ -1,6 +1,6 @@
 """Queries of the corpus operators over their whole tables, and SQL for those that SQL can express."""
 
-from dialoom.llm import bpe, embeddings, factors, jaccard, lloyd, mixing, ngrams, quality, quotes, secrets, topk, urls
+from dialoom.llm import alignment, bpe, embeddings, factors, jaccard, lloyd, mixing, ngrams, quality, quotes, secrets, topk, urls
 
 QUERIES = {
     "op1_mixing_sources": mixing.op1_mixing_sources,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_ngram_scores": ngrams.op9_ngram_scores,
     "op10_bpe": bpe.op10_bpe,
     "op11_centroid_clusters": lloyd.op11_centroid_clusters,
+    "op12_token_alignment": alignment.op12_token_alignment,
     "op13_substring_dedup": factors.op13_substring_dedup,
 }
 ORACLE_SQL = {
