@@ -55,3 +55,40 @@ def prefix_sums(lengths: Column, block: int = 256) -> Column:
     blocks = F.transform(starts, lambda b: F.aggregate(F.slice(lengths, b * block + 1, F.lit(block)), begin, step))
     offsets = F.aggregate(F.transform(blocks, lambda b: b["sum"]), begin, step, lambda s: s["out"])
     return F.flatten(F.zip_with(blocks, offsets, lambda b, at: F.transform(b["out"], lambda x: x + at)))
+
+
+def greedy_starts(lengths: Column, most: int, least: int | None = None) -> Column:
+    """Places, from 0, at which the groups of consecutive items begin, for items joined by one blank.
+
+    A group ends before an item that would take it past `most`, and where it has reached `least`, if that is given. With `least`
+    a last group short of it goes to the one before, if both fit within `most`. An item longer than `most` is a group of its own.
+    Only a new group copies the places, so time grows with the items and the square of the groups.
+    """
+    begin = F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("before"), F.array().cast("array<int>").alias("starts"))
+
+    def step(s: Column, n: Column) -> Column:
+        n = F.coalesce(n.cast("long"), F.lit(0).cast("long"))
+        full = s["size"] + 1 + n > most
+        new = (s["i"] == 0) | (full if least is None else full | (s["size"] >= least))
+        return F.struct(
+            (s["i"] + 1).alias("i"), F.when(new, n).otherwise(s["size"] + 1 + n).alias("size"), F.when(new, s["size"]).otherwise(s["before"]).alias("before"),
+            F.when(new, F.concat(s["starts"], F.array(s["i"]))).otherwise(s["starts"]).alias("starts"),
+        )
+
+    def end(s: Column) -> Column:
+        if least is None:
+            return s["starts"]
+        short = (F.size(s["starts"]) > 1) & (s["size"] < least) & (s["before"] + 1 + s["size"] <= most)
+        return F.when(short, F.slice(s["starts"], 1, F.size(s["starts"]) - 1)).otherwise(s["starts"])
+
+    return F.aggregate(lengths, begin, step, end)
+
+
+def stretches(starts: Column, n: Column, body) -> Column:
+    """body(k, first, size) of each of the stretches of n items that begin at the places."""
+    return F.transform(starts, lambda at, k: body(k, at, F.coalesce(F.get(starts, k + 1), n) - at))
+
+
+def let(value: Column, body) -> Column:
+    """body of a value that is worked out once per row."""
+    return F.transform(F.array(value), body)[0]

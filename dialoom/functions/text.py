@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
-from dialoom.functions.scalars import prefix_sums
+from dialoom.functions.scalars import greedy_starts, let, prefix_sums, stretches
 
 # Curly quotes and their straight forms; Crockford's base-32 digits.
 CURLY, STRAIGHT = "’‘“”", "''\"\""
@@ -210,28 +206,15 @@ def line_query(text: Column, start: Column, end: Column, last_speaker: Column, r
     return F.when((end > start) & (start < F.length(text)), F.concat(head, state))
 
 
-def _packed(text: str, most: int) -> list[str]:
-    parts: list[str] = []
-    for one in re.split(r"(?<=[.!?])\s+", text):
-        words, at = (one.split(), 0) if len(one) > most else ([one], 0)
-        for i in range(1, len(words) + 1):  # a line of words is closed where the next one would pass the limit
-            if i == len(words) or len(" ".join(words[at : i + 1])) > most:
-                parts.append(" ".join(words[at:i]))
-                at = i
-    packed: list[str] = []
-    for part in parts:
-        if packed and len(packed[-1]) + 1 + len(part) <= most:
-            packed[-1] += " " + part
-        else:
-            packed.append(part)
-    return packed
+def _filled(items: Column, most: int) -> Column:
+    """Items joined by blanks into as few texts, in order, as have `most` characters at most."""
+    joined = lambda x, starts: stretches(starts, F.size(x), lambda k, first, n: F.array_join(F.slice(x, first + 1, n), " "))
+    return let(items, lambda x: let(greedy_starts(F.transform(x, F.length), most), lambda starts: joined(x, starts)))
 
 
 def fitting_pieces(text: Column, most: int) -> Column:
     """Pieces of at most `most` characters, cut at sentences, else at words; a longer word stays whole, a null gives none."""
-
-    @F.pandas_udf(ArrayType(StringType()))
-    def pieces(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else [x] if len(x) <= most else _packed(x, most) for x in texts])
-
-    return pieces(text)
+    words = lambda s: F.regexp_extract_all(s, F.lit(r"(?U)\S+"), F.lit(0))
+    sentences = F.split(text, r"(?U)(?<=[.!?])\s+", -1)
+    fitting = F.flatten(F.transform(sentences, lambda s: F.when(F.length(s) <= most, F.array(s)).otherwise(_filled(words(s), most))))
+    return F.when(text.isNotNull(), F.when(F.length(text) <= most, F.array(text)).otherwise(_filled(fitting, most)))

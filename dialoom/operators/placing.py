@@ -7,8 +7,9 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from dialoom.functions.scalars import let
 from dialoom.operators.evaluation import paragraph_of_span
 
 # Quotation marks, also as they look after a wrong decoding.
@@ -63,20 +64,34 @@ def resolved_lines(lines: DataFrame, paragraphs: DataFrame, doc: str = "doc_id")
     return rows.select(doc, "l", F.coalesce("b.idx", "span_paragraph").alias("paragraph"), method.alias("method"), sure.alias("confidence"), "span_paragraph", F.coalesce("b.distance", F.when(by_span, 0.0)).alias("distance"))
 
 
-PLACES = StructType([StructField("places", ArrayType(IntegerType())), StructField("ratio", DoubleType())])
+BLOCKS = ArrayType(StructType([StructField(name, IntegerType()) for name in ("at", "there", "n")]))
 
 
-def _places(want: list[str], heard: list[str]) -> dict:
-    match = difflib.SequenceMatcher(None, want, heard, autojunk=False)
-    places: list[int | None] = [None] * len(want)
-    for tag, a, b, c, d in match.get_opcodes():
-        for i in range(a, b if d > c else a):
-            places[i] = c + i - a if tag == "equal" else max(c, min(d - 1, round(c + (i - a + 0.5) / (b - a) * (d - c) - 0.5)))
-    return {"places": places, "ratio": round(match.ratio(), 4)}
+@F.pandas_udf(BLOCKS)
+def _anchors(want: pd.Series, heard: pd.Series) -> pd.Series:
+    """The longest common runs of two word lists, in order, and their ends with no words."""
+    words = lambda x: list(x) if x is not None else []
+    return pd.Series([[tuple(b) for b in difflib.SequenceMatcher(None, words(a), words(b), autojunk=False).get_matching_blocks()] for a, b in zip(want, heard)])
 
 
-@F.pandas_udf(PLACES)
-def heard_places(want: pd.Series, heard: pd.Series) -> pd.DataFrame:
-    """For each expected word its place among the heard ones: matched, or in proportion where a run stands for another; null where dropped."""
-    words = lambda x: list(x) if x is not None else []
-    return pd.DataFrame([_places(words(a), words(b)) for a, b in zip(want, heard)], columns=PLACES.names)
+def _between(at: Column, n: Column, there: Column, m: Column) -> Column:
+    """Places for n words that stand where m others were heard: each at its share of the way; nulls where none were."""
+    share = lambda k: F.bround(there + (k + 0.5) / n * m - 0.5).cast("int")
+    inside = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.greatest(there, F.least(there + m - 1, share(k))))
+    return F.when(n <= 0, F.array().cast("array<int>")).when(m <= 0, F.array_repeat(F.lit(None).cast("int"), n)).otherwise(inside)
+
+
+def heard_places(want: Column, heard: Column) -> Column:
+    """(places, ratio): for each expected word its place among the heard ones, and twice the matched words' share of both lists.
+
+    Between two matched runs a word has its share of the way; it is null where nothing was heard there.
+    """
+    end = lambda blocks, k, field: F.when(k == 0, F.lit(0)).otherwise(F.get(blocks, k - 1)[field] + F.get(blocks, k - 1)["n"])
+    run = lambda b: F.when(b["n"] > 0, F.sequence(b["there"], b["there"] + b["n"] - 1)).otherwise(F.array().cast("array<int>"))
+    step = lambda blocks: lambda b, k: F.concat(
+        _between(end(blocks, k, "at"), b["at"] - end(blocks, k, "at"), end(blocks, k, "there"), b["there"] - end(blocks, k, "there")), run(b)
+    )
+    matched = lambda blocks: F.aggregate(blocks, F.lit(0), lambda a, b: a + b["n"])
+    total = F.greatest(F.size(want), F.lit(0)) + F.greatest(F.size(heard), F.lit(0))
+    ratio = lambda blocks: F.when(total == 0, 1.0).otherwise(F.round(2.0 * matched(blocks) / total, 4))
+    return let(_anchors(want, heard), lambda blocks: F.struct(F.flatten(F.transform(blocks, step(blocks))).alias("places"), ratio(blocks).alias("ratio")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialoom.functions.cues import blocked_speaker
-from dialoom.functions.scalars import ordered_distinct
+from dialoom.functions.scalars import greedy_starts, let, ordered_distinct, stretches
 
 
 def _within(group, order):
@@ -105,15 +105,8 @@ def two_speaker_path(scores: Column, stay: float = -0.28, change: float = 0.28)
 
 
 def packed_chunks(lengths: Column, least: int, most: int) -> Column:
-    """Chunk numbers of an ordered array of lengths: a chunk closes at `least` or before `most` would be passed."""
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("size"), F.array().cast("array<int>").alias("out"))
-
-    def step(s: Column, n: Column) -> Column:
-        new = (s["size"] > 0) & ((s["size"] >= least) | (s["size"] + n > most))
-        chunk = s["chunk"] + new.cast("int")
-        return F.struct(chunk.alias("chunk"), F.when(new, n).otherwise(s["size"] + n).cast("long").alias("size"), F.concat(s["out"], F.array(chunk)).alias("out"))
-
-    return F.aggregate(lengths, start, step, lambda s: s["out"])
+    """Chunk numbers of an ordered array of lengths of lines joined by blanks: see greedy_starts(); a short last chunk joins the one before."""
+    return let(greedy_starts(lengths, most, least), lambda starts: F.flatten(stretches(starts, F.size(lengths), lambda k, first, n: F.array_repeat(k, n))))
 
 
 def merged_lines(lines: DataFrame, group, order: str, text: str) -> DataFrame:

@@ -174,13 +174,17 @@ def two_speaker_path(t):
 
 
 @query("""
-WITH RECURSIVE o AS (SELECT conv_id, length(text) AS len, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+WITH RECURSIVE o AS (SELECT conv_id, length(text) AS len, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations WHERE trim(text) <> ''),
 f AS (SELECT conv_id, i, 0 AS chunk, len AS size FROM o WHERE i = 1
-  UNION ALL SELECT o.conv_id, o.i, CASE WHEN f.size >= 300 OR f.size + o.len > 900 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN f.size >= 300 OR f.size + o.len > 900 THEN o.len ELSE f.size + o.len END
-  FROM f JOIN o ON o.conv_id = f.conv_id AND o.i = f.i + 1)
-SELECT conv_id, string_agg(CAST(chunk AS VARCHAR), ',' ORDER BY i) AS chunks FROM f GROUP BY conv_id""")
+  UNION ALL SELECT o.conv_id, o.i, f.chunk + CAST(f.size >= 300 OR f.size + 1 + o.len > 900 AS INT), CASE WHEN f.size >= 300 OR f.size + 1 + o.len > 900 THEN o.len ELSE f.size + 1 + o.len END
+  FROM f JOIN o ON o.conv_id = f.conv_id AND o.i = f.i + 1),
+c AS (SELECT conv_id, chunk, sum(len) + count(*) - 1 AS size FROM f JOIN o USING (conv_id, i) GROUP BY ALL),
+tails AS (SELECT a.conv_id, a.chunk FROM c a JOIN c b ON b.conv_id = a.conv_id AND b.chunk = a.chunk - 1
+  WHERE a.size < 300 AND b.size + 1 + a.size <= 900 AND a.chunk = (SELECT max(chunk) FROM c x WHERE x.conv_id = a.conv_id))
+SELECT f.conv_id, string_agg(CAST(f.chunk - CAST(tails.chunk IS NOT NULL AS INT) AS VARCHAR), ',' ORDER BY i) AS chunks
+FROM f LEFT JOIN tails ON tails.conv_id = f.conv_id AND tails.chunk = f.chunk GROUP BY f.conv_id""")
 def chunk_plan(t):
-    rows = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))).alias("a"))
+    rows = t("conversations").where("trim(text) <> ''").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))).alias("a"))
     return rows.select("conv_id", joined(sequence.packed_chunks(F.transform("a", lambda x: x["n"]), 300, 900)).alias("chunks"))
 
 

@@ -1,11 +1,12 @@
 """Curation, clips and identities on small tables with nulls, ties, repeated and empty inputs."""
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
 from dialoom.functions import text
-from dialoom.operators import clips, curation, placing
+from dialoom.operators import clips, curation, placing, sequence
 from dialoom.sources import files
 
 
@@ -121,5 +122,49 @@ def test_lines_go_to_paragraphs_that_quote_them(spark):
 
 def test_heard_places(spark):
     words = spark.createDataFrame([(["a", "b", "c", "d"], ["a", "x", "d"]), (["a", "b"], ["b"]), ([], ["a"]), (None, None)], "w array<string>, s array<string>")
-    found = [tuple(r[0]) for r in words.select(placing.heard_places("w", "s")).collect()]
+    found = [tuple(r[0]) for r in words.select(placing.heard_places(F.col("w"), F.col("s"))).collect()]
     assert found == [([0, 1, 1, 2], 0.5714), ([None, 0], 0.6667), ([], 0.0), ([], 1.0)]
+
+
+def test_pieces_and_chunks_pack_greedily(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = [" ".join("x" * rng.randint(1, 9) + rng.choice(["", "", ".", "!", "?  "]) for _ in range(rng.randint(0, 40))) for _ in range(200)]
+
+    def fill(items, most):
+        out = []
+        for x in items:
+            if out and len(out[-1]) + 1 + len(x) <= most:
+                out[-1] += " " + x
+            else:
+                out.append(x)
+        return out
+
+    def want(t, most):
+        if len(t) <= most:
+            return [t]
+        parts = [p for s in re.split(r"(?<=[.!?])\s+", t) for p in ([s] if len(s) <= most else fill(s.split(), most))]
+        return fill(parts, most)
+
+    for most in (5, 12, 40):
+        found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.fitting_pieces(F.col("t"), most).alias("p")).collect()
+        assert all(r["p"] == want(r["t"], most) for r in found)
+    plan = lambda *n: spark.createDataFrame([(list(n),)], "n array<int>").select(sequence.packed_chunks(F.col("n"), 300, 900)).first()[0]
+    assert plan(200, 200, 200, 50) == [0, 0, 0, 0] and plan(200, 99, 1) == [0, 0, 0] and plan(200, 100, 700) == [0, 0, 1] and plan(899, 50) == [0, 1] and plan() == []
+
+
+def test_heard_places_lie_between_anchors(spark):
+    import difflib
+    import random
+
+    rng = random.Random(4)
+    pairs = [([rng.choice("abcd") for _ in range(rng.randint(0, 12))], [rng.choice("abcd") for _ in range(rng.randint(0, 12))]) for _ in range(100)]
+    found = spark.createDataFrame(pairs, "w array<string>, s array<string>").select("w", "s", placing.heard_places(F.col("w"), F.col("s")).alias("f")).collect()
+    for r in found:
+        blocks = difflib.SequenceMatcher(None, r["w"], r["s"], autojunk=False).get_matching_blocks()
+        places = r["f"]["places"]
+        assert len(places) == len(r["w"]) and all(places[b.a + i] == b.b + i for b in blocks for i in range(b.size))
+        known = [p for p in places if p is not None]
+        assert known == sorted(known) and all(0 <= p < len(r["s"]) for p in known)
+        assert abs(r["f"]["ratio"] - (2 * sum(b.size for b in blocks) / (len(r["w"]) + len(r["s"])) if r["w"] or r["s"] else 1.0)) < 1e-4
