@@ -3,7 +3,8 @@
 The reference is the whole corpus, indexed in blocks. A task makes a block of the documents it reads, in order of their ids,
 and parses each one greedily against those before it: a factor runs on as long as the next window of WIDTH words stands next
 in the same reference. The first place of every window of the block then goes to the shard of the index that its second hash
-names; a shard holds the windows of all blocks as sorted hashes and answers, for each, which document has it first. So every
+names; a shard holds the windows of all blocks as sorted hashes and answers, for each, which document has it first. Answers are
+packed by groups of documents, about as many as shards, and meet their texts as one row per document. So every
 document is parsed against every block, while a window that very many documents share reaches its shard once per block, not once
 per document. A factor ends where its reference parts from the text; the windows across such a boundary were looked up like
 all others, so none is lost. A window within one document is never a factor of that document.
@@ -33,7 +34,8 @@ WIDTH = 13
 BLOCK = 1 << 21
 SHARD_BYTES = 1 << 24
 DEALT = "shard long, doc long, seal long, n int, hashes binary, places binary, docs binary, counts binary, factors binary"
-FOUND = "doc long, seal long, hashes binary, factors binary"
+ANSWER = "deal long, doc long, seal long, n int, hashes binary, docs binary, counts binary, factors binary"
+FOUND = "doc long, found array<struct<seal:bigint,hashes:binary,factors:binary>>"
 _U = np.uint64
 
 
@@ -96,7 +98,7 @@ class _Block:
             at = np.flatnonzero(known[here])
             back = earlier[here][at]
             found = runs(places[here][at], ids[of[back]], places[back], self.width)
-            yield self._row(int(scramble(ids[k : k + 1].astype(_U), 6)[0] % _U(self.shards)), doc=int(ids[k]), seal=self.parts[k][1], factors=found.tobytes())
+            yield self._row(int(_deals(ids[k : k + 1], self.shards)[0]), doc=int(ids[k]), seal=self.parts[k][1], factors=found.tobytes())
         # what is first in the block goes to the index
         at = np.sort(first)
         other = np.concatenate([window_hashes(p[3], self.width, turn=1) for p in self.parts])[at] % _U(self.shards)
@@ -115,7 +117,13 @@ class _Block:
 
 
 _DEALT = pa.schema([("shard", pa.int64()), ("doc", pa.int64()), ("seal", pa.int64()), ("n", pa.int32()), *((c, pa.binary()) for c in ("hashes", "places", "docs", "counts", "factors"))])
-_FOUND = pa.schema([("doc", pa.int64()), ("seal", pa.int64()), ("hashes", pa.binary()), ("factors", pa.binary())])
+_ANSWER = pa.schema([("deal", pa.int64()), ("doc", pa.int64()), ("seal", pa.int64()), ("n", pa.int32()), *((c, pa.binary()) for c in ("hashes", "docs", "counts", "factors"))])
+_FOUND = pa.schema([("doc", pa.int64()), ("found", pa.list_(pa.struct([("seal", pa.int64()), ("hashes", pa.binary()), ("factors", pa.binary())])))])
+
+
+def _deals(docs: np.ndarray, deals: int) -> np.ndarray:
+    """To which of so many groups of documents the answers for ids go."""
+    return (scramble(docs.astype(_U), 6) % _U(deals)).astype(np.int64)
 
 
 def _batches(rows, schema: pa.Schema, size: int = 256):
@@ -143,33 +151,56 @@ def _deal(shards: int, width: int):
     return lambda batches: _batches(rows(batches), _DEALT)
 
 
-def _answer(rows: pa.Table) -> pa.Table:
-    """One shard: the factors found in blocks as they are, and per document its windows that an earlier one has, with where."""
-    plain = rows.filter(pa.compute.is_valid(rows["factors"])).select(["doc", "seal", "hashes", "factors"])
-    rows = rows.filter(pa.compute.is_valid(rows["hashes"]))
-    out = []
-    if rows.num_rows:
-        held = rows.select(["n", "hashes", "places", "docs", "counts"]).to_pylist()
+def _answers(deals: int):
+    def run(rows: pa.Table) -> pa.Table:
+        """One shard: per group of documents the windows that an earlier document has, with where; factors of blocks as they are."""
+        plain = rows.filter(pa.compute.is_valid(rows["factors"])).select(["doc", "seal", "factors"]).to_pylist()
+        out = [(int(_deals(np.array([r["doc"]]), deals)[0]), r["doc"], r["seal"], None, None, None, None, r["factors"]) for r in plain]
+        held = rows.filter(pa.compute.is_valid(rows["hashes"])).select(["n", "hashes", "places", "docs", "counts"]).to_pylist()
+        if held:
+            hashes = np.concatenate([np.frombuffer(r["hashes"], _U) for r in held])
+            places = np.concatenate([_wide(r["places"], r["n"]) for r in held])
+            docs = np.concatenate([np.repeat(d := np.frombuffer(r["docs"], np.int64), _wide(r["counts"], len(d))) for r in held])
+            order = np.argsort(hashes, kind="stable")
+            sizes = np.diff(np.r_[np.flatnonzero(np.r_[True, np.diff(hashes[order]) != 0]), len(order)])
+            at = order[np.repeat(sizes > 1, sizes)]
+            sizes = sizes[sizes > 1]
+            by = np.lexsort((places[at], docs[at], np.repeat(np.arange(len(sizes)), sizes)))  # only what repeats: its first holder comes first
+            at = at[by]
+            first = np.repeat(at[np.cumsum(sizes) - sizes], sizes)
+            later = docs[at] > docs[first]
+            at, first = at[later], first[later]
+            deal = _deals(docs[at], deals)
+            by = np.lexsort((docs[at], deal))
+            at, first, deal = at[by], first[by], deal[by]
+            for part, there in zip(*(np.split(x, np.flatnonzero(np.diff(deal)) + 1) for x in (at, first))):
+                if len(part):
+                    mine, counts = np.unique(docs[part], return_counts=True)  # in order, as the windows are
+                    where = np.stack([docs[there], places[there]], axis=1)
+                    out.append((int(_deals(mine[:1], deals)[0]), None, None, len(part), hashes[part].tobytes(), mine.tobytes(), _narrow(counts), where.tobytes()))
+        return pa.Table.from_batches(list(_batches(out, _ANSWER)), _ANSWER)
+
+    return run
+
+
+def _gathered(rows: pa.Table) -> pa.Table:
+    """One group of documents: per document all that was found for it."""
+    found = {}
+    for r in rows.filter(pa.compute.is_null(rows["hashes"])).select(["doc", "seal", "factors"]).to_pylist():
+        found.setdefault(r["doc"], []).append((r["seal"], None, r["factors"]))
+    held = rows.filter(pa.compute.is_valid(rows["hashes"])).select(["hashes", "docs", "counts", "factors"]).to_pylist()
+    if held:
         hashes = np.concatenate([np.frombuffer(r["hashes"], _U) for r in held])
-        places = np.concatenate([_wide(r["places"], r["n"]) for r in held])
+        where = np.concatenate([np.frombuffer(r["factors"], np.int64).reshape(-1, 2) for r in held])
         docs = np.concatenate([np.repeat(d := np.frombuffer(r["docs"], np.int64), _wide(r["counts"], len(d))) for r in held])
-        order = np.argsort(hashes, kind="stable")
-        new = np.flatnonzero(np.r_[True, np.diff(hashes[order]) != 0])
-        sizes = np.diff(np.r_[new, len(order)])
-        repeated = np.flatnonzero(sizes > 1)
-        at = order[np.repeat(sizes > 1, sizes)]
-        sizes = sizes[repeated]
-        of = np.repeat(np.arange(len(sizes)), sizes)
-        by = np.lexsort((places[at], docs[at], of))  # only what repeats: its first holder comes first
-        at = at[by]
-        first = at[np.cumsum(sizes) - sizes][of]
-        later = docs[at] > docs[first]
-        at, first = at[later], first[later]
-        by = np.lexsort((places[at], docs[at]))
-        at, first = at[by], first[by]
-        for a, b in zip(at_ := np.flatnonzero(np.r_[True, np.diff(docs[at]) != 0]) if len(at) else [], np.r_[at_[1:], len(at)] if len(at) else []):
-            out.append((int(docs[at[a]]), None, hashes[at[a:b]].tobytes(), np.stack([docs[first[a:b]], places[first[a:b]]], axis=1).tobytes()))
-    return pa.concat_tables([plain.cast(_FOUND), pa.Table.from_batches(list(_batches(out, _FOUND, 1 << 16)), _FOUND)])
+        del held
+        order = np.argsort(docs, kind="stable")
+        docs = docs[order]
+        edges = np.r_[np.flatnonzero(np.r_[True, np.diff(docs) != 0]), len(docs)].tolist()
+        for a, b in zip(edges, edges[1:]):
+            found.setdefault(int(docs[a]), []).append((None, hashes[order[a:b]].tobytes(), where[order[a:b]].tobytes()))
+    listed = ((doc, [dict(zip(("seal", "hashes", "factors"), f)) for f in mine]) for doc, mine in found.items())
+    return pa.Table.from_batches(list(_batches(listed, _FOUND)), _FOUND)
 
 
 def spans_of(words: np.ndarray, found: list[dict], width: int) -> np.ndarray:
@@ -239,9 +270,9 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, id_col="doc_id", text_c
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = -(-size // shard_bytes) or 1
     dealt = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_deal(shards, width), DEALT)
-    found = scratch.table(dealt.groupBy("shard").applyInArrow(_answer, FOUND), "found")
-    per = found.groupBy("doc").agg(F.collect_list(F.struct("seal", "hashes", "factors")).alias("found"))
-    joined = docs.join(per, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "found")
+    answers = dealt.groupBy("shard").applyInArrow(_answers(shards), ANSWER)
+    found = scratch.table(answers.groupBy("deal").applyInArrow(_gathered, FOUND), "found")
+    joined = docs.join(found, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "found")
     return joined.mapInArrow(_cut(width), "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:bigint,words:bigint,reference:bigint,reference_start:bigint>>")
 
 
