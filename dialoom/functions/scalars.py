@@ -45,16 +45,20 @@ def summed_map(keys: Column, mapping: Column, remap: Column) -> Column:
     return F.map_from_entries(F.transform(F.array_sort(F.array_distinct(new)), lambda t: F.struct(t, total(t))))
 
 
-def prefix_sums(lengths: Column, block: int = 256) -> Column:
+def prefix_sums(lengths: Column, block: int = 64) -> Column:
     """Per element the sum of those before it: within blocks, then over the blocks' sums, so that time stays near the array's length."""
     none = F.array().cast("array<bigint>")
     step = lambda s, n: F.struct((s["sum"] + n).alias("sum"), F.concat(s["out"], F.array(s["sum"])).alias("out"))
     begin = F.struct(F.lit(0).cast("long").alias("sum"), none.alias("out"))
-    count = F.ceil(F.size(lengths) / block).cast("int")
-    starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    blocks = F.transform(starts, lambda b: F.aggregate(F.slice(lengths, b * block + 1, F.lit(block)), begin, step))
-    offsets = F.aggregate(F.transform(blocks, lambda b: b["sum"]), begin, step, lambda s: s["out"])
-    return F.flatten(F.zip_with(blocks, offsets, lambda b, at: F.transform(b["out"], lambda x: x + at)))
+
+    def blocks(x: Column) -> Column:
+        count = F.ceil(F.size(x) / block).cast("int")
+        starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda b: F.aggregate(F.slice(x, b * block + 1, F.lit(block)), begin, step))
+
+    offsets = lambda made: F.aggregate(F.transform(made, lambda b: b["sum"]), begin, step, lambda s: s["out"])
+    joined = lambda made: F.flatten(F.zip_with(made, offsets(made), lambda b, at: F.transform(b["out"], lambda x: x + at)))
+    return let(lengths, lambda x: let(blocks(x), joined))
 
 
 def greedy_starts(lengths: Column, most: int, least: int | None = None) -> Column:

@@ -59,7 +59,7 @@ def paragraphs(text: Column) -> Column:
     pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\r\n]*(?:\r\n|\r|\n|$)"), F.lit(0))
 
     line = lambda piece: F.regexp_replace(piece, r"[\r\n]+$", "")
-    placed = F.zip_with(pieces, prefix_sums(F.transform(pieces, lambda p: F.length(p).cast("long"))), lambda p, at: F.struct(line(p).alias("text"), at.cast("int").alias("start")))
+    placed = let(pieces, lambda x: F.zip_with(x, prefix_sums(F.transform(x, lambda p: F.length(p).cast("long"))), lambda p, at: F.struct(line(p).alias("text"), at.cast("int").alias("start"))))
     kept = F.filter(placed, lambda x: F.length(F.trim(F.regexp_replace(x["text"], r"\s", " "))) > 0)
     return F.transform(kept, lambda x, i: F.struct(i.alias("idx"), x["start"].alias("start"), (x["start"] + F.length(x["text"])).alias("end"), x["text"].alias("text")))
 

@@ -163,7 +163,7 @@ f AS (SELECT * FROM o WHERE regexp_matches(piece, '\S'))
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INT) AS i, CASE WHEN regexp_matches(piece, '^["“”]') THEN 'dialogue' ELSE 'narration' END AS type,
   md5(trim(piece, '"“” ')) AS digest, CAST(start AS BIGINT) AS start, CAST(start + length(piece) AS BIGINT) AS "end" FROM f""")
 def quote_chunks(t):
-    return passes.chunks(t("documents"), "doc_id", "text").drop("at").withColumn("text", F.md5("text")).withColumnRenamed("text", "digest")
+    return passes.chunks(t("documents"), "doc_id", "text").drop("at", "breaks", "paragraph").withColumn("text", F.md5("text")).withColumnRenamed("text", "digest")
 
 
 @query(r"""

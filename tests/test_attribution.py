@@ -80,7 +80,7 @@ def test_passes(spark):
     assert got == [
         ("Ann", "2_forward_explicit_tags"), ("Ann", "2b_backward_explicit_tags"), ("Ann", "4c_carry_across_short_narration"),
         ("[Ann|Narrator]", "5_suggest_alternatives"), ("[Ann|Narrator]", "5_suggest_alternatives"), ("[Ann|Narrator]", "4c_carry_across_short_narration"),
-        ("[Ann|Narrator]", "5_suggest_alternatives"), ("Bo", "2_forward_explicit_tags"), ("Bo", "2b_backward_explicit_tags"),
+        ("[Ann|Bo]", "5_suggest_alternatives"), ("Bo", "2_forward_explicit_tags"), ("Bo", "2b_backward_explicit_tags"),  # narration has named Bo
     ]
 
 
@@ -171,5 +171,56 @@ def test_passes_of_pronouns(spark):
     aliases = spark.createDataFrame([("c", "Bo", "Bo")], "chapter string, alias string, name string")
     coref = spark.createDataFrame([("c", body.index("she"), "Ann"), ("c", body.index("he said. "), "Cid"), ("d", 0, "Dan"), ("c", None, "Eve")], "chapter string, at int, name string")
     got = [(r.speaker, r.rule[:2]) for r in passes.attributed(rows, "chapter", aliases, protagonist="Zed", persona="Me", coref=coref).orderBy("i").collect()]
-    assert got == [("Ann", "1b"), ("Zed", "0p"), ("Me", "0a"), ("Cid", "1_"), ("Me", "0a")]
+    assert got == [("Ann", "1b"), ("Zed", "0p"), ("Zed", "0a"), ("Cid", "1_"), ("Zed", "0a")]  # the persona falls back to the protagonist
     assert passes.attributed(rows.limit(0), "chapter", aliases, coref=coref).count() == 0
+
+
+def attribution(spark, chapter, aliases=("Ann", "Bo", "Cid"), **options):
+    rows = passes.chunks(spark.createDataFrame([("c", chapter)], "chapter string, text string"), "chapter", "text")
+    lines = F.length(F.regexp_replace(F.substring(F.lit(chapter), F.lit(1), F.col("start").cast("int")), r"[^\n]", "")).cast("int")
+    blank = F.substring(F.lit(chapter), F.col("start").cast("int") + 1, F.lit(1)) == "\n"
+    rows = rows.withColumn("paragraph", F.when(blank, -1).otherwise(lines))
+    known = spark.createDataFrame([("c", a, a) for a in aliases] + [("x", "Zoe", "Zoe")], "chapter string, alias string, name string")
+    return [(r.speaker, r.rule) for r in passes.attributed(rows, "chapter", known, **options).orderBy("i").collect()]
+
+
+def test_narration_feeds_the_latest_names_and_breaks_forget_them(spark):
+    assert attribution(spark, "Ann said. Bo was there, and Cid stood by.\n“Yes.”") == [("[Bo|Cid]", "5_suggest_alternatives")]
+    assert attribution(spark, "Ann and Bo came.\n\n“Yes.”") == [("[Ann|Bo]", "5_suggest_alternatives")]  # the break comes before its own names
+    assert attribution(spark, "Ann came. “Yes,” Bo said.\n\nNobody spoke.\n“No.”") == [("Bo", "2_forward_explicit_tags"), ("[Bo|Narrator]", "5_suggest_alternatives")]
+    assert attribution(spark, "Ann came. “Yes,” Bo said.\n“And.”\n\nNobody spoke.\n“No.”")[2] == ("Unknown", "none")
+    assert attribution(spark, "Bo said. “One.”\n***\n“Two.”")[1] == ("Unknown", "none")
+    assert attribution(spark, "“Hm.”") == [("Unknown", "none")]
+
+
+def test_new_subjects_are_known_from_where_they_first_stand(spark):
+    got = attribution(spark, "Dee walked.\n“One.”\nDee Vale said. Then dee vale left.\n“Two,” dee vale said.\n“Three.”")
+    assert got == [("Unknown", "none"), ("Dee Vale", "2_forward_explicit_tags"), ("[Dee Vale|Narrator]", "5_suggest_alternatives")]
+    assert attribution(spark, "“Yes,” Zoe said.") == [("Zoe", "2_forward_explicit_tags")]
+    assert attribution(spark, "“Yes,” Someone said.", blocked=("someone",)) == [("Unknown", "2_forward_explicit_tags")]
+    assert attribution(spark, "Zoe Q.E (x said. “Yes,” Ann said.", aliases=("Ann", "a\\Eb(")) == [("Ann", "2_forward_explicit_tags")]
+
+
+def test_first_person_guard_and_fallback(spark):
+    assert attribution(spark, "“I am here.”", protagonist="Me", persona="Teller") == [("Me", "first_person_override")]
+    assert attribution(spark, "“You are here,” we said.", protagonist="Me", persona="Teller") == [("Me", "0a_narrator_identity")]
+    assert attribution(spark, "“Go.”", protagonist="Me") == [("Me", "none")]
+    same = "“So,” Ann said. “Bo, run,” Bo said."
+    assert attribution(spark, same)[1][0] == "Bo"  # nobody else stands right before
+    close = "“Now.” “Bo, run.” Bo said."
+    assert attribution(spark, "“So.” Ann said.\n" + close)[-1][0] == "Bo"
+    assert attribution(spark, "Ann said: “Now.” “Ann, run,” Ann said.", guard=False)[1][0] == "Ann"
+
+
+def test_long_chapters_stay_linear(spark):
+    import time
+
+    took = []
+    for n in (4_000, 16_000, 64_000):
+        body = "".join(f"Ann went on {i}. “Word {i}.” " for i in range(n // 2))
+        df = spark.createDataFrame([("c", body)], "chapter string, text string")
+        passes.chunks(df.limit(0), "chapter", "text").count()
+        began = time.perf_counter()
+        assert passes.chunks(df, "chapter", "text").agg(F.max("end")).first()[0] <= len(body)
+        took.append(time.perf_counter() - began)
+    assert took[2] < 12 * max(took[1], 0.5)
