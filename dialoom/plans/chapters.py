@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dialoom.functions import cues, quoting
-from dialoom.operators import assist, passes
+from dialoom.operators import assist, passes, ranking
 from dialoom.plans.registry import query
 
 #: How a turn becomes a paragraph, by turn: {s} is its first sentence, {a} and {b} are two of the cast.
@@ -123,3 +123,66 @@ def attributed_chapters(t):
     whole = chapters(t).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "\n").alias("text"))
     names = cast(t).select(F.col("name").alias("alias"), "name")
     return passes.attributed(passes.chunks(whole, "conv_id", "text"), "conv_id", names)
+
+
+def _pool(x: str) -> str:
+    """One of seven names, in SQL of both engines, by a whole number."""
+    names = ("Narrator", "he", "Ann", "Bo", "Cid", "Dee", "Unknown man")
+    return f"CASE CAST(floor({x}) AS BIGINT) % 7 {' '.join(f'WHEN {i} THEN {chr(39)}{n}{chr(39)}' for i, n in enumerate(names))} END"
+
+
+_SOMETIMES = lambda when, x: f"CASE WHEN {when} THEN {x} END"
+#: What is known of an order's line, as arithmetic on its keys that both engines read alike.
+LINE_SIGNALS = {
+    "predicted": _pool("c"), "legacy": _pool("c / 3"), "previous": _SOMETIMES("k % 5 <> 0", _pool("k / 2")), "following": _SOMETIMES("k % 7 <> 0", _pool("k / 3")), "fallback": "k % 6 = 0", "exact": "k % 2 = 0",
+    "boundary": "CAST(k % 10 AS DOUBLE) / 10", "speech_verb": "k % 3 = 0", "coref": "k % 4 = 0", "alias_strength": "CAST(k % 5 AS DOUBLE) / 4", "addressed": _SOMETIMES("k % 3 = 0", _pool("k / 5")),
+    "attributed": _SOMETIMES("k % 8 = 0", _pool("k / 11")), "recent": _SOMETIMES("k % 5 = 1", _pool("k / 13")), "previous_paragraph": _SOMETIMES("k % 5 = 2", _pool("k / 17")),
+    "gender": "CASE k % 6 WHEN 1 THEN 'male' WHEN 2 THEN 'Female ' WHEN 3 THEN '' END", "returning": "k % 2 = 1", "continues": "k % 9 = 0", "question": "k % 4 < 2", "next_legacy": _pool("k / 4"),
+    "descriptor": _SOMETIMES("k % 10 = 3", _pool("k / 19")), "post_quote": _SOMETIMES("k % 9 = 4", _pool("k / 23")), "sibling": _SOMETIMES("k % 11 = 5", _pool("k / 29")),
+}
+_N = lambda c: f"lower(trim(coalesce({c}, '')))"
+_GENERIC = lambda c: f"(regexp_matches({_N(c)}, '^(|{'|'.join(cues.GENERIC)})$') OR {_N(c)} LIKE 'unknown%')"
+_IS = lambda c: f"key = {_N(c)}"
+_ONE = lambda c: f"{_N(c)} <> '' AND {_IS(c)}"
+_FREE = f"(coalesce(nullif({_N('attributed')}, ''), nullif({_N('post_quote')}, '')) IS NULL OR key = coalesce(nullif({_N('attributed')}, ''), nullif({_N('post_quote')}, '')))"
+_SOMEBODY, _TWO = "key <> 'narrator'", "others >= 2"
+_SEX = "CASE key WHEN 'ann' THEN 'female' WHEN 'bo' THEN 'male' WHEN 'cid' THEN 'male' WHEN 'dee' THEN 'female' END"
+_STEPS = (  # condition, reason, delta, in the order in which they are added
+    (f"{_IS('predicted')} AND {_FREE}", "parser_match", "CASE WHEN exact THEN 0.2::DOUBLE ELSE 0.08::DOUBLE END"), (f"{_IS('legacy')} AND {_SOMEBODY} AND {_FREE}", "legacy_match", "0.16"),
+    (f"{_IS('legacy')} AND {_SOMEBODY} AND {_FREE} AND (fallback OR {_GENERIC('predicted')})", "legacy_anchor_boost", "0.1"), (f"{_ONE('previous')} AND continues", "same_paragraph_continuation", "0.4"),
+    (f"{_ONE('previous')} AND NOT continues", "prev_continuity", "0.1"), (_ONE("following"), "next_continuity", "0.1"), (_ONE("sibling"), "paragraph_sibling_confirmed", "0.3"),
+    (f"{_ONE('previous')} AND {_ONE('following')}", "two_sided_continuity", "0.08"), (f"{_IS('predicted')} AND coref", "coref_support", "0.08"), (f"{_IS('predicted')} AND alias_strength > 0", "alias_strength", "alias_strength * 0.08::DOUBLE"),
+    (f"{_IS('descriptor')} AND {_SOMEBODY}", "learned_descriptor_match", "0.4"), (f"{_ONE('attributed')} AND {_SOMEBODY}", "post_quote_attribution", "0.4"), (f"{_ONE('post_quote')} AND {_SOMEBODY}", "post_quote_mention", "0.4"),
+    (f"{_ONE('recent')} AND {_SOMEBODY}", "recent_named_mention", "0.16"), (f"{_ONE('previous_paragraph')} AND {_SOMEBODY}", "previous_paragraph_named_mention", "0.16"), ("true", "", "boundary * 0.08::DOUBLE"), ("speech_verb", "speech_verb", "0.06"),
+    (f"fallback AND {_IS('predicted')}", "fallback_penalty", "-0.1"), (f"specific AND {_GENERIC('key')}", "generic_label_penalty", "-0.2"), (f"{_ONE('addressed')} AND {_SOMEBODY} AND {_TWO}", "addressed_target_penalty", "-0.18"),
+    (f"k % 4 = 1 AND key IN (lower({_pool('k')}), lower({_pool('k / 7')})) AND {_SOMEBODY} AND {_TWO}", "self_name_mention_penalty", "-0.15"), (f"{_N('gender')} <> '' AND {_SEX} = {_N('gender')}", "context_gender_match", "0.18"),
+    (f"{_N('gender')} <> '' AND {_SEX} <> {_N('gender')}", "context_gender_conflict", "-0.34"), (f"\"returning\" AND question AND {_ONE('next_legacy')} AND {_SOMEBODY} AND {_TWO}", "question_next_speaker_penalty", "-0.18"),
+)
+
+
+@query(f"""
+WITH named AS (SELECT l_orderkey AS k, l_linenumber AS i, CASE WHEN l_linenumber % 3 = 0 THEN ' ' || upper({_pool('l_suppkey')}) ELSE {_pool('l_suppkey')} END AS n FROM lineitem),
+firsts AS (SELECT k, lower(trim(n)) AS key, min(struct_pack(i := i, n := n)) AS f FROM named GROUP BY ALL),
+o AS (SELECT k, {', '.join(f'{x} AS "{n}"' for n, x in LINE_SIGNALS.items())} FROM (SELECT o_orderkey AS k, o_custkey AS c FROM orders)),
+j AS (SELECT o.*, key, f AS i, trim(f.n) AS name, count(*) FILTER (key <> 'narrator') OVER (PARTITION BY k) AS others, bool_or(key <> 'narrator' AND NOT {_GENERIC('key')}) OVER (PARTITION BY k) AS specific FROM o JOIN firsts USING (k)),
+s AS (SELECT *, list_filter([{', '.join(f"CASE WHEN {c} THEN '{r}' END" for c, r, _ in _STEPS)}], lambda x: x <> '') AS reasons,
+  greatest(0.02::DOUBLE, least(0.98::DOUBLE, 0.38::DOUBLE{''.join(f" + CASE WHEN {c} THEN ({d})::DOUBLE ELSE 0 END" for c, _, d in _STEPS)})) AS score FROM j),
+r AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS next FROM s WINDOW w AS (PARTITION BY k ORDER BY score DESC, i)),
+t AS (SELECT *, score - coalesce(next, 0) AS margin, len(list_intersect(reasons, [{', '.join(repr(x) for x in ranking.HARD)}])) AS hard FROM r WHERE r = 1)
+SELECT k, name AS chosen, score AS top, margin, CAST(hard AS INT) AS hard, array_to_string(reasons, ',') AS reasons,
+  fallback OR score < 0.74::DOUBLE OR margin < 0.14::DOUBLE OR list_contains(reasons, 'question_next_speaker_penalty') OR list_contains(reasons, 'context_gender_conflict')
+    OR ({_GENERIC('name')} AND specific) OR (hard = 0 AND score < 0.8::DOUBLE) AS suggestion,
+  (SELECT string_agg(name, ',' ORDER BY x.r) FROM r x WHERE x.k = t.k) AS ranked FROM t""")
+def ranked_speakers(t):
+    """Candidates of an order's lines ranked by everything that is known of it, with the choice and whether it is only a suggestion."""
+    name = F.expr(f"CASE WHEN l_linenumber % 3 = 0 THEN ' ' || upper({_pool('l_suppkey')}) ELSE {_pool('l_suppkey')} END")
+    named = t("lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", name.alias("n")))), lambda x: x["n"]).alias("candidates"))
+    rows = named.join(t("orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c")), "k")
+    fields = {n: F.expr(x) for n, x in LINE_SIGNALS.items()}
+    fields["mentions"] = F.when(F.col("k") % 4 == 1, F.array(F.expr(_pool("k")), F.expr(_pool("k / 7"))))
+    fields["genders"] = F.create_map(*(F.lit(x) for x in ("ann", "female", "bo", "male", "cid", "male", "dee", "female")))
+    names = [f.split(" ")[0] for f in ranking.SIGNALS.split(", ")]
+    rows = rows.select("k", "candidates", F.struct(*(fields[n].alias(n) for n in names)).alias("signals"))
+    found = rows.select("k", ranking.decision(F.col("candidates"), F.col("signals")).alias("d")).select("k", "d.*")
+    ranked = F.array_join(F.transform("ranked", lambda x: x["name"]), ",")
+    return found.select("k", "chosen", "top", "margin", "hard", F.array_join(F.col("ranked")[0]["reasons"], ",").alias("reasons"), "suggestion", ranked.alias("ranked"))
