@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from dialoom.functions.scalars import let
 from dialoom.functions.text import phrase
 
 # Verbs of speech, of reaction, further verbs of attribution and of pronoun cues, verbs of phase; labels without a name.
@@ -109,15 +110,24 @@ def attributed_speaker(sentence: Column, names: Column) -> Column:
 
 
 def pronoun_cue(sentence: Column) -> Column:
-    """(gender, cue): the first pronoun beside a verb of attribution, the longer verbs first, the verb after it before the one ahead."""
-    tokens = F.array_join(F.regexp_extract_all(F.lower(F.coalesce(sentence, F.lit(""))), F.lit("[a-z]+(?:'[a-z]+)?"), F.lit(0)), " ")
-    verbs = sorted(dict.fromkeys(PRONOUN_CUES), key=lambda v: -len(v.split()))
-    said, any_ = "|".join(verbs), "|".join(PRONOUNS)
-    pair = rf"(?:(?<= )({any_}) ({said})(?= ))|(?:(?<= )({said}) ({any_})(?= ))"
-    cue = F.regexp_extract(F.concat(F.lit(" "), tokens, F.lit(" ")), pair, 0)
-    who = F.regexp_extract(cue, rf"\b({any_})\b", 1)
+    """(gender, cue): the first pronoun beside a verb of attribution, longer verbs first, the verb after it before the one ahead."""
+    tokens = F.regexp_extract_all(F.lower(F.coalesce(sentence, F.lit(""))), F.lit("[a-z]+(?:'[a-z]+)?"), F.lit(0))
+    verbs = {n: [v for v in dict.fromkeys(PRONOUN_CUES) if len(v.split()) == n] for n in (2, 1)}
+
+    def of(all_: Column) -> Column:
+        def cue(token: Column, i: Column) -> Column:
+            word = lambda k: F.get(all_, i + k)
+            said = F.when(F.lit(False), F.lit(""))
+            for n, known_ in verbs.items():
+                after = F.concat(*([word(1)] if n == 1 else [word(1), F.lit(" "), word(2)]))
+                ahead = F.concat(*([word(-1)] if n == 1 else [word(-2), F.lit(" "), word(-1)]))
+                said = said.when(after.isin(*known_), F.concat(token, F.lit(" "), after)).when(ahead.isin(*known_), F.concat(ahead, F.lit(" "), token))
+            return F.when(token.isin(*PRONOUNS), F.struct(token.alias("who"), said.alias("cue")))
+
+        return F.get(F.filter(F.transform(all_, cue), lambda x: x["cue"].isNotNull()), F.lit(0))
+
     gender = F.create_map(*(F.lit(x) for kv in PRONOUNS.items() for x in kv))
-    return F.when(cue != "", F.struct(F.try_element_at(gender, who).alias("gender"), cue.alias("cue")))
+    return let(let(tokens, of), lambda x: F.when(x.isNotNull(), F.struct(F.try_element_at(gender, x["who"]).alias("gender"), x["cue"].alias("cue"))))
 
 
 def nearby_speech_verb(context: Column) -> Column:

@@ -206,6 +206,25 @@ def line_query(text: Column, start: Column, end: Column, last_speaker: Column, r
     return F.when((end > start) & (start < F.length(text)), F.concat(head, state))
 
 
+def run_query(text: Column, spans: Column, reach: int) -> Column:
+    """Text from `reach` characters before the first of spans, an array of (start, end), to as many after the last one, each marked as <qK>.
+
+    K is a span's place in the array. Marks are put in from the last start to the first, so that spans that overlap are marked as the
+    text then stands. Null for no spans, an empty or reversed one, or one outside the text.
+    """
+    marks = F.transform(spans, lambda s, k: F.struct(s["start"].alias("start"), s["end"].alias("end"), k.alias("k")))
+    begin, end = F.array_min(F.transform(spans, lambda s: s["start"])), F.array_max(F.transform(spans, lambda s: s["end"]))
+    low, high = F.greatest(F.lit(0), begin - reach), F.least(F.length(text), end + reach)
+    fits = F.forall(spans, lambda s: (s["end"] > s["start"]) & (s["start"] >= 0) & (s["end"] <= high))
+
+    def mark(state: Column, m: Column) -> Column:
+        at, to, tag = m["start"] - low, m["end"] - low, F.concat(F.lit("q"), m["k"].cast("string"), F.lit(">"))
+        return F.concat(F.substring(state, F.lit(1), at), F.lit("<"), tag, F.substring(state, at + 1, to - at), F.lit("</"), tag, F.substring(state, to + 1, F.length(state)))
+
+    state = F.aggregate(F.sort_array(marks, asc=False), F.substring(text, low + 1, high - low), mark)
+    return F.when((F.size(spans) > 0) & (end > begin) & (begin < F.length(text)) & fits, state)
+
+
 def _filled(items: Column, most: int) -> Column:
     """Items joined by blanks into as few texts, in order, as have `most` characters at most."""
     joined = lambda x, starts: stretches(starts, F.size(x), lambda k, first, n: F.array_join(F.slice(x, first + 1, n), " "))

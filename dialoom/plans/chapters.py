@@ -48,6 +48,32 @@ def quoted_lines(t, paragraphs):
     return rows.select("conv_id", (F.col("idx") * 8 + F.col("k")).alias("i"), "text", "speaker", F.col("idx").alias("paragraph"), ((F.col("conv_id") + F.col("idx")) % 9 != 0).alias("certain"))
 
 
+_LONGEST = "|".join(sorted(quoting.VERBS, key=lambda v: -len(v)))
+_VERB = lambda x: f"nullif(regexp_extract({x}, '(?i)\\b({_LONGEST})\\b', 1), '')"
+_HEAD = lambda x: f"trim(string_split_regex(trim({x}, ' ,;:-—–'), '[.!?]')[1])"
+_ACTS = lambda m: f"regexp_matches({m}, '(?i)(ed|ing)$|^({'|'.join((*quoting.VERBS, *cues.REACTION))})$')"
+_Q = lambda p: p.replace("'", "''")
+_ACTING = lambda x: f"({_ACTS('regexp_extract(' + _HEAD(x) + ', ' + chr(39) + _Q(quoting.NAME_ACTS) + chr(39) + ', 2)')} OR {_ACTS('regexp_extract(' + _HEAD(x) + ', ' + chr(39) + _Q(quoting.ROLE_ACTS) + chr(39) + ', 2)')})"
+_SAYS = lambda x: f"({_VERB(x)} IS NOT NULL OR {_ACTING(x)})"
+
+
+@query(f"""
+WITH {CHAPTERS},
+q AS (SELECT conv_id, idx, regexp_extract_all(text, '(?s)["“](.+?)["”]', 1) AS q, string_split_regex(text, '(?s)["“].+?["”]') AS s FROM told),
+u AS (SELECT conv_id, idx, unnest(range(1, len(q) + 1)) AS k, q, s FROM q),
+v AS (SELECT conv_id, idx, CAST(k - 1 AS INT) AS k, trim(q[k]) AS quote, trim(s[k]) AS pre, trim(s[k + 1]) AS suf FROM u),
+w AS (SELECT *, CASE WHEN {_SAYS('suf')} THEN 'after' WHEN {_SAYS('pre')} THEN 'before' ELSE 'none' END AS position FROM v)
+SELECT conv_id, idx, k, quote, position, verb, CASE WHEN lower(verb) IN ({', '.join(map(repr, cues.SPEECH))}) THEN 'speech' WHEN verb IS NOT NULL THEN 'attribution' END AS kind,
+  coalesce((SELECT string_agg(name, ',' ORDER BY ord) FROM cast_ WHERE regexp_matches(quote, '(?i)\\b' || name || '\\b')), '') AS mentions
+FROM (SELECT *, {_VERB("CASE WHEN position = 'after' THEN suf ELSE pre END")} AS verb FROM w)""")
+def quote_units(t):
+    """The quotations of a chapter's paragraphs with where their cues are, the cues' verbs, and whom they mention."""
+    names = cast(t).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]).alias("names"))
+    rows = chapters(t).join(F.broadcast(names))  # one row
+    found = rows.select("conv_id", "idx", F.explode(quoting.quote_structure(F.col("text"), F.col("names"))).alias("u")).select("conv_id", "idx", "u.*")
+    return found.select("conv_id", "idx", "k", "quote", "position", "verb", "kind", F.array_join("mentions", ",").alias("mentions"))
+
+
 @query()
 def assisted_lines(t):
     """Speakers suggested by rules, with surfaces that earlier lines of a chapter have explained: a fold, without SQL."""

@@ -172,6 +172,16 @@ def line_questions(t):
     return t("documents").select("doc_id", F.md5(text.line_query(F.col("text"), F.lit(40), F.least(F.lit(60), F.col("n_chars")), last, 30)).alias("digest"))
 
 
+@query("""
+WITH d AS (SELECT doc_id, text, CAST(20 + doc_id % 7 AS BIGINT) AS a, CAST(60 + doc_id % 5 AS BIGINT) AS b, CAST(90 AS BIGINT) AS c FROM documents)
+SELECT doc_id, CASE WHEN length(text) >= 110 THEN md5(text[1:a] || '<q1>' || text[a + 1:a + 15] || '</q1>' || text[a + 16:b] || '<q0>' || text[b + 1:b + 20] || '</q0>' || text[b + 21:c] || '<q2>' || text[c + 1:c + 20] || '</q2>' || text[c + 21:c + 60]) END AS digest FROM d""")
+def run_questions(t):
+    """Runs of three lines of a text, marked in one window, their spans not in order."""
+    span = lambda start, n: F.struct(start.cast("int").alias("start"), (start + n).cast("int").alias("end"))
+    spans = F.array(span(60 + F.col("doc_id") % 5, 20), span(20 + F.col("doc_id") % 7, 15), span(F.lit(90), 20))
+    return t("documents").select("doc_id", F.md5(text.run_query(F.col("text"), spans, 40)).alias("digest"))
+
+
 @query("""
 SELECT l_returnflag AS stage, l_suppkey AS chapter, grouping(l_suppkey) = 1 AS whole, CAST(sum(l_linenumber) AS BIGINT) AS total, CAST(sum(CASE WHEN l_tax > 0.03 THEN l_linenumber ELSE 0 END) AS BIGINT) AS correct,
   sum(CASE WHEN l_tax > 0.03 THEN l_linenumber ELSE 0 END)::DOUBLE / sum(l_linenumber) AS accuracy FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_suppkey), (l_returnflag))""")

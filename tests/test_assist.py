@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from dialoom.functions import quoting
+from dialoom.functions import cues, quoting, text
 from dialoom.operators import assist
 
 CUES = [
@@ -98,3 +98,16 @@ def test_generic_suggestions_and_odd_rows(spark):
 @pytest.mark.parametrize("surface,generic", [("the man", True), ("another guard", True), ("the other one", True), ("king of Oak", True), ("Bob", False), ("the guard", False), (None, False)])
 def test_generic_surfaces(spark, surface, generic):
     assert spark.createDataFrame([(surface,)], "s string").select(assist.generic_surface(F.col("s"))).first()[0] is generic
+
+
+def test_runs_are_marked_in_one_window(spark):
+    kind = "t string, s array<struct<start:int,end:int>>"
+    cells = [("0123456789abcdef", [(8, 10), (4, 6)]), ("0123456789", [(2, 8), (3, 5)]), ("0123", []), ("0123", [(2, 2)]), ("0123", [(1, 9)]), ("0123", [(5, 6)]), (None, [(0, 1)]), ("0123", None), ("0123", [(0, 4)])]
+    found = [r[0] for r in spark.createDataFrame(cells, kind).select(text.run_query(F.col("t"), F.col("s"), 3)).collect()]
+    assert found == ["123<q1>45</q1>67<q0>89</q0>abc", "01<q0>2<q1>3</q0>4</q1>56789", None, None, None, None, None, None, "<q0>0123</q0>"]
+
+
+def test_the_verb_after_a_pronoun_goes_before_the_one_ahead(spark):
+    cells = [("Thus said he said Bo.",), ("She came. They asked.",), ("he pointed out he said",), ("said pointed out she",), ("nothing he did",), (None,)]
+    found = [r[0] and tuple(r[0]) for r in spark.createDataFrame(cells, "t string").select(cues.pronoun_cue(F.col("t"))).collect()]
+    assert found == [("male", "he said"), ("neutral", "they asked"), ("male", "he pointed out"), ("female", "pointed out she"), None, None]
