@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dialoom.functions import cues, quoting
-from dialoom.operators import assist, passes, ranking
+from dialoom.operators import assist, narration, passes, ranking
 from dialoom.plans.registry import query
 
 #: How a turn becomes a paragraph, by turn: {s} is its first sentence, {a} and {b} are two of the cast.
@@ -151,6 +151,26 @@ def attributed_chapters(t):
     return passes.attributed(passes.chunks(whole, "conv_id", "text"), "conv_id", names)
 
 
+_TAG = lambda x: f"(len(regexp_extract_all({x}, '\\S+')) <= 12 AND regexp_matches(lower({x}), '\\b({'|'.join(cues.SPEECH)})\\b'))"
+_EDGES = lambda x: f"regexp_replace({x}, '^[\\s\"''“”‘’`]+|[\\s\"''“”‘’`]+$', '', 'g')"
+_BARE_TAG = lambda x: f"trim(regexp_replace({_EDGES(x)}, '[.,;:!?…]+$', ''))"
+
+
+@query(f"""
+WITH {CHAPTERS},
+w AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY idx) AS text FROM told GROUP BY conv_id),
+e AS (SELECT conv_id, unnest(p) AS piece, generate_subscripts(p, 1) AS k FROM (SELECT *, string_split(regexp_replace(text, '(["“”].*?["“”])', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS p FROM w)),
+c AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY k) - 1 AS INT) AS i, NOT regexp_matches(piece, '^["“”]') AS told, trim(piece, '"“” ') AS body FROM e WHERE regexp_matches(piece, '\\S')),
+n AS (SELECT *, CASE WHEN lag(told) OVER w AND {_TAG('lag(body) OVER w')} THEN {_BARE_TAG('lag(body) OVER w')} END AS pre, CASE WHEN lead(told) OVER w AND {_TAG('lead(body) OVER w')} THEN {_BARE_TAG('lead(body) OVER w')} END AS suf FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY i))
+SELECT conv_id, i, trim(concat_ws(' ', CASE WHEN pre IS NULL THEN NULL WHEN regexp_matches(pre, '[.!?]$') THEN pre ELSE pre || '.' END, body, nullif(suf, ''))) AS text FROM n WHERE NOT told""")
+def tagged_lines(t):
+    """Quotations of a chapter with the short tags of narration that stand right before and after them."""
+    whole = chapters(t).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    speaker = F.when(F.col("type") == "narration", narration.NARRATOR).otherwise("somebody")
+    lines = passes.chunks(whole, "conv_id", "text").select("conv_id", "i", "text", speaker.alias("speaker"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+    return narration.tagged_texts(lines, whole, "conv_id")
+
+
 def _pool(x: str) -> str:
     """One of seven names, in SQL of both engines, by a whole number."""
     names = ("Narrator", "he", "Ann", "Bo", "Cid", "Dee", "Unknown man")
