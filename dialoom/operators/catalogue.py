@@ -68,10 +68,15 @@ def survivors(rows: DataFrame, keys: list[str], best: list[Column]) -> DataFrame
     return rows.withColumns({"_r": F.row_number().over(group.orderBy(*best)), "copies": F.count("*").over(group)}).where("_r = 1").drop("_r")
 
 
-def violations(rows: DataFrame, id_col: str, surface: Column) -> DataFrame:
-    """(rule, value, n): ids that are missing or repeat without regard to case, and surfaces with several owners."""
-    base = rows.select(F.lower(F.trim(F.col(id_col).cast("string"))).alias("id"), surface.alias("surface"))
+def violations(rows: DataFrame, id_col: str, surface: Column, file: Column | None = None) -> DataFrame:
+    """(rule, value, n): ids that are missing or repeat without regard to case, surfaces with several owners, and, if given, files of several owners."""
+    base = rows.select(F.lower(F.trim(F.col(id_col).cast("string"))).alias("id"), surface.alias("surface"), F.lower(file if file is not None else F.lit(None).cast("string")).alias("file"))
     gone = base.where("id IS NULL OR id = ''").agg(F.count("*").alias("n")).where("n > 0").select(F.lit("missing_id").alias("rule"), F.lit("").alias("value"), "n")
     twice = base.where("id <> ''").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("duplicate_id").alias("rule"), F.col("id").alias("value"), "n")
-    shared = base.where("surface <> ''").groupBy("surface").agg(F.count_distinct("id").alias("n")).where("n > 1")
-    return gone.unionAll(twice).unionAll(shared.select(F.lit("ambiguous_surface").alias("rule"), F.col("surface").alias("value"), "n"))
+
+    def owned(key: str, rule: str) -> DataFrame:
+        found = base.where(f"{key} <> ''").groupBy(key).agg(F.count_distinct("id").alias("n")).where("n > 1")
+        return found.select(F.lit(rule).alias("rule"), F.col(key).alias("value"), "n")
+
+    found = gone.unionAll(twice).unionAll(owned("surface", "ambiguous_surface"))
+    return found if file is None else found.unionAll(owned("file", "file_collision"))

@@ -40,10 +40,19 @@ def guess_hits(lines: DataFrame, gold: Column, suggestions: Column, ks=(1, 2, 3)
     return lines.agg(F.count("*").alias("lines"), *hits)
 
 
-def corpus_offsets(chapters: DataFrame, order: str, text: str, gap: int = 2) -> DataFrame:
-    """chapters with `offset`: where each begins, in code points, if they are joined in order with `gap` characters between them."""
-    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)  # one row per chapter of a book
-    return chapters.withColumn("offset", F.coalesce(F.sum(F.length(text) + gap).over(before), F.lit(0)))
+def corpus_offsets(chapters: DataFrame, order: str, text: str, gap: int = 2, block: int = 1 << 16) -> DataFrame:
+    """chapters with `offset`: where each begins, in code points, if they are joined in order with `gap` characters between them.
+
+    order is a whole number that tells chapters apart. Sums run within blocks of so many numbers, and over the blocks' totals, so that
+    no task takes the lengths of all.
+    """
+    size = F.coalesce(F.length(text), F.lit(0)) + gap
+    blocked = chapters.withColumn("_block", F.floor(F.col(order) / block))
+    totals = blocked.groupBy("_block").agg(F.sum(size).alias("_sum"))
+    ahead = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one short row per block
+    before = totals.select("_block", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return blocked.join(before, "_block").withColumn("offset", F.coalesce(F.sum(size).over(within), F.lit(0)) + F.col("_before")).drop("_block", "_before")
 
 
 def followed_quotes(gold: DataFrame, quotes: DataFrame, doc: str, ahead: int = 8) -> DataFrame:

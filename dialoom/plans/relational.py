@@ -95,13 +95,20 @@ def constraint_report(t):
     return catalogue.violations(t("part"), "p_size", F.col("p_name"))
 
 
-@query("""
-WITH b AS (SELECT lower(trim(CAST(p_size AS VARCHAR))) AS id, p_name AS surface FROM part)
-SELECT 'duplicate_id' AS rule, id AS value, count(*) AS n FROM b WHERE id <> '' GROUP BY id HAVING count(*) > 1
-UNION ALL SELECT 'ambiguous_surface', surface, count(DISTINCT id) FROM b WHERE surface <> '' GROUP BY surface HAVING count(DISTINCT id) > 1""")
+@query(r"""
+WITH b AS (SELECT lower(trim(CASE WHEN c_custkey % 97 = 0 THEN ' ' WHEN c_custkey % 5 = 0 THEN 'C' || CAST(c_custkey // 10 AS VARCHAR) ELSE 'c' || CAST(c_custkey AS VARCHAR) END)) AS id, c_mktsegment || CAST(c_custkey // 3 AS VARCHAR) AS surface,
+  lower(trim(regexp_replace(CASE WHEN c_custkey % 2 = 0 THEN upper(c_mktsegment) ELSE c_mktsegment END || ':' || CAST(c_custkey % 600 AS VARCHAR), '[:#]+', ' ', 'g'))) AS file FROM customer)
+SELECT 'missing_id' AS rule, '' AS value, count(*) AS n FROM b WHERE id IS NULL OR id = '' HAVING count(*) > 0
+UNION ALL SELECT 'duplicate_id', id, count(*) FROM b WHERE id <> '' GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'ambiguous_surface', surface, count(DISTINCT id) FROM b WHERE surface <> '' GROUP BY surface HAVING count(DISTINCT id) > 1
+UNION ALL SELECT 'file_collision', file, count(DISTINCT id) FROM b WHERE file <> '' GROUP BY file HAVING count(DISTINCT id) > 1""")
 def constraint_report_all(t):
-    """constraint_report over the whole of part."""
-    return catalogue.violations(t("part"), "p_size", F.col("p_name"))
+    """Customers under ids of which some are missing or repeat, with file names that collide without regard to case."""
+    key = F.col("c_custkey")
+    id = F.when(key % 97 == 0, " ").when(key % 5 == 0, F.concat(F.lit("C"), F.floor(key / 10).cast("string"))).otherwise(F.concat(F.lit("c"), key.cast("string")))
+    segment = F.when(key % 2 == 0, F.upper("c_mktsegment")).otherwise(F.col("c_mktsegment"))
+    file = F.trim(F.regexp_replace(F.concat(segment, F.lit(":"), (key % 600).cast("string")), "[:#]+", " "))
+    return catalogue.violations(t("customer").withColumn("id", id), "id", F.concat("c_mktsegment", F.floor(key / 3).cast("string")), file)
 
 
 @query("""
