@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dialoom.functions.scalars import joined
-from dialoom.operators import auditing, merging
+from dialoom.operators import auditing, merging, versions
 from dialoom.plans.registry import query
 
 _NAMES = "CASE CAST({0} AS BIGINT) % 7 WHEN 0 THEN 'Le' WHEN 1 THEN 'Und' WHEN 2 THEN 'narrator' WHEN 4 THEN 'Con' WHEN 5 THEN 'the' WHEN 6 THEN '' END"
@@ -181,3 +181,43 @@ SELECT c_nationkey, c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey
 def minting_places(t):
     clusters = t("customer").select("c_nationkey", "c_custkey", F.when(F.col("c_custkey") % 4 > 0, F.col("c_mktsegment")).alias("first"), F.col("c_name").alias("name"))
     return merging.minting_order(clusters, ["c_nationkey"]).select("c_nationkey", "c_custkey", "place")
+
+
+_S = lambda x: f"CAST({x} AS VARCHAR(20))"
+_B = lambda x: f"CASE WHEN {x} THEN 'true' ELSE 'false' END"
+_OLD = lambda x: f"'nationx' || translate({_S(x)}, '0123456789', 'abcdefghij')"
+_CANDIDATE = lambda x, y: f"""CASE WHEN k % 3 = 0 THEN '{{"characterId": "nation_' || {_S(x)} || '", ' ELSE '{{"name": "' || {_OLD(x)} || '", ' END || '"confidence": 0.' || {_S(y)} || '}}'"""
+#: An order as a line of a dialogue file, in SQL of both engines: ids in every third, names in the others.
+BODY = f"""'{{' || CASE WHEN k % 3 = 0 THEN '"characterId": ' || CASE WHEN k % 7 = 0 THEN 'null' WHEN k % 5 = 0 THEN '"Nation_' || {_S('c % 30')} || '"' ELSE '"nation_' || {_S('c % 30')} || '"' END
+  ELSE '"chosenSpeaker": ' || CASE k % 7 WHEN 0 THEN 'null' WHEN 1 THEN '"Narrator"' WHEN 2 THEN '"UNKNOWN"' ELSE '"' || {_OLD('c % 30')} || '"' END END
+  || ', "isNonSpeaker": ' || {_B('k % 11 = 0')} || ', "isConflict": ' || {_B('k % 13 = 0')} || ', "isReturning": ' || {_B('k % 2 = 0')} || ', "span": {{"start": ' || {_S('k % 4 * 3')} || ', "end": ' || {_S('k % 4 * 9')} || '}}, "candidates": ['
+  || CASE k % 4 WHEN 0 THEN '' WHEN 1 THEN {_CANDIDATE('k % 30', 'k % 10')} ELSE {_CANDIDATE('k % 30', 'k % 10')} || ', ' || {_CANDIDATE('c % 30', 'c % 10')} END || ']'
+  || CASE k % 9 WHEN 0 THEN ', "attribution": {{"confidence": 0.25, "resolutionStatus": "user_confirmed"}}' WHEN 1 THEN ', "attribution": {{"confidence": "0.5", "misattributionRisk": 0.125}}' WHEN 3 THEN ', "metadata": {{"customTags": {{"attribution": {{"confidence": 0.75}}}}}}' ELSE '' END || '}}'"""
+_IS_NUMBER = lambda path: f"CASE WHEN json_type(j, '{path}') IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN CAST(j->>'{path}' AS DOUBLE) END"
+
+
+@query(f"""
+WITH cast_ AS (SELECT lower(n_name) AS id, upper(n_name[1]) || translate(lower(n_name[2:]), '_ 0123456789', 'xyabcdefghij') AS name FROM nation),
+p AS (SELECT k, json_type(j, '$.characterId') IS NOT NULL AS new, j FROM (SELECT k, CAST({BODY} AS JSON) AS j FROM (SELECT o_orderkey AS k, o_custkey AS c FROM orders))),
+a AS (SELECT k, new, 0 AS n, CASE WHEN new THEN j->>'$.characterId' ELSE j->>'$.chosenSpeaker' END AS said, 0.0::DOUBLE AS conf FROM p
+  UNION ALL SELECT k, new, n, CASE WHEN new THEN x->>'$.characterId' ELSE x->>'$.name' END, CAST(x->>'$.confidence' AS DOUBLE) FROM (SELECT k, new, unnest(x) AS x, generate_subscripts(x, 1) AS n FROM (SELECT k, new, json_extract(j, '$.candidates[*]') AS x FROM p))),
+b AS (SELECT a.*, CASE WHEN new THEN coalesce(cast_.name, said) ELSE said END AS shown FROM a LEFT JOIN cast_ ON new AND cast_.id = lower(said)),
+d AS (SELECT b.*, CASE WHEN lower(shown) = 'unknown' THEN 'Unknown' ELSE coalesce(cast_.name, shown) END AS canon FROM b LEFT JOIN cast_ ON lower(cast_.name) = lower(shown)),
+m AS (SELECT k, max(shown) FILTER (n = 0) AS shown, max(canon) FILTER (n = 0) AS canon, count(*) FILTER (n > 0) AS offered, coalesce(string_agg(canon, ',' ORDER BY n) FILTER (n > 0), '') AS candidates,
+  coalesce(bool_or(n > 0 AND canon <> shown), false) AS moved, list_reverse_sort(list(conf) FILTER (n > 0)) AS best FROM d GROUP BY k),
+r AS (SELECT p.k, new, coalesce((j->>'$.isNonSpeaker') = 'true', false) AS ns, (j->>'$.isConflict') = 'true' AS conflict, (j->>'$.isReturning') = 'true' AS ret, CAST(j->>'$.span.start' AS BIGINT) AS s, CAST(j->>'$.span.end' AS BIGINT) AS e,
+    coalesce({_IS_NUMBER('$.attribution.confidence')}, CASE WHEN new AND json_type(j, '$.attribution') IS NULL THEN {_IS_NUMBER('$.metadata.customTags.attribution.confidence')} END) AS sure, {_IS_NUMBER('$.attribution.misattributionRisk')} AS known_risk, j->>'$.attribution.resolutionStatus' AS st,
+    offered, candidates, moved, best, canon, CASE WHEN NOT (coalesce((j->>'$.isNonSpeaker') = 'true', false) AND new) THEN shown END AS shown FROM p JOIN m USING (k)),
+q AS (SELECT *, coalesce(shown IS NOT NULL AND lower(shown) <> 'unknown', false) AS assigned FROM r), t AS (SELECT *, CASE WHEN offered > 0 THEN best[1] WHEN assigned THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS top FROM q),
+u AS (SELECT *, greatest(0.0::DOUBLE, top - coalesce(best[2], 0.0::DOUBLE)) AS margin,
+  CASE WHEN st = 'user_confirmed' THEN st WHEN NOT assigned THEN 'unknown' WHEN lower(shown) = 'narrator' AND offered = 0 THEN 'auto' WHEN offered > 0 AND top < 0.5::DOUBLE THEN 'unknown' ELSE 'auto' END AS status FROM t)
+SELECT k, CASE WHEN status = 'unknown' AND NOT ns THEN 'Unknown' WHEN NOT ns THEN canon END AS name, candidates, coalesce(sure, top) AS confidence, top, margin,
+  coalesce(known_risk, (1 - top) * 0.7::DOUBLE + (1 - margin) * 0.3::DOUBLE) AS risk, status, NOT ns AND (conflict OR status = 'unknown') AS conflict, ns AS non_speaker, ret AS returning_, CASE WHEN NOT (s = 0 AND e = 0) THEN s END AS start_, CASE WHEN NOT (s = 0 AND e = 0) THEN e END AS end_,
+  moved OR coalesce(status <> 'unknown' AND NOT ns AND canon <> shown, false) AS changed FROM u""")
+def normalized_orders(t):
+    """Orders as lines of dialogue files of several versions, read as one shape."""
+    names = F.initcap(F.translate(F.lower("n_name"), "_ 0123456789", "xyabcdefghij"))
+    cast = t("nation").select(F.col("n_nationkey").alias("ord"), F.lower("n_name").alias("id"), names.alias("name"), F.array().cast("array<string>").alias("aliases"))
+    lines = t("orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c")).select("k", F.expr(BODY).alias("body"))
+    found = versions.normalized_lines(lines, cast, ["k"]).withColumn("candidates", F.array_join(F.transform("candidates", lambda c: c["name"]), ","))
+    return found.withColumnsRenamed({"returning": "returning_", "start": "start_", "end": "end_"})
