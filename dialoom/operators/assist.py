@@ -23,7 +23,7 @@ ROLES = ("god", "goddess", "man", "mage", "old man", "primordial", "priest", "th
 NOBODY = ("unknown", "primordial")
 OWN_NAMES = (r"^you are speaking to\s+(.+?)(?:[,.!?]|$)", r"^i am\s+(.+?)(?:[,.!?]|$)", r"^this is\s+(.+?)(?:[,.!?]|$)")
 MENTION = r"\b(?:[A-Z][A-Za-z'’\-]*(?:\s+[A-Z][A-Za-z'’\-]*){0,3}|(?:the|a|an)\s+[A-Za-z][A-Za-z'’\-]*(?:\s+[A-Za-z][A-Za-z'’\-]*){0,5})\b"
-MENTION_EDGES, CONTINUES = " ,.;:!?()[]{}\"“”", (",", ":", ";", "-", "—")
+MENTION_EDGES = " ,.;:!?()[]{}\"“”"
 LEAST_IDENTITY, LEAST_LEAD, HELD, LEAST_LEARNED, SURE = 0.78, 0.08, 0.72, 0.75, 0.75
 LEAD_CHARACTERS, BACK, AHEAD, THRESHOLD = 180, 4, 2, 0.92
 PRONOUNS = ("he", "she", "they")
