@@ -17,6 +17,7 @@ column but the id and the text is read.
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -33,6 +34,9 @@ HOT = 1 << 16
 ID_BITS = 24
 TOKENS = "a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>"
 
+#: Fixed value: the pattern by which byte-level vocabularies of this kind cut texts.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 _LOADED: dict = {}
 
 
@@ -41,16 +45,18 @@ class _Sides:
 
     def __init__(self, a: str, b: bytes):
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.a = Tokenizer.from_str(a)
-        self.a.encode_special_tokens = True
-        self.a.no_truncation()
-        self.a.no_padding()
-        self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
         stands = {c: i for i, c in enumerate(byte_symbols())}
-        words = {i: t for t, i in self.a.get_vocab(with_added_tokens=False).items()}
-        self.a_bytes = [bytes(stands[c] for c in words.get(i, "")) for i in range(max(words) + 1)]
+        spec = json.loads(a)
+        special = {t["id"] for t in spec["added_tokens"]}
+        vocab = {bytes(stands[c] for c in t): i for t, i in spec["model"]["vocab"].items() if i not in special}
+        # such a vocabulary numbers tokens in the order in which they were merged
+        self.a = tiktoken.Encoding("a", pat_str=BYTE_LEVEL, mergeable_ranks=vocab, special_tokens={})
+        self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
+        self.a_bytes = [b""] * (1 + max(vocab.values()))
+        for t, i in vocab.items():
+            self.a_bytes[i] = t
         single = re.compile("<0x([0-9A-F]{2})>").fullmatch
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(hit[1], 16)]) if (hit := single(p)) else p.replace("▁", " ").encode() for p in pieces]
@@ -58,11 +64,10 @@ class _Sides:
 
     def encode(self, texts: list[str]) -> tuple[list, list]:
         """(ids, ends) per text and side, without tokens where either side's bytes differ from a blank and the text."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1)
         none = (np.zeros(0, np.int32), np.zeros(0, np.int32))
         out = ([], [])
-        for text, *ids in zip(texts, a, b):
+        for text, b in zip(texts, self.b.encode(texts, num_threads=1)):
+            ids = self.a.encode_ordinary(" " + text) if text else [], b
             raw = b" " + text.encode()
             same = text and all(b"".join(map(names.__getitem__, i)) == raw for names, i in zip((self.a_bytes, self.b_bytes), ids))
             for side, i, sizes in zip(out, ids, self.sizes):
@@ -96,9 +101,6 @@ def tokenised(docs: DataFrame, a_path: str | None = None, b_path: str | None = N
         files = spark.sparkContext.broadcast((a, f.read()))
 
     def run(batches):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         sides = _sides(*files.value)
         for batch in batches:
             for part in slices(batch, 1):
@@ -150,16 +152,16 @@ def links(marks: Column) -> Column:
     return F.zip_with(pieces(F.col("a_ids"), marks, 1), pieces(F.col("b_ids"), marks, 2), pair)
 
 
-def _sliced(ids: Column, marks: Column, side: int) -> Column:
+def _side_texts(ids: Column, marks: Column, side: int) -> Column:
     """Per group the side's ids, joined by commas."""
     own = F.filter(marks, lambda x: x.bitwiseAND(F.lit(side).cast("byte")) != 0)  # one per token, in order
-    text = lambda first, n: F.when(n == 1, F.get(ids, first).cast("string")).otherwise(F.array_join(F.slice(ids, first + 1, n).cast("array<string>"), ","))
-    return _with(own, lambda mine: _with(_places(mine, lambda x: x == 3), lambda at: _stretches(at, lambda k, first, n: text(first, n))))
+    ended = F.zip_with(ids, own, lambda i, m: F.concat(i.cast("string"), F.when(m == 3, ";").otherwise(",")))
+    return F.slice(F.split(F.array_join(ended, ""), ";"), 1, F.size(F.filter(marks, lambda x: x == 3)))
 
 
 def groups(marks: Column) -> Column:
     """array<string>: per group 'a1,a2|b1,b2', its ids in order."""
-    return F.zip_with(_sliced(F.col("a_ids"), marks, 1), _sliced(F.col("b_ids"), marks, 2), lambda a, b: F.concat(a, F.lit("|"), b))
+    return F.zip_with(_side_texts(F.col("a_ids"), marks, 1), _side_texts(F.col("b_ids"), marks, 2), lambda a, b: F.concat(a, F.lit("|"), b))
 
 
 def pair_counts(tokens: DataFrame) -> DataFrame:

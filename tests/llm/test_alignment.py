@@ -1,14 +1,11 @@
 """Token alignment against loops over the two libraries' own tokens."""
 
 import hashlib
-import os
 from collections import Counter
 
-import pytest
-
 from dialoom.llm import alignment, registry
 
-ODD = ["", None, " ", "\n\n\t x", "<|endoftext|> and <s> </s> <unk>", "a ▁ b", "naïve 日本語 😀 é", "x" * 5000, "\x00\x01", "ﬁ² ½", "a", "it's they'll 12345 !!! ...", "    code    here", "word " * 4000]
+ODD = ["", None, " ", "\n\n\t x", "<|endoftext|> and <s> </s> <unk>", "a ▁ b", "naïve 日本語 😀 é", "x" * 5000, "\x00\x01", "ﬁ² ½", "a", "it's they'll 12345 !!! ...", "    code    here", "word " * 4000, " lead and trail ", "tab\t x\n  y \n z\r\n ", "nb\u00a0sp \u2003 em\u3000 x", "a\x1c b\x85 c", "it 's 'tis  'S", "x ▁y z"]
 
 
 def encoded(texts):
