@@ -66,7 +66,7 @@ w AS (SELECT *, CASE WHEN {_SAYS('suf')} THEN 'after' WHEN {_SAYS('pre')} THEN '
 SELECT conv_id, idx, k, quote, position, verb, CASE WHEN lower(verb) IN ({', '.join(map(repr, cues.SPEECH))}) THEN 'speech' WHEN verb IS NOT NULL THEN 'attribution' END AS kind,
   coalesce((SELECT string_agg(name, ',' ORDER BY ord) FROM cast_ WHERE regexp_matches(quote, '(?i)\\b' || name || '\\b')), '') AS mentions
 FROM (SELECT *, {_VERB("CASE WHEN position = 'after' THEN suf ELSE pre END")} AS verb FROM w)""")
-def quote_units(t):
+def quoted_cues(t):
     """The quotations of a chapter's paragraphs with where their cues are, the cues' verbs, and whom they mention."""
     names = cast(t).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]).alias("names"))
     rows = chapters(t).join(F.broadcast(names))  # one row

@@ -14,6 +14,8 @@ def query(sql: str | None = None):
     """Enter a function of a table reader, t(name) -> DataFrame, under its own name."""
 
     def enter(build):
+        if build.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {build.__name__}")
         QUERIES[build.__name__] = lambda spark, sf_dir: build(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
         if sql:
             ORACLE_SQL[build.__name__] = sql
