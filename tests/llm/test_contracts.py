@@ -42,7 +42,7 @@ def components(nodes, links):
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = registry.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
