@@ -72,10 +72,10 @@ class Scratch:
         self.n += 1
         return f"{self.root}/{self.n:03d}-{name}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         path = self.path(name)
         with shuffles_dropped(self.spark):
-            df.write.parquet(path)
+            df.write.options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, df: DataFrame) -> None:

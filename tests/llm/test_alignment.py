@@ -97,3 +97,19 @@ def test_frequent_and_rare_pairs_agree(spark):
     tokens, scores = alignment.alignment(empty)
     assert tokens.count() == 0 and scores.count() == 0
     assert {"groups", "links", "a_ids", "b_ids", "marks"} <= set(tokens.columns)
+
+
+def test_blocks_and_words_that_recur(spark, monkeypatch):
+    """Words cut from texts have the tokens that whole texts have, with a memo that starts anew and blocks of a few texts."""
+    made = [f"{a}{s}{b}" for a in ("x", "it's", "12,5", "é日本", "a▁b", "\tt") for s in (" ", "  ", "\n", "\n ", " \n", "  ", " 　") for b in ("y", "Z.", "", " ", "ﬁ")]
+    sides = alignment._sides(*(open(p, mode).read() for p, mode in zip(alignment.default_paths(), ("r", "rb"))))
+    monkeypatch.setattr(alignment, "MEMO_WORDS", 20)
+    want = list(encoded(made))
+    for k in range(0, len(made), 7):
+        codes, words, a_ids, a_ends, b_ids, b_ends = sides.block(made[k : k + 7])
+        words = [0, *words.to_pylist()]
+        for text, (a, b) in zip(codes.to_pylist(), want[k : k + 7]):
+            for ids, ends, side in ((a_ids, a_ends, a), (b_ids, b_ends, b)):
+                held = list(zip(ids.to_pylist(), ends.to_pylist()))
+                assert [i for w in text for i, e in held if words[w] < e <= words[w + 1]] == [i for i, _ in side]
+    assert any(a for a, _ in want) and any(not a for a, _ in want)
