@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialoom.functions import text
-from dialoom.functions.scalars import ratio
+from dialoom.functions.scalars import let, ratio
 
 NARRATOR = "Narrator"
 NOISY = ("their", "those grooves", "the voice")  # fixed values: surfaces that are no names
+RUN = 6  # fixed value: words of a name on which it meets lines
 # Words that say nothing of a role, and titles that may lead one.
 STOPWORDS = ("a", "an", "and", "of", "the", "to", "with")
 TITLES = ("arch", "chief", "grand", "head", "high", "holy", "king", "lady", "lord", "queen", "sir")
@@ -60,17 +61,26 @@ def ingested(lines: DataFrame, known: DataFrame, noisy: tuple[str, ...] = NOISY)
     """(name, count_dialogue, count_mentions, first_seen) from lines (place, chapter, speaker, text) in the order of place.
 
     known (name, place, chapter) are names of a catalogue, place null for those that were there before all lines. A name
-    counts as mentioned, once a line, in lines from the place on where it is first known. Lines and names meet on the name's
-    first word, so that names without letters or digits are never mentioned.
+    counts as mentioned, once a line, in lines from the place on where it is first known. Lines and names meet on the name's words,
+    its first RUN where it has more, and a line's text meets all its names at once; names without letters or digits are never
+    mentioned.
     """
     said = lines.where(_spoken(F.col("speaker"))).select(F.col("speaker").alias("name"), "place", "chapter", F.lit(1).alias("said"))
     listed = known.select("name", F.coalesce("place", F.lit(-1)).alias("place"), "chapter", F.lit(0).alias("said"))
     rows = listed.unionByName(said).where((F.col("name") != "") & (F.col("name") != NARRATOR) & ~F.col("name").isin(*noisy))
     first = F.min(F.when(F.col("chapter").isNotNull(), F.struct("place", "chapter")))["chapter"]
     names = rows.groupBy("name").agg(F.sum("said").alias("count_dialogue"), first.alias("first_seen"), F.min("place").alias("since"))
-    words = lines.select("place", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)\w+"), F.lit(0)))).alias("word"))
-    sought = names.select("name", "since", F.regexp_extract("name", r"(?U)\w+", 0).alias("word"), F.concat(F.lit(r"(?U)\b\Q"), "name", F.lit(r"\E\b")).alias("pattern"))
-    met = words.join(sought, "word").where((F.col("place") >= F.col("since")) & F.rlike("text", F.col("pattern")))
+    words = lambda c: F.regexp_extract_all(c, F.lit(r"(?U)\w+"), F.lit(0))
+    run = lambda of, at, n: F.xxhash64(F.slice(of, at, n))
+    runs = lambda of, n: F.when(F.size(of) >= n, F.transform(F.sequence(F.lit(1), F.size(of) - n + 1), lambda at: run(of, at, n))).otherwise(F.array().cast("array<bigint>"))
+    sought = names.select("name", "since", words(F.col("name")).alias("w")).where(F.size("w") > 0).select("name", "since", F.least(F.size("w"), F.lit(RUN)).alias("n"), run(F.col("w"), F.lit(1), F.lit(RUN)).alias("run"))
+    sizes = sought.agg(F.collect_set("n").alias("sizes"))
+    every = let(words(F.col("text")), lambda of: F.array_distinct(F.flatten(F.transform("sizes", lambda n: runs(of, n)))))
+    held = lines.join(F.broadcast(sizes)).select("place", F.explode(every).alias("run"))  # one row
+    # what is exploded is far larger than Spark takes it for, and so never sent to all
+    met = held.join(sought.drop("n").hint("merge"), "run").where(F.col("place") >= F.col("since")).groupBy("place").agg(F.collect_set("name").alias("names"))
+    stands = lambda n: F.rlike(F.col("text"), F.concat(F.lit(r"(?U)\b\Q"), n, F.lit(r"\E\b")))
+    met = lines.select("place", "text").join(met.hint("merge"), "place").select(F.explode(F.filter("names", stands)).alias("name"))
     mentions = met.groupBy("name").agg(F.count("*").alias("count_mentions"))
     return names.join(mentions, "name", "left").select("name", "count_dialogue", F.coalesce("count_mentions", F.lit(0)).alias("count_mentions"), "first_seen")
 
