@@ -1,7 +1,7 @@
 """Catalogues and references carried over to curated characters: records merged by id, ids rewritten, and what is left stale.
 
-Ids meet their replacements by joins, so a catalogue, a map and the lines may be of any size; what is folded is one character's own
-distinct spellings.
+Ids meet their replacements by joins, so a catalogue, a map and the lines may be of any size; what is folded are the few names of one
+character that may take another's place.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dialoom.functions.scalars import let
+
 
 def _clean(text: Column) -> Column:
     return F.nullif(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), F.lit(""))
@@ -31,30 +33,33 @@ def combined_characters(records: DataFrame) -> DataFrame:
 
     A name of better casing, or as good and longer, takes the place of the one before it, which becomes an alias; other names are
     aliases, as are the records' own, each by its first spelling and none equal to the name. The latest of the best known genders
-    stays. Only a spelling's first place matters, so that is all that is gathered per id; a record without an id raises nothing and
-    is left out.
+    stays. What is folded per id are only the names that may take another's place: once a name was there, the one that stays is as
+    good as the least of its spellings at least. A record without an id raises nothing and is left out.
     """
     rows = records.select("ord", _clean(F.col("id")).alias("id"), _clean(F.col("name")).alias("name"), _clean(F.col("gender")).alias("gender"), "aliases").where("id IS NOT NULL")
     whole = rows.groupBy("id").agg(F.min("ord").alias("place"), F.count("*").alias("rows"), F.max_by("gender", F.struct(gender_quality(F.col("gender")), "ord")).alias("gender"))
-    told = F.concat(F.array(F.struct(F.lit(0).alias("kind"), F.col("name").alias("text"))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.struct(F.lit(1).alias("kind"), _clean(a).alias("text"))))
-    events = rows.select("id", "ord", F.posexplode(told).alias("k", "e")).where("e.text IS NOT NULL").groupBy("id", "e.kind", "e.text").agg(F.min(F.struct("ord", "k")).alias("at"))
-    events = events.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "kind", "text"))).alias("events"))
-    none = F.array().cast("array<string>")
-    begin = F.struct(F.lit(None).cast("string").alias("name"), none.alias("aliases"))
-    known = lambda s, x: F.exists(s["aliases"], lambda a: F.lower(a) == F.lower(x))
-    plus = lambda s, x: F.when(x.isNull() | known(s, x), s["aliases"]).otherwise(F.concat(s["aliases"], F.array(x)))
+    named = rows.where("name IS NOT NULL").select("id", "ord", "name", F.lower("name").alias("low"), name_quality(F.col("name")).alias("q"))
+    least = named.groupBy("id", "low").agg(F.min("ord").alias("ord"), F.min("q").alias("q")).groupBy("id", "q").agg(F.min("ord").alias("ord"))
+    least = least.groupBy("id").agg(F.collect_list(F.struct("ord", "q")).alias("least"))
+    held = named.join(least, "id").where(~F.exists("least", lambda x: (x["ord"] < F.col("ord")) & (x["q"] >= F.col("q"))))
+    held = held.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ord", "name", "low", "q"))).alias("held"))
+    first = F.struct(F.lit(None).cast("string").alias("low"), name_quality(F.lit(None).cast("string")).alias("q"), F.array().cast(f"array<struct<ord:{rows.schema['ord'].dataType.simpleString()},name:string>>").alias("made"))
 
     def step(s: Column, e: Column) -> Column:
-        better = name_quality(e["text"]) > name_quality(s["name"])
-        same = F.coalesce(F.lower(e["text"]) == F.lower(s["name"]), F.lit(False))
-        name = F.when((e["kind"] == 0) & ~same & better, e["text"]).otherwise(s["name"])
-        alias = F.when(e["kind"] == 1, e["text"]).when(~same & better, s["name"]).when(~same, e["text"])
-        return F.struct(name.alias("name"), plus(s, alias).alias("aliases"))
-
-    folded = F.aggregate("events", begin, step)
-    made = whole.join(events, "id", "left").select("id", "place", "gender", "rows", folded.alias("f"))
-    kept = F.filter("f.aliases", lambda a: F.coalesce(F.lower(a) != F.lower(F.col("f.name")), F.lit(True)))
-    return made.select("id", "place", F.col("f.name").alias("name"), "gender", F.coalesce(kept, none).alias("aliases"), "rows")
+        better = (e["q"] > s["q"]) & ~F.coalesce(e["low"] == s["low"], F.lit(False))
+        return F.when(better, F.struct(e["low"].alias("low"), e["q"].alias("q"), F.concat(s["made"], F.array(F.struct(e["ord"].alias("ord"), e["name"].alias("name")))).alias("made"))).otherwise(s)
+
+    #: made: the names of an id that took another's place, in order, from where on each was there
+    made = held.select("id", F.aggregate("held", first, step, lambda s: s["made"]).alias("made"))
+    last = F.try_element_at("made", F.lit(-1))["name"]
+    before = F.try_element_at(F.filter("made", lambda x: x < F.struct("ord", "name")), F.lit(-1))["name"]
+    took = F.exists("made", lambda x: x == F.struct("ord", "name"))
+    own = let(before, lambda old: F.when(took, old).when(~F.coalesce(F.lower("name") == F.lower(old), F.lit(False)), F.col("name")))
+    none = F.array().cast("array<string>")
+    told = rows.join(made, "id", "left").select("id", "ord", F.lower(last).alias("last"), F.posexplode(F.concat(F.array(own), F.transform(F.coalesce("aliases", none), _clean))).alias("k", "text"))
+    told = told.where("text IS NOT NULL AND (last IS NULL OR lower(text) <> last)").groupBy("id", F.lower("text").alias("low")).agg(F.min(F.struct("ord", "k", "text")).alias("a"))
+    told = told.groupBy("id").agg(F.transform(F.array_sort(F.collect_list("a")), lambda x: x["text"]).alias("aliases"))
+    return whole.join(made, "id", "left").join(told, "id", "left").select("id", "place", last.alias("name"), "gender", F.coalesce("aliases", none).alias("aliases"), "rows")
 
 
 def minting_order(clusters: DataFrame, group: list[str]) -> DataFrame:

@@ -1,9 +1,10 @@
 """What keeps queries whole and quick on large tables: plans without large broadcasts, and results where groups are large."""
 
-import duckdb
+import random
+import re
 
 from dialoom import plans
-from dialoom.operators import curation
+from dialoom.operators import curation, merging
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,3 +35,36 @@ def test_mentions_of_names_that_begin_alike(spark):
     wanted = {n: (0, 1) for n, _ in names} | {"old 9-man": (0, 0), "old 8 man of the very old house by the river": (0, 0), "(old 9)": (0, 0), "old": (0, 10)}
     # a line names its own speaker and the next line's, who is not yet known
     assert found == {f"old {i} man": (1, 1) for i in range(300)} | wanted | {"old 5 man": (1, 1)}
+
+
+def test_a_spelling_held_back_takes_the_name_later(spark):
+    # "Ann" may not replace "ann", but replaces "bobby" when it comes again
+    cells = [(1, "a", "ann"), (2, "a", "Ann"), (3, "a", "bobby"), (4, "a", "Ann"), (5, "a", "BOBBY"), (6, "a", "ANN")]
+    rows = spark.createDataFrame([(*c, None, None) for c in cells], "ord int, id string, name string, gender string, aliases array<string>")
+    assert [(r.name, r.aliases, r.rows) for r in merging.combined_characters(rows).collect()] == [("Ann", ["bobby"], 6)]
+
+
+def test_records_of_one_id_like_a_plain_fold(spark):
+    rng = random.Random(5)
+    names = ["ann", "Ann", "ANN", "aNN", "bobby", "Bobby", "BOBBY", "Cy", "cy", "Dee Smith", "dee smith", "Dee SMITH", "x-ray", None, " "]
+    cells = [(n, f"id{n % 7}", rng.choice(names[: 3 + n % 7 * 2]), None, [rng.choice(names), f"Other {n % 9}"]) for n in range(400)]
+    rows = spark.createDataFrame(cells, "ord int, id string, name string, gender string, aliases array<string>")
+
+    def casing(x):
+        title, upper, lower = x is not None and any(map(str.isupper, x)) and not re.search("[A-Za-z][A-Z]|(?<![A-Za-z])[a-z]", x), re.search("[A-Z]", x or ""), re.search("[a-z]", x or "")
+        return (3 if title else 2 if upper and lower else 1 if upper else 0, len(x or ""))
+
+    wanted = {}
+    for _, id, name, _, more in cells:
+        now, aliases = wanted.get(id, (None, []))
+        said = []
+        if (name or "").strip():
+            same = now is not None and now.lower() == name.lower()
+            better = not same and casing(name) > casing(now)
+            said = [now] if better else [] if same else [name]
+            now = name if better else now
+        for x in [*said, *(a for a in more if (a or "").strip())]:
+            if x and x.lower() not in [a.lower() for a in aliases]:
+                aliases = [*aliases, x]
+        wanted[id] = (now, aliases)
+    assert {r.id: (r.name, r.aliases) for r in merging.combined_characters(rows).collect()} == {i: (n, [a for a in al if a.lower() != n.lower()]) for i, (n, al) in wanted.items()}
