@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
 import difflib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from dialoom.functions.scalars import let
-from dialoom.operators.evaluation import paragraph_of_span
+from dialoom.operators.folding import folded
 
 # Quotation marks, also as they look after a wrong decoding.
 OPENING, CLOSING, MARKS = '["â€œ“]', '["â€”]', '["â€œ“”]'
@@ -28,40 +29,68 @@ def quote_keys(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(found, quote_key), lambda x: x != ""))
 
 
+def _near(starts: list, centre: float) -> slice:
+    """Where among sorted places that do not overlap the nearest to a centre are."""
+    n = bisect.bisect_right(starts, centre)
+    return slice(max(0, n - 2), n + 2)
+
+
+def _placed(doc: object, rows: list[tuple]) -> list[tuple]:
+    """Of one document's paragraphs, then lines: (doc, l, long, span_paragraph, rank, distance, idx) of each line."""
+    places, units, words = [], {}, {}
+    found: dict[str, tuple] = {}
+    begin, till, out = [], [], []
+    for kind, idx, start, end, text, quoted, l in rows:  # noqa: E741
+        if kind == 0:
+            for key in quoted or ():
+                units.setdefault(key, []).append(len(places))
+            for word in set(text.split(" ")):
+                words.setdefault(word, []).append(len(places))
+            places.append((start, end, idx, f" {text} "))
+            begin.append(start)
+            till.append(end)
+            continue
+        centre = (start + end) / 2 if start is not None and end is not None else None
+        away = lambda p, c=centre: 0.0 if c is None or p[0] <= c <= p[1] else min(abs(c - p[0]), abs(c - p[1]))
+        span = None
+        if centre is not None and places:
+            first = bisect.bisect_right(till, start)
+            span = places[first][2] if first < len(places) and begin[first] < end else min((away(p), p[2]) for p in places[_near(begin, centre)])[1]
+        if text and text not in found:
+            if text in units:
+                rank, at = 0, units[text]
+            else:
+                rank, at = 1, [n for n in min((words.get(w, ()) for w in text.split(" ")), key=len) if f" {text} " in places[n][3]]
+            found[text] = rank, at, [begin[n] for n in at]
+        rank, at, starts = found.get(text, (None, (), ()))
+        best = None, None, None
+        if at:
+            near = at if centre is None else at[_near(starts, centre)]
+            distance, _, idx = min((away(places[n]), abs(places[n][2] - span) if (span or 0) > 0 else 0, places[n][2]) for n in near)
+            best = rank, distance, idx
+        out.append((doc, l, len(text) >= 6, span, *best))
+    return out
+
+
 def resolved_lines(lines: DataFrame, paragraphs: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(doc, l, paragraph, method, confidence, span_paragraph, distance) for lines (doc, l, start, end, text), l being unique in doc.
 
     A paragraph (doc, idx, start, end, text) that quotes the line goes before one that holds its words, and both before the one
-    at its span; among equals the nearest to the span's centre. A line meets paragraphs on whole quotations, and on the word of
-    its own that the fewest of the document's paragraphs have.
+    at its span, the first that the span meets or else the nearest; among equals the nearest to the span's centre. Paragraphs do
+    not overlap. A document's paragraphs are one group, in which a line meets those that have the word of its own that the fewest have.
     """
-    said = lines.select(doc, "l", "start", "end", quote_key(F.col("text")).alias("key"))
-    spanned = paragraph_of_span(said.where("start IS NOT NULL AND end IS NOT NULL").select(doc, "l", "start", "end"), paragraphs, doc).select(doc, "l", F.col("paragraph").alias("span_paragraph"))
-    said = said.join(spanned, [doc, "l"], "left")
-    places = paragraphs.select(doc, "idx", F.col("start").alias("from"), F.col("end").alias("to"), quote_key(F.col("text")).alias("body"), quote_keys(F.col("text")).alias("units"))
-
-    quoted = said.where("key <> ''").join(places.select(doc, "idx", "from", "to", F.explode("units").alias("key")), [doc, "key"]).withColumn("rank", F.lit(0))
-    words = places.select(doc, "idx", "from", "to", "body", F.explode(F.array_distinct(F.split("body", " "))).alias("word")).where("word <> ''")
-    common = words.groupBy(doc, "word").agg(F.count("*").alias("n"))
-    rest = said.where("key <> ''").join(quoted.select(doc, "l").distinct(), [doc, "l"], "left_anti")
-    own = rest.select(doc, "l", F.explode(F.array_distinct(F.split("key", " "))).alias("word")).join(common, [doc, "word"])
-    rare = own.groupBy(doc, "l").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
-    padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    held = rest.join(rare, [doc, "l"]).join(words, [doc, "word"]).where(F.contains(padded(F.col("body")), padded(F.col("key")))).withColumn("rank", F.lit(1))
-
-    columns = [doc, "l", "start", "end", "key", "span_paragraph", "idx", "from", "to", "rank"]
-    found = quoted.select(*columns).unionByName(held.select(*columns))
-    centre = (F.col("start") + F.col("end")) / 2
-    away = F.when(centre.between(F.col("from"), F.col("to")), 0.0).otherwise(F.least(F.abs(centre - F.col("from")), F.abs(centre - F.col("to"))))
-    # a span in the first paragraph does not break ties
-    steps = F.when(F.col("span_paragraph") > 0, F.abs(F.col("idx") - F.col("span_paragraph"))).otherwise(0)
-    best = found.groupBy(doc, "l").agg(F.min(F.struct("rank", F.coalesce(away, F.lit(0.0)).alias("distance"), steps.cast("long").alias("steps"), F.col("idx").cast("long").alias("idx"))).alias("b"))
-    rows = said.join(best, [doc, "l"], "left")
-    moved = F.when(F.col("b.idx") != F.col("span_paragraph"), "_span_corrected").otherwise("")
-    by_span = F.col("span_paragraph").isNotNull()
-    method = F.when(F.col("b.rank") == 0, F.concat(F.lit("quote_unit"), moved)).when(F.col("b.rank") == 1, F.concat(F.lit("quote_text"), moved)).when(by_span, "span_fallback").otherwise("unresolved")
-    sure = F.when((F.col("b.rank") == 0) | (F.length("key") >= 6) & F.col("b").isNotNull(), 1.0).when(F.col("b").isNotNull(), 0.92).when(by_span, 0.45).otherwise(0.0)
-    return rows.select(doc, "l", F.coalesce("b.idx", "span_paragraph").alias("paragraph"), method.alias("method"), sure.alias("confidence"), "span_paragraph", F.coalesce("b.distance", F.when(by_span, 0.0)).alias("distance"))
+    number = lambda c: F.col(c).cast("double").alias(c)
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    places = paragraphs.where(F.col(doc).isNotNull()).select(doc, F.lit(0).alias("kind"), F.col("idx").cast("long").alias("idx"), number("start"), number("end"), quote_key(F.col("text")).alias("text"), quote_keys(F.col("text")).alias("units"), none(lines.schema["l"].dataType, "l"))
+    asked = lines.select(doc, F.lit(1).alias("kind"), none("long", "idx"), number("start"), number("end"), quote_key(F.col("text")).alias("text"), none("array<string>", "units"), "l")
+    fields = ("long", BooleanType()), ("span_paragraph", LongType()), ("rank", IntegerType()), ("distance", DoubleType()), ("idx", LongType())
+    kind = StructType([lines.schema[doc], lines.schema["l"], *(StructField(*f) for f in fields)])
+    rows = folded(places.unionByName(asked), doc, ["kind", "start", "idx"], _placed, kind)
+    found, by_span = F.col("rank").isNotNull(), F.col("span_paragraph").isNotNull()
+    moved = F.when(F.col("idx") != F.col("span_paragraph"), "_span_corrected").otherwise("")
+    method = F.when(F.col("rank") == 0, F.concat(F.lit("quote_unit"), moved)).when(F.col("rank") == 1, F.concat(F.lit("quote_text"), moved)).when(by_span, "span_fallback").otherwise("unresolved")
+    sure = F.when((F.col("rank") == 0) | F.col("long") & found, 1.0).when(found, 0.92).when(by_span, 0.45).otherwise(0.0)
+    return rows.select(doc, "l", F.coalesce("idx", "span_paragraph").alias("paragraph"), method.alias("method"), sure.alias("confidence"), "span_paragraph", F.coalesce("distance", F.when(by_span, 0.0)).alias("distance"))
 
 
 BLOCKS = ArrayType(StructType([StructField(name, IntegerType()) for name in ("at", "there", "n")]))

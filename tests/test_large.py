@@ -4,7 +4,7 @@ import random
 import re
 
 from dialoom import plans
-from dialoom.operators import curation, merging
+from dialoom.operators import curation, merging, placing
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,3 +68,39 @@ def test_records_of_one_id_like_a_plain_fold(spark):
                 aliases = [*aliases, x]
         wanted[id] = (now, aliases)
     assert {r.id: (r.name, r.aliases) for r in merging.combined_characters(rows).collect()} == {i: (n, [a for a in al if a.lower() != n.lower()]) for i, (n, al) in wanted.items()}
+
+
+def test_lines_meet_paragraphs_like_plain_loops(spark):
+    rng = random.Random(3)
+    places, lines = [], []
+    for doc in range(12):
+        at = 0
+        for idx in range(doc * 6):
+            body = rng.choice(["same words here", "“a b” c", "a b c", "c a b", "b", f"only {idx} here", "“c” and “a b”"])
+            places.append((doc, idx, at, at + len(body), body))
+            at += len(body) + rng.choice([0, 1, 5])
+        for n in range(doc * 5 + 3):
+            start = rng.randrange(at + 9)
+            lines.append((doc, n, *((start, start + rng.randrange(9)) if n % 5 else (None, None)), rng.choice(["Same words", "a b", "c", "b", f"only {n}", "none", "words, here!"])))
+    key = lambda x: " ".join(re.sub("[“”]", "", x.lower()).replace(",", " ").replace("!", " ").split())
+    made = placing.resolved_lines(spark.createDataFrame(lines, "d int, l int, start int, end int, text string"), spark.createDataFrame(places, "d int, idx int, start int, end int, text string"), "d").collect()
+    assert len(made) == len(lines)
+    for r, (_, _, start, end, text) in zip(sorted(made, key=lambda r: (r.d, r.l)), lines):
+        said, spot = key(text), r.span_paragraph
+        near = lambda p: 0.0 if start is None or p[2] <= (start + end) / 2 <= p[3] else min(abs((start + end) / 2 - p[2]), abs((start + end) / 2 - p[3]))
+        held = [(said not in map(key, re.findall("“(.+?)”", p[4])), near(p), abs(p[1] - spot) if (spot or 0) > 0 else 0, p[1]) for p in places if p[0] == r.d and f" {said} " in f" {key(p[4])} "]
+        if held:
+            plain, distance, _, idx = min(held)
+            assert (r.paragraph, r.distance, r.method.split("_span")[0]) == (idx, distance, "quote_text" if plain else "quote_unit")
+        else:
+            assert r.paragraph == spot and r.method in ("span_fallback", "unresolved")
+
+
+def test_line_paragraphs_writes_no_paragraph_once_per_word(spark):
+    text = " ".join(f"w{k}" for k in range(3000))
+    places = spark.createDataFrame([(1, 0, 0, len(text), text)], "doc_id int, idx int, start int, end int, text string")
+    lines = spark.createDataFrame([(1, 0, 0, 5, "w7 w8")], "doc_id int, l int, start int, end int, text string")
+    found = placing.resolved_lines(lines, places)
+    assert [(r.paragraph, r.method) for r in found.collect()] == [(0, "quote_text")]
+    # no plan may hold a paragraph's text beside each of its words
+    assert not re.search(r"Generate explode\(.*split\(", found._jdf.queryExecution().executedPlan().toString())
