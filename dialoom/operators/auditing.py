@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from dialoom.functions.cues import _quoted, normal
+from dialoom.operators.folding import folded
 
 PREFIX, REACH = 20, 300
 # Names of narration, and of a voice that tells of itself.
@@ -47,42 +48,51 @@ def audited_lines(curated: DataFrame, parsed: DataFrame, key, doc: str = "doc_id
     return found.select(*columns).join(seen, [doc, "i"], "left")
 
 
-def rename_plans(clips: DataFrame, existing: DataFrame, folder: str, least_score: float = 0.0, mismatches: bool = False) -> DataFrame:
+def rename_plans(clips: DataFrame, existing: DataFrame | Column, folder: str, least_score: float = 0.0, mismatches: bool = False) -> DataFrame:
     """clips (folder, i, source, destination, status, expected, best, score) and existing (folder, name) -> folder, i, source, destination, outcome, safe.
 
     In order of i, a flagged clip is planned to move where its best line's clip belongs, unless it is there already (in_place), scores
     too low, has no file, or shares its source or destination with an earlier planned one. A planned move onto a file that is not
     itself to be moved is taken. safe tells whether a planned move stays possible when those that are taken stay where they
-    are: chains of moves that end at such a file are not, cycles are. A folder is one group of names.
+    are: chains of moves that end at such a file are not, cycles are. A folder is one group of names. Where the clips' sources are all
+    the files there are, existing is the condition on clips whose source is there.
     """
     flagged = F.col("status").isin("likely_wrong_line", *(["mismatch"] if mismatches else []))
-    files = existing.groupBy(folder).agg(F.collect_set("name").alias("_files"))
-    rows = clips.where(flagged).select(folder, "i", "source", "destination", "expected", "best", F.col("score").cast("double").alias("score")).join(files, folder, "left")
+    score = F.nanvl(F.col("score").cast("double"), F.lit(None))
+    known = F.col("source").isNotNull() & F.col("destination").isNotNull() & F.col("expected").isNotNull() & F.col("best").isNotNull() & score.isNotNull()
+    refused = F.when(~known, "invalid").when(score < least_score, "low_score")
+    here = existing if isinstance(existing, Column) else F.lit(False)
+    rows = clips.select(
+        folder, F.col("i").cast("long").alias("i"), "source", "destination", F.coalesce(flagged, F.lit(False)).alias("flagged"), refused.alias("refused"), (F.col("expected") == F.col("best")).alias("in_place"), (here & F.col(folder).isNotNull() & F.col("source").isNotNull()).alias("here")
+    ).where("flagged OR here")
+    if not isinstance(existing, Column):
+        none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+        files = existing.where(F.col(folder).isNotNull() & F.col("name").isNotNull())
+        rows = rows.unionByName(files.select(folder, none("long", "i"), F.col("name").alias("source"), none("string", "destination"), F.lit(False).alias("flagged"), none("string", "refused"), none("boolean", "in_place"), F.lit(True).alias("here")))
+    schema = StructType([rows.schema[folder], *(StructField(*f) for f in (("i", LongType()), ("source", StringType()), ("destination", StringType()), ("outcome", StringType()), ("safe", BooleanType())))])
+    return folded(rows, folder, ["i"], _planned, schema)
 
-    def plan(clips: pd.DataFrame) -> pd.DataFrame:
-        of = clips.sort_values("i").to_dict("records")
-        held = set(of[0]["_files"] if of[0]["_files"] is not None else ())
-        moves: dict[str, str] = {}
-        taken: set[str] = set()
-        out = {}
-        for c in of:
-            known = c["source"] is not None and c["destination"] is not None and not pd.isna(c["expected"]) and not pd.isna(c["best"])
-            refused = (
-                "invalid" if not known or pd.isna(c["score"]) else "low_score" if c["score"] < least_score else "missing_source" if c["source"] not in held else "in_place" if c["expected"] == c["best"]
-                else "duplicate_source" if c["source"] in moves else "duplicate_destination" if c["destination"] in taken else None
-            )
-            if refused is None:
-                moves[c["source"]] = c["destination"]
-                taken.add(c["destination"])
-            out[c["i"]] = refused or "planned"
-        blocked = {s for s, d in moves.items() if d in held and d != s and d not in moves}
-        stuck = set(blocked)
-        into = {d: s for s, d in moves.items()}
-        for s in blocked:  # whatever would follow into a place that is not left
-            while (s := into.get(s)) is not None and s not in stuck:
-                stuck.add(s)
-        done = lambda c: "taken" if out[c["i"]] == "planned" and c["source"] in blocked else out[c["i"]]
-        return pd.DataFrame([(c[folder], c["i"], c["source"], c["destination"], done(c), done(c) == "planned" and c["source"] not in stuck) for c in of], columns=[folder, "i", "source", "destination", "outcome", "safe"])
 
-    kind = rows.schema[folder].dataType.simpleString()
-    return rows.groupBy(folder).applyInPandas(plan, f"{folder} {kind}, i long, source string, destination string, outcome string, safe boolean")
+def _planned(folder: object, rows: list[tuple]) -> list[tuple]:
+    """Of one folder's clips and files, (folder, i, source, destination, outcome, safe) of each clip that is flagged."""
+    held = {r[1] for r in rows if r[6]}
+    moves: dict[str, str] = {}
+    into: dict[str, str] = {}
+    out = []
+    for i, source, destination, flagged, refused, in_place, _ in rows:
+        if not flagged:
+            continue
+        if refused is None:
+            refused = "missing_source" if source not in held else "in_place" if in_place else "duplicate_source" if source in moves else "duplicate_destination" if destination in into else None
+        if refused is None:
+            moves[source] = destination
+            into[destination] = source
+        out.append((folder, i, source, destination, refused or "planned", refused is None))
+    blocked = {s for s, d in moves.items() if d in held and d != s and d not in moves}
+    if not blocked:
+        return out
+    stuck = set(blocked)
+    for s in blocked:  # whatever would follow into a place that is not left
+        while (s := into.get(s)) is not None and s not in stuck:
+            stuck.add(s)
+    return [(*r[:4], "taken" if r[5] and r[2] in blocked else r[4], r[5] and r[2] not in stuck) for r in out]

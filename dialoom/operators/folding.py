@@ -4,18 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 ROWS = 8192  # rows of a batch that is handed back
 
 
+def _cells(column: pa.Array) -> list:
+    if pa.types.is_nested(column.type) or column.null_count and not pa.types.is_string(column.type):
+        return column.to_pylist()
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def folded(rows: DataFrame, group: str, order: list[str], fold: Callable[[object, list[tuple]], Iterable[tuple]], schema: StructType) -> DataFrame:
     """Rows of schema that fold(key, rows) gives for each group, whose rows come as tuples without the group and in order.
 
     A task's groups follow one another in sorted partitions, so that a group costs no call of its own; one group is held at a time.
+    Rows that are dealt by the group already are not dealt again.
     """
     columns = [c for c in rows.columns if c != group]
     kinds = [(f.name, to_arrow_type(f.dataType)) for f in schema]
@@ -24,28 +33,24 @@ def folded(rows: DataFrame, group: str, order: list[str], fold: Callable[[object
         return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, (_, t) in zip(zip(*out), kinds)], names=[n for n, _ in kinds])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        key, held, out, begun = None, [], [], False
+        key, held, out = None, [], []
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            cells = list(zip(*(c.to_pylist() for c in batch.columns[1:])))
+            keys = _cells(batch.column(0))
+            cells = list(zip(*map(_cells, batch.columns[2:])))
             at = 0
-            while at < len(keys):
-                if not begun or keys[at] != key:
-                    if begun:
-                        out.extend(fold(key, held))
-                    key, held, begun = keys[at], [], True
-                    if len(out) >= ROWS:
-                        yield made(out)
-                        out = []
-                end = at + 1
-                while end < len(keys) and keys[end] == key:
-                    end += 1
-                held.extend(cells[at:end])
-                at = end
-        if begun:
+            for begin in np.flatnonzero(batch.column(1).to_numpy() == 1).tolist():
+                held.extend(cells[at:begin])
+                if held:
+                    out.extend(fold(key, held))
+                key, held, at = keys[begin], [], begin
+                if len(out) >= ROWS:
+                    yield made(out)
+                    out = []
+            held.extend(cells[at:])
+        if held:
             out.extend(fold(key, held))
         if out:
             yield made(out)
 
-    dealt = rows.select(group, *columns).repartition(group).sortWithinPartitions(group, *order)
-    return dealt.mapInArrow(run, schema)
+    number = F.row_number().over(Window.partitionBy(group).orderBy(*order)).alias("_n")
+    return rows.select(group, number, *columns).mapInArrow(run, schema)

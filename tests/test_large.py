@@ -4,7 +4,7 @@ import random
 import re
 
 from dialoom import plans
-from dialoom.operators import curation, merging, placing
+from dialoom.operators import auditing, curation, merging, placing
 
 SF = "/root/testdata/sf0.001"
 
@@ -104,3 +104,18 @@ def test_line_paragraphs_writes_no_paragraph_once_per_word(spark):
     assert [(r.paragraph, r.method) for r in found.collect()] == [(0, "quote_text")]
     # no plan may hold a paragraph's text beside each of its words
     assert not re.search(r"Generate explode\(.*split\(", found._jdf.queryExecution().executedPlan().toString())
+
+
+def test_small_folders_cost_no_call_of_their_own(spark):
+    clip = "d int, i long, source string, destination string, status string, expected int, best int, score double"
+    clips = spark.createDataFrame([(d, n, s, t, "likely_wrong_line", 1, 2, 0.9) for d in range(500) for n, (s, t) in enumerate([("a", "b"), ("b", "c"), ("c", "x"), ("e", "b")])] + [(None, 0, "a", "b", "likely_wrong_line", 1, 2, 0.9)], clip)
+    existing = spark.createDataFrame([(d, f) for d in range(500) for f in ("a", "b", "c", "e", "x")[: 4 + d % 2]] + [(None, "a")], "d int, name string")
+    found = auditing.rename_plans(clips, existing, "d")
+    by = {}
+    for r in found.orderBy("d", "i").collect():
+        by.setdefault(r.d, []).append((r.outcome, r.safe))
+    moved = [("planned", True)] * 3 + [("duplicate_destination", False)]
+    stopped = [("planned", False)] * 2 + [("taken", False), ("duplicate_destination", False)]
+    assert by == {d: stopped if d % 2 else moved for d in range(500)} | {None: [("missing_source", False)]}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
