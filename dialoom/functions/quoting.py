@@ -124,10 +124,11 @@ def attribution_cue(text: Column, names: Column) -> Column:
     return let(_blanks(text), of)
 
 
-def quote_structure(text: Column, names: Column) -> Column:
-    """Array of (k, quote, position, verb, kind, cue, surface, name, mentions, addressed, first, last): the quotations of a paragraph.
+def quote_structure(text: Column, names: Column, inside: bool = True) -> Column:
+    """Array of (k, quote, position, verb, kind, cue, surface, name[, mentions, addressed, first, last]): the quotations of a paragraph.
 
     A quotation may run over lines. Its cue is what follows it up to the next one, if that says anything, else what leads to it.
+    What is inside the quotation itself, the fields from mentions on, takes a pattern per name and is left out if not wanted.
     """
     body = F.coalesce(text, F.lit(""))
     quoted, around = F.regexp_extract_all(body, F.lit(QUOTE), F.lit(1)), F.split(body, QUOTE, -1)
@@ -140,10 +141,8 @@ def quote_structure(text: Column, names: Column) -> Column:
             place = F.when(says(behind), "after").when(says(ahead), "before").otherwise("none")
             said = _blanks(q)
             fields = [cue[n].alias(m) for n, m in (("verb", "verb"), ("kind", "kind"), ("text", "cue"), ("surface", "surface"), ("name", "name"))]
-            return F.struct(
-                k.alias("k"), said.alias("quote"), place.alias("position"), *fields, cues.explicit_mentions(said, names).alias("mentions"),
-                cues.addressed(sentence(said, True), names).alias("addressed"), sentence(said, False).alias("first"), sentence(said, True).alias("last"),
-            )
+            own = [cues.explicit_mentions(said, names).alias("mentions"), cues.addressed(sentence(said, True), names).alias("addressed"), sentence(said, False).alias("first"), sentence(said, True).alias("last")]
+            return F.struct(k.alias("k"), said.alias("quote"), place.alias("position"), *fields, *(own if inside else []))
 
         return let(F.array(attribution_cue(F.get(stretches, k), names), attribution_cue(F.get(stretches, k + 1), names)), of)
 

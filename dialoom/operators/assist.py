@@ -7,14 +7,17 @@ fold per chapter over names and flags, without texts.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from dialoom.functions import cues, quoting
 from dialoom.functions.scalars import clamped, let
 from dialoom.functions.text import character_name
 from dialoom.operators.curation import role_label, surface_identities
+from dialoom.operators.folding import folded
 from dialoom.operators.placing import quote_key
 
 # Nouns of roles that name nobody, ids that stand for nobody, what a speaker says of itself, where a mention may stand,
@@ -93,7 +96,7 @@ def paragraph_evidence(paragraphs: DataFrame, names: Column, surfaces: Column, d
     who = lambda c: F.when(_is_pronoun(c["surface"]) | c["surface"].isNull(), c["name"]).otherwise(c["surface"])
     told = let(cue, lambda c: F.struct(role_label(who(c)).alias("who"), c["verb"].isNotNull().alias("verb")))
     of = paragraphs.select(
-        doc, "idx", "text", F.transform(quoting.quote_structure(F.col("text"), names), _unit).alias("units"), told.alias("told"),
+        doc, "idx", "text", F.transform(quoting.quote_structure(F.col("text"), names, inside=False), _unit).alias("units"), told.alias("told"),
         ((F.trim("text") != "") & ~F.col("text").rlike('["“]')).alias("plain"), mentions(F.col("text")).alias("mentions"), mentions(F.substring("text", 1, LEAD_CHARACTERS)).alias("lead"),
     )
     near = Window.partitionBy(doc).orderBy("idx")
@@ -132,17 +135,29 @@ def evidence(lines: DataFrame, paragraphs: DataFrame, names: Column, surfaces: C
         F.struct(F.try_element_at("before.units", F.lit(-1)).alias("unit"), F.col("before.who"), some(vague, F.col("before.mentions")).alias("mentions")).alias("before"),
         F.struct(F.get("after.units", F.lit(0)).alias("unit"), F.coalesce(F.size("after.units"), F.lit(0)).alias("n"), F.col("after.who"), F.col("after.verb"), F.col("after.plain"), some(vague, F.col("after.mentions")).alias("mentions")).alias("after"),
         F.when(vague, F.col("earlier")).alias("earlier"),
-    )
+    ).withColumn("asked", _asked())
 
 
-def _asked(rows: DataFrame, doc: str) -> DataFrame:
-    """(doc, surface): every surface that a rule may ask for."""
+def _asked() -> Column:
+    """Every surface of a line that a rule may ask for."""
     of_units = F.flatten(F.transform("units", lambda u: F.concat(u["tries"], u["own"])))
     one = lambda c: F.coalesce(F.concat(F.col(f"{c}.tries"), F.col(f"{c}.own")), F.array().cast("array<string>"))
     turns = F.flatten(F.transform("next", lambda x: x["own"]))
     lists = [of_units, one("unit"), one("before.unit"), one("after.unit"), turns, "others", "before.mentions", "after.mentions", F.flatten(F.filter("earlier", lambda x: x.isNotNull()))]
     lists = [F.coalesce(x, F.array().cast("array<string>")) for x in lists]
-    return rows.select(doc, F.explode(F.array_distinct(F.concat(*lists, F.array("before.who", "after.who")))).alias("surface")).where("surface <> ''").distinct()
+    return F.array_distinct(F.filter(F.concat(*lists, F.array("before.who", "after.who")), lambda x: x != ""))
+
+
+def _surfaces(rows: DataFrame, doc: str) -> DataFrame:
+    """(doc, surface) of what the lines ask for; takes whole rows, so that Spark works them out once for this and for the fold."""
+
+    def run(batches):
+        for batch in batches:
+            docs = batch.column(doc)
+            asked = batch.column("asked")
+            yield pa.RecordBatch.from_arrays([docs.take(pc.list_parent_indices(asked)), pc.list_flatten(asked)], names=[doc, "surface"])
+
+    return rows.mapInArrow(run, f"{doc} {rows.schema[doc].dataType.simpleString()}, surface string").distinct()
 
 
 def identities(rows: DataFrame, characters: DataFrame, memory: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -150,7 +165,7 @@ def identities(rows: DataFrame, characters: DataFrame, memory: DataFrame, doc: s
 
     memory (doc, surface, id, name) has what the chapters themselves explain; it goes before the catalogue.
     """
-    asked = _asked(rows, doc)
+    asked = _surfaces(rows, doc)
     found = surface_identities(asked.select("surface"), characters, characters.select(F.col("name").alias("surface"), "id", "name").limit(0))
     two = found.groupBy("surface").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "name", "id")), asc=False), 1, 2).alias("t"))
     clear = (F.col("t")[0]["score"] >= LEAST_IDENTITY) & (F.coalesce(F.get("t", F.lit(1))["score"], F.lit(-1.0)) < F.col("t")[0]["score"] - LEAST_LEAD)
@@ -255,8 +270,10 @@ def assisted(rows: DataFrame, known: DataFrame, doc: str = "doc_id", threshold:
     chapter is one group of names and flags. A line that no rule decides is left for review with its own speaker.
     """
 
-    def fold(chapter: pd.DataFrame, named: pd.DataFrame) -> pd.DataFrame:
-        static = {r["surface"]: r for r in named.to_dict("records")}
+    columns = [c for c in rows.columns if c != doc]  # all of them, as identities() takes them too
+
+    def fold(chapter: object, lines: list[tuple]) -> list[tuple]:
+        static = {r["surface"]: r for r in lines[0][-1] or ()}
         told: dict[str, tuple] = {}
         out = []
 
@@ -267,17 +284,20 @@ def assisted(rows: DataFrame, known: DataFrame, doc: str = "doc_id", threshold:
             x = (*told[surface], 0.99) if surface in told else (r["id"], r["name"], r["score"])
             return x if x[0] and not (_nobody(x[0]) and r["generic"]) else None
 
-        for line in chapter.sort_values("i").to_dict("records"):
+        for cells in lines:
+            line = dict(zip(columns, cells))
             result = _result(line, _suggested(line, look), threshold)
-            out.append((line[doc], line["i"], line["speaker"], *result))
+            out.append((chapter, line["i"], line["speaker"], *result))
             if result[2] != "needs_review" and result[4] >= LEAST_LEARNED and result[0] and line["unit"] and line["unit"]["key"]:
                 told[line["unit"]["key"]] = result[:2]
-        return pd.DataFrame(out, columns=[doc, "i", "speaker", "suggested", "name", "action", "disposition", "confidence", "reasons"])
+        return out
 
     kind = rows.schema[doc].dataType.simpleString()
-    schema = f"{doc} {kind}, i int, speaker string, suggested string, name string, action string, disposition string, confidence double, reasons array<string>"
-    named = known.select(F.col(doc).alias("_doc"), "surface", "id", "name", "score", "generic")  # a name of its own, as both come from the same rows
-    return rows.groupBy(doc).cogroup(named.groupBy("_doc")).applyInPandas(fold, schema)
+    schema = StructType.fromDDL(f"{doc} {kind}, i int, speaker string, suggested string, name string, action string, disposition string, confidence double, reasons array<string>")
+    named = known.select(F.col(doc).alias("_doc"), F.struct("surface", "id", "name", "score", "generic").alias("n")).groupBy("_doc").agg(F.collect_list("n").alias("_named"))  # a name of its own, as both come from the same rows
+    first = F.row_number().over(Window.partitionBy(doc).orderBy("i")) == 1
+    both = rows.join(named.hint("merge"), F.col(doc) == F.col("_doc"), "left")
+    return folded(both.select(doc, *columns, F.when(first, F.col("_named")).alias("_named")), doc, ["i"], fold, schema)
 
 
 def assist(lines: DataFrame, paragraphs: DataFrame, characters: DataFrame, memory: DataFrame, doc: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
@@ -291,7 +311,7 @@ def assist(lines: DataFrame, paragraphs: DataFrame, characters: DataFrame, memor
     )
     placed = paragraphs.join(F.broadcast(cast))  # one row
     named = lines.join(characters.groupBy(F.col("id").alias("speaker")).agg(F.min_by("name", "ord").alias("name")), "speaker", "left")
-    rows = evidence(named, placed, F.col("_names"), F.col("_surfaces"), doc)
+    rows = evidence(named, placed, F.col("_names"), F.col("_surfaces"), doc).repartition(doc)
     return assisted(rows, identities(rows, characters, memory, doc), doc, threshold)
 
 

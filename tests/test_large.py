@@ -3,7 +3,10 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from dialoom import plans
+from dialoom.functions import cues
 from dialoom.operators import auditing, curation, merging, placing
 
 SF = "/root/testdata/sf0.001"
@@ -119,3 +122,21 @@ def test_small_folders_cost_no_call_of_their_own(spark):
     assert by == {d: stopped if d % 2 else moved for d in range(500)} | {None: [("missing_source", False)]}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
+def test_assist_works_its_evidence_out_once_and_folds_without_a_call_per_chapter(spark):
+    df = plans.QUERIES["assisted_lines"](spark, SF)
+    assert df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "FlatMapCoGroups" not in plan and plan.count("MapInArrow") >= 2
+    # the lines are dealt by chapter once; what asks for surfaces reads the same exchange again
+    assert len([x for x in plan.split("\n") if "REPARTITION_BY_COL" in x and "ReusedExchange" not in x]) == 1
+
+
+def test_speakers_among_names_that_a_text_may_hold(spark):
+    names = ["Ann", "Bo", "Ann Lee", "D'Arc", " ", None, "Mc-Coy", "ann", "Zoë", "No.1"]
+    texts = ["Ann said.", "said bo", "Ann Lee began, and said Bo", "D'ARC replied to Bo", "Mc Coy asked", "Bo and Ann", "“Hm.” Zoë finished.", "No 1 whispered", "ANN  started!", "Annsaid", "", None, "asked Ann said Bo", "Bo said; Ann said", "Bo started it"]
+    want = [None, "Bo", "Ann Lee", "D'Arc", "Mc-Coy", None, None, "No.1", None, None, None, None, None, None, None]
+    rows = spark.createDataFrame([(n, t, names) for n, t in enumerate(texts)], "n int, t string, names array<string>")
+    found = [r.who for r in rows.select("n", cues.attributed_speaker(F.col("t"), F.col("names")).alias("who")).orderBy("n").collect()]
+    assert found == want
