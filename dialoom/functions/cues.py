@@ -97,16 +97,22 @@ def only_mention(text: Column, names: Column) -> Column:
 
 def attributed_speaker(sentence: Column, names: Column) -> Column:
     """The one name that stands before a verb of attribution or phase, or else the one that stands after a verb of attribution."""
-    verbs = [v for v in dict.fromkeys(ATTRIBUTION) if v not in REACTION]
-    padded = F.concat(F.lit(" "), phrase(sentence), F.lit(" "))
-    said = "|".join(verbs)
-    named = F.filter(F.array_distinct(known(names)), lambda n: phrase(n) != "")
-    before = lambda n: F.regexp_like(padded, F.concat(F.lit(" "), _quoted(phrase(n)), F.lit(f" (?:{said}) ")))
-    phase = lambda n: F.regexp_like(sentence, F.concat(F.lit("(?i)\\b"), _quoted(phrase(n)), F.lit(rf"\s+(?:{'|'.join(PHASE)})(?=\s*[,.;:!?]|\s*$)")))
-    after = lambda n: F.regexp_like(padded, F.concat(F.lit(f" (?:{said}) "), _quoted(phrase(n)), F.lit(" ")))
-    subjects, objects = F.filter(named, lambda n: before(n) | phase(n)), F.filter(named, after)
-    one = lambda x: F.when(F.size(x) == 1, x[0])
-    return F.when(F.size(subjects) > 0, one(subjects)).otherwise(one(objects))
+    said, phases = "|".join(v for v in dict.fromkeys(ATTRIBUTION) if v not in REACTION), rf"\s+(?:{'|'.join(PHASE)})(?=\s*[,.;:!?]|\s*$)"
+
+    def of(text: Column) -> Column:
+        key = lambda n: F.struct(n.alias("name"), phrase(n).alias("key"))
+        held = lambda x: (x["key"] != "") & (F.contains(text["padded"], F.concat(F.lit(" "), x["key"], F.lit(" "))) | F.contains(text["low"], x["key"]))
+        before = lambda x: F.regexp_like(text["padded"], F.concat(F.lit(" "), _quoted(x["key"]), F.lit(f" (?:{said}) ")))
+        phase = lambda x: F.regexp_like(sentence, F.concat(F.lit("(?i)\\b"), _quoted(x["key"]), F.lit(phases)))
+        after = lambda x: F.regexp_like(text["padded"], F.concat(F.lit(f" (?:{said}) "), _quoted(x["key"]), F.lit(" ")))
+        one = lambda x: F.when(F.size(x) == 1, x[0]["name"])
+        by = lambda named: F.struct(F.filter(named, lambda x: before(x) | phase(x)).alias("subjects"), F.filter(named, after).alias("objects"))
+        chosen = lambda x: F.when(F.size(x["subjects"]) > 0, one(x["subjects"])).otherwise(one(x["objects"]))
+        return let(let(F.filter(F.transform(F.array_distinct(known(names)), key), held), by), chosen)
+
+    texts = F.struct(F.concat(F.lit(" "), phrase(sentence), F.lit(" ")).alias("padded"), F.lower(sentence).alias("low"))
+    # names are looked at where a verb stands, and by patterns of their own where the text holds them
+    return let(texts, lambda x: F.when(F.rlike(x["padded"], F.lit(f" (?:{said}) ")) | F.rlike(sentence, F.lit(f"(?i){phases}")), of(x)))
 
 
 def pronoun_cue(sentence: Column) -> Column:
